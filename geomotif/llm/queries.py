@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, sharding, tokens, url_filter
+from . import langid, media, packing, sharding, tokens, url_filter
 from .common import table
 
 
@@ -17,6 +17,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return media.digest(stored)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"), capacity=1024)
     return packing.pack(pieces, capacity=1024)
@@ -43,7 +48,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_sharding, op7_packing, op8_url_filters, op9_language_id, op10_token_counts)
+    for f in (op3_sharding, op6_media_columns, op7_packing, op8_url_filters, op9_language_id, op10_token_counts)
 }
 
 ORACLES: dict[str, str] = {}
