@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, packing, sharding, tokens, url_filter
+from . import html_text, langid, media, packing, sharding, tokens, url_filter
 from .common import table
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract_pages(pages, html_text.learn(pages))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = sharding.record_sizes(table(spark, sf_dir, "documents"))
     out = sharding.shard_records(sizes, shards=40)
@@ -48,7 +53,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_sharding, op6_media_columns, op7_packing, op8_url_filters, op9_language_id, op10_token_counts)
+    for f in (op2_html_extraction, op3_sharding, op6_media_columns, op7_packing, op8_url_filters, op9_language_id, op10_token_counts)
 }
 
 ORACLES: dict[str, str] = {}
