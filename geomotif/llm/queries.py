@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_text, langid, media, packing, sharding, tokens, url_filter
+from . import embedding_dedup, html_text, langid, media, mixing, packing, sharding, tokens, url_filter
 from .common import table
 
 
+#: Target shares of tokens by domain.
+TARGETS = {"high": 0.8, "low": 0.18, "toxic": 0.02}
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated, domains = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TARGETS)
+    names = F.array(*map(F.lit, domains))
+    return rated.select("doc_id", "tokens", names.alias("domains"), "posterior", "rate", "copies")
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_text.extract_pages(pages, html_text.learn(pages))
@@ -57,7 +67,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_html_extraction, op3_sharding, op5_embedding_dedup, op6_media_columns, op7_packing, op8_url_filters, op9_language_id, op10_token_counts)
+    for f in (op1_mixing, op2_html_extraction, op3_sharding, op5_embedding_dedup, op6_media_columns, op7_packing, op8_url_filters, op9_language_id, op10_token_counts)
 }
 
 ORACLES: dict[str, str] = {
