@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_text, langid, media, mixing, packing, sharding, tokens, url_filter
+from . import embedding_dedup, html_text, jaccard_join, langid, media, mixing, packing, sharding, tokens, url_filter
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_embeddings(table(spark, sf_dir, "embeddings"), cosine=0.93)
 
@@ -67,10 +71,32 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixing, op2_html_extraction, op3_sharding, op5_embedding_dedup, op6_media_columns, op7_packing, op8_url_filters, op9_language_id, op10_token_counts)
+    for f in (op1_mixing, op2_html_extraction, op3_sharding, op4_jaccard_join, op5_embedding_dedup, op6_media_columns, op7_packing, op8_url_filters, op9_language_id, op10_token_counts)
 }
 
 ORACLES: dict[str, str] = {
+    "op4_jaccard_join": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        g AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g
+            FROM w),
+        o AS (SELECT g, min(doc_id) AS rep, len(g) AS n FROM (SELECT doc_id, list_sort(g) AS g FROM g) GROUP BY g),
+        s AS (SELECT rep, n, unnest(g) AS s FROM o WHERE n > 0),
+        c AS (
+            SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i
+            FROM s a JOIN s b ON a.s = b.s AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+            GROUP BY a.rep, b.rep),
+        e AS (SELECT a, b FROM c WHERE 100 * i >= 85 * (na + nb - i)),
+        l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        m AS (SELECT a, min(b) AS m FROM r GROUP BY a)
+        SELECT g.doc_id, len(g.g)::BIGINT AS n_shingles,
+               CASE WHEN len(g.g) = 0 THEN g.doc_id ELSE least(o.rep, coalesce(m.m, o.rep)) END AS component_id
+        FROM g LEFT JOIN o ON o.g = list_sort(g.g) LEFT JOIN m ON m.a = o.rep""",
     "op5_embedding_dedup": """
         WITH RECURSIVE v AS (
             SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
