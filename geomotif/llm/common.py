@@ -49,6 +49,16 @@ def drop(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind those that the table has already."""
+    out = []
+    for n in names:
+        while n in df.columns or n in out:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def unit_hash(*cols) -> F.Column:
     """A uniform double in [0, 1) from a 64-bit hash of the columns."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))

@@ -7,7 +7,8 @@ region with the greatest sum. Of that region, what stands in menus, forms, notic
 like is left out, and the rest is joined by blocks.
 
 Defined results: null or empty html, or a page without words, gives an empty text; of equal regions the first
-is taken; repeated rows give equal results; an empty table gives no rows; other columns pass through. Tags
+is taken; repeated rows give equal results; an empty table gives no rows; other columns pass through, and those of
+the new names are replaced. Tags
 that are not closed end with what holds them; a ``<`` that begins no tag is text.
 """
 
@@ -267,9 +268,7 @@ def learn(pages: DataFrame, html_col: str = "html", key: str = "page_id", sample
 
 def extract_pages(pages: DataFrame, weights: Weights, html_col: str = "html") -> DataFrame:
     """pages without their html, with ``text`` and ``n_chars``."""
-    keep = [c for c in pages.columns if c != html_col]
-    if clash := {"text", "n_chars"} & set(keep):
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    keep = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
 
     def run(batches):
         for batch in batches:

@@ -8,7 +8,7 @@ the runner-up is nearly as near, the text is flagged as ambiguous.
 The classifiers are fitted on a sample of at most about ``per_label`` rows of each language. Defined results: a
 null text, or one without a letter, is ``und`` with score 0; ties go to the first language by name; one known
 language gives a code without bits, always chosen; with none, everything is ``und``; an empty table gives no
-rows; repeated rows are judged alike.
+rows; repeated rows are judged alike; other columns pass through, and those of the new names are replaced.
 """
 
 from __future__ import annotations
@@ -91,24 +91,22 @@ def has_letter(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def predict(df: DataFrame, model: LanguageModel, text_col: str = "text", margin: float = 0.5) -> DataFrame:
-    """df without its text, with ``lang_pred``, ``score`` (0 to 1) and ``ambiguous``."""
-    keep = [c for c in df.columns if c != text_col]
-    if clash := {"lang_pred", "score", "ambiguous"} & set(keep):
-        raise ValueError(f"columns {sorted(clash)} exist already")
+def predict(df: DataFrame, model: LanguageModel, text_col: str = "text", margin: float = 0.5, keep_text: bool = False, names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """df, without its text unless keep_text, with the language, its score (0 to 1) and whether it is ambiguous."""
+    keep = [c for c in df.columns if (keep_text or c != text_col) and c not in names]
     held = df.sparkSession.sparkContext.broadcast(model)  # languages x BUCKETS numbers: its size is fixed by the labels
 
     def run(batches):
         m = held.value
-        names = np.array([*m.langs, UNKNOWN], object)
+        named = np.array([*m.langs, UNKNOWN], object)
         for batch in batches:
-            rest = batch.select(keep) if hasattr(batch, "select") else batch
+            rest = batch.select(keep)
             for i, j, x, raw, off in feature_chunks(batch, text_col, ORDERS):
                 best, share, gap = m.decode(x)
                 known = has_letter(raw, off) & bool(m.langs)
-                lang = names[np.where(known, best, len(m.langs))]
+                lang = named[np.where(known, best, len(m.langs))]
                 made = [pa.array(lang.tolist(), pa.string()), pa.array(np.where(known, share, 0.0)), pa.array(known & (gap < margin))]
-                yield pa.RecordBatch.from_arrays([*rest.slice(i, j - i).columns, *made], [*keep, "lang_pred", "score", "ambiguous"])
+                yield pa.RecordBatch.from_arrays([*rest.slice(i, j - i).columns, *made], [*keep, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
-    return df.select(*keep, text_col).mapInArrow(run, f"{fields}, lang_pred string, score double, ambiguous boolean")
+    return df.select(*keep, *([] if keep_text else [text_col])).mapInArrow(run, f"{fields}{', ' * bool(keep)}`{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")

@@ -2,7 +2,7 @@
 
 Defined results: a null text counts as empty, which is stored as one row of spaces; a null or damaged image
 decodes to a null pixel array with the error named; equal texts give equal files; an empty table gives no
-rows; other columns pass through. Images grow in width beyond the format's height, so very long texts fit.
+rows; other columns pass through, and those of the new names are replaced. Images grow in width beyond the format's height, so very long texts fit.
 """
 
 from __future__ import annotations
@@ -42,9 +42,7 @@ def to_media(raw: np.ndarray) -> bytes:
 
 def store(df: DataFrame, text_col: str = "text", media_col: str = "media") -> DataFrame:
     """df with its text replaced by ``n_bytes`` and the WebP file of its padded UTF-8 bytes."""
-    keep = [c for c in df.columns if c != text_col]
-    if clash := {"n_bytes", media_col} & set(keep):
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    keep = [c for c in df.columns if c not in (text_col, "n_bytes", media_col)]
 
     def run(batches):
         for batch in batches:
@@ -90,6 +88,7 @@ def groups(files: pa.Array, most: int = 4 << 20, rows: int = 2048):
 
 def decode(df: DataFrame, media_col: str = "media") -> DataFrame:
     """df with ``width``, ``height``, ``pixels`` (RGBA bytes in row order) and ``media_error``."""
+    df = df.drop("width", "height", "pixels", "media_error")
     keep = list(df.columns)
 
     def run(batches):
@@ -120,8 +119,8 @@ def feature(p: np.ndarray) -> str:
 
 def digest(df: DataFrame, media_col: str = "media") -> DataFrame:
     """df (with ``n_bytes``) with its media column decoded and replaced by digests of what was read back."""
-    keep = [c for c in df.columns if c != media_col]
     made = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    keep = [c for c in df.columns if c != media_col and c not in (m.split()[0] for m in made.split(", "))]
 
     def run(batches):
         for batch in batches:

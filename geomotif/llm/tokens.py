@@ -6,7 +6,8 @@ boundary goes to one section by rule: ``start`` (of its first character), ``end`
 ``most`` (where most of its bytes lie, the earlier on ties).
 
 Defined results: null or empty text has no tokens and one empty section; characters outside all
-given sections are counted as outside; repeated rows are counted each; other columns pass through.
+given sections are counted as outside; repeated rows are counted each; other columns pass
+through, and those of the new names are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -82,10 +83,8 @@ def count_tokens(df: DataFrame, text_col: str = "text", sections_col: str | None
     intervals, sorted and disjoint; by default the lines of the text."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    keep = [c for c in df.columns if c not in (text_col, sections_col)]
     made = [("n_tokens", T.LongType()), ("section_tokens", T.ArrayType(T.LongType())), ("n_crossing", T.LongType()), ("n_outside", T.LongType())]
-    if clash := {c for c, _ in made} & set(keep):
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    keep = [c for c in df.columns if c not in (text_col, sections_col, *(n for n, _ in made))]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(n, t) for n, t in made])
 
     def run(batches):

@@ -9,7 +9,8 @@ A template whose purity is under ``threshold`` is rejected.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and
 is judged as the template of the empty host. Segments beyond ``max_depth`` form one segment ``**``.
-Repeated rows are judged alike; an empty table gives an empty one; other columns pass through.
+Repeated rows are judged alike; an empty table gives an empty one; other columns pass
+through, and one named ``url_filter`` is replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import fresh, stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -81,6 +82,7 @@ def judge_urls(
 ) -> DataFrame:
     """df with struct column ``url_filter``: host, path, rule, verdict, template, purity."""
     u = F.col(url)
+    t_host, t_leaf, t_template, t_purity = fresh(df, "t_host", "t_leaf", "t_template", "t_purity")
     rows = df.withColumn("url_filter", F.struct(host_of(u).alias("host"), path_of(u).alias("path")))
     host, path = F.col("url_filter.host"), F.col("url_filter.path")
     rows = rows.withColumn("url_filter", F.struct(host.alias("host"), path.alias("path"), rule_of(host, path, rules).alias("r"), segments(path, max_depth).alias("segs")))
@@ -122,18 +124,18 @@ def judge_urls(
         F.sort_array(F.collect_list(F.struct("lev", "m", "good", "node"))).alias("c")
     )
     purity = F.aggregate("c", F.lit(prior), lambda p, x: (x["good"] + alpha * p) / (x["m"] + alpha))
-    verdicts = chain.select(F.col("host").alias("t_host"), F.col("leaf").alias("t_leaf"), F.element_at("c", -1)["node"].alias("t_template"), purity.alias("t_purity"))
+    verdicts = chain.select(F.col("host").alias(t_host), F.col("leaf").alias(t_leaf), F.element_at("c", -1)["node"].alias(t_template), purity.alias(t_purity))
 
-    out = rows.withColumns({"t_host": host, "t_leaf": F.array_join("url_filter.segs", "/")}).join(verdicts, ["t_host", "t_leaf"], "left")
-    made = F.when(F.col("t_purity") < threshold, "block").otherwise("allow")
+    out = rows.withColumns({t_host: host, t_leaf: F.array_join("url_filter.segs", "/")}).join(verdicts, [t_host, t_leaf], "left")
+    made = F.when(F.col(t_purity) < threshold, "block").otherwise("allow")
     return out.withColumn(
         "url_filter",
         F.struct(
             host.alias("host"), path.alias("path"), F.col("url_filter.r.rule").alias("rule"),
             F.coalesce(F.col("url_filter.r.verdict"), made).alias("verdict"),
-            F.col("t_template").alias("template"), F.col("t_purity").alias("purity"),
+            F.col(t_template).alias("template"), F.col(t_purity).alias("purity"),
         ),
-    ).drop("t_host", "t_leaf", "t_template", "t_purity")
+    ).drop(t_host, t_leaf, t_template, t_purity)
 
 
 def rule_condition(rules: Sequence[tuple[str, str]], host: str = "host", path: str = "path") -> str:
