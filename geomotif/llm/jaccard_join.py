@@ -4,15 +4,16 @@ Jaccard distance is a metric, and links are pairs within e = 1 - t of each other
 shingle are at distance 1, and so almost all documents are equally far from almost all pivots; pivots say
 something only about documents that share shingles with them. So regions are first laid by shingles: sorted in one
 fixed order (what a sample shows to be frequent comes last), a linked pair has its first common shingle among the
-first n - ceil(t n) + 1 of either, which makes one region of the documents that hold a shingle there. In each region
-then:
-
-1. The first document is the pivot; every other is compared with it exactly. Those within e are linked.
-2. By the triangle inequality two linked documents differ in their distance to the pivot by e at most: the region
-   falls into rings of width e around it, and a document also enters the ring below where a link can cross the border.
+first n - ceil(t n) + 1 of either, which makes one region of the documents that hold a shingle there. A pair
+is sought in the region of its first common shingle alone. There:
+
+1. Sizes differ little within a link: a region falls into size classes, and a document also enters the class below.
+2. The first document of a class is its pivot. The distance used here is the symmetric difference of the two sets'
+   counts over 32 classes of shingles, which is never more than that of the sets themselves. By the triangle
+   inequality two linked documents differ in it by a bounded width: the region falls into rings of that width
+   around the pivot, and a document also enters the ring below. Those near the pivot are compared with it exactly.
 3. What is not yet in one component is compared with further pivots of its ring, and at last all pairs of a ring that
-   are still in different components, that meet in the region of their first common shingle and whose sizes and
-   positions allow a link are compared exactly.
+   are still in different components and whose sizes, positions and counts allow a link are compared exactly.
 
 Pairs already joined through others are not compared, so a group of near copies costs about one comparison a
 document; no pair of documents in different components is left out. Equal shingle sets are joined once.
@@ -54,7 +55,8 @@ def frequent_shingles(docs: DataFrame, k: int, sample: int = 8000, most: int = 1
 
 
 def first_shingles(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """(id, n, f1, f2, prefix): size and fingerprint of each document's set and its first shingles in the order."""
+    """(id, n, f1, f2, sketch, prefix): size, fingerprint and class counts of each document's set, and its first
+    shingles in the order."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
@@ -62,12 +64,13 @@ def first_shingles(docs: DataFrame, k: int, num: int, den: int, frequent: np.nda
         for batch in batches:
             ids = batch.column(0)
             for i, j, raw, off in chunks(batch, "text"):
-                n, f1, f2, first = [], [], [], []
+                n, f1, f2, sketch, first = [], [], [], [], []
                 for s in shingle_sets(raw, off, k):
                     n.append(len(s))
                     m = mix(s)
                     f1.append(int(m.sum(dtype=np.uint64).view(np.int64)))
                     f2.append(int(np.bitwise_xor.reduce(m * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)) if len(s) else 0)
+                    sketch.append(np.bincount((m >> np.uint64(59)).astype(np.int64), minlength=32).clip(0, 65535).astype("<u2").tobytes())
                     keep = len(s) + num * len(s) // -den + 1 if len(s) else 0
                     if keep and len(late):
                         at = np.searchsorted(late, s)
@@ -77,20 +80,42 @@ def first_shingles(docs: DataFrame, k: int, num: int, den: int, frequent: np.nda
                 lens = np.array([len(x) for x in first])
                 flat = np.concatenate(first) if first else np.zeros(0, np.int64)
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), prefix], ["id", "n", "f1", "f2", "prefix"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sketch, pa.binary()), prefix], ["id", "n", "f1", "f2", "sketch", "prefix"])
+
+    return docs.select("id", "text").mapInArrow(run, "id long, n int, f1 long, f2 long, sketch binary, prefix array<long>")
+
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n int, f1 long, f2 long, prefix array<long>")
+BITS = 1 << 24
 
 
-def whole_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(id, set): all shingles of each document, sorted, as bytes."""
+def spot(col: str) -> F.Column:
+    """The place of an id in a bitmap of fixed size."""
+    return F.xxhash64(F.lit("spot"), col).bitwiseAND(BITS - 1)
+
+
+def whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, set): all shingles, sorted, as bytes, of every document of the ids and of some others: the ids are told by
+    a bitmap of 2 MB, which is small enough to send to executors whatever their number, so no text is shuffled."""
+    at = ids.select(spot("id").alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("m"))
+    held = np.zeros(BITS, bool)
+    width = 8 * 4096
+    for r in at.collect():  # BITS / 8 bytes at most
+        bits = np.unpackbits(np.frombuffer(bytes(r["m"]), np.uint8), bitorder="little")
+        # bucket b holds the numbers from (b - 1) * width + 1 on, and 0 lies in bucket 0
+        start = (r["b"] - 1) * width + 1 if r["b"] > 0 else 0
+        pos = np.flatnonzero(bits)
+        held[(start + pos)[start + pos < BITS]] = True
+    bitmap = docs.sparkSession.sparkContext.broadcast(np.packbits(held))
 
     def run(batches):
+        wanted = np.unpackbits(bitmap.value).astype(bool)
         for batch in batches:
+            keep = wanted[batch.column(2).to_numpy(zero_copy_only=False)]
+            batch = batch.filter(pa.array(keep))
             for i, j, raw, off in chunks(batch, "text"):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([s.tobytes() for s in shingle_sets(raw, off, k)], pa.binary())], ["id", "set"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, set binary")
+    return docs.where("id is not null").select("id", "text", spot("id").alias("h")).mapInArrow(run, "id long, set binary")
 
 
 def shared(x: np.ndarray, y: np.ndarray) -> int:
@@ -103,22 +128,33 @@ def shared(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def compare(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, distance, linked) of every distinct pair, from the whole sets."""
+    """(a, b) of the pairs that are linked, from the whole sets."""
 
     def run(batches):
         for batch in batches:
-            dist, linked = [], []
+            linked = []
             for p, q in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
                 both = shared(x, y)
-                union = len(x) + len(y) - both
-                dist.append(1 - both / union)
-                linked.append(den * both >= num * union)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dist, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "distance", "linked"])
+                linked.append(den * both >= num * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, f"{PAIRS}, distance double, linked boolean")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, PAIRS)
+
+
+def count_distance(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b, far) of the pairs: the symmetric difference of their class counts."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, 32).astype(np.int64) for c in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.abs(x - y).sum(axis=1))], ["a", "b", "far"])
+
+    left = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x"))
+    right = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, f"{PAIRS}, far long")
 
 
 def labelled(t: DataFrame, comp: DataFrame, col: str = "rep") -> DataFrame:
@@ -138,29 +174,56 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
         F.col("id").alias("rep"), "n", F.posexplode("prefix").alias("pos", "s")
     )
 
-    # regions by first shingles; the pivot of a region is its smallest id, seen first in a running frame
+    # regions by first shingles; one with a single document ends here. The frame runs along, so it isn't held
     w = Window.partitionBy("s").orderBy("rep")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     me = F.struct("rep", "n", "pos")
-    posts = posts.withColumn("pivot", F.first(me).over(run)).where("pivot.rep <> rep").select("s", "rep", "n", "pos", "pivot")
-    members = stage(posts, "members")
-    active = members.select("rep").union(members.select("pivot.rep")).distinct()
-    sets = stage(whole_sets(docs.join(active.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), k), "sets")
-    star = members.select(F.col("rep").alias("a"), F.col("pivot.rep").alias("b")).distinct()
-    star = stage(compare(star, sets, num, den), "star")
-    links = star.where("linked").select("a", "b")
+    pairs = stage(posts.withColumn("head", F.first(me).over(run)).where("head.rep <> rep").select("s", "rep", "n", "pos", "head"), "regions")
+    rows = pairs.select("s", "rep", "n", "pos").unionByName(pairs.select("s", "head.*").distinct())
+
+    # size classes; in each, what may have a partner by size and by the position of the shingle
+    base = den / num * (1 + 1e-9)
+    share, width = num / (num + den), (den - num) / (den + num)
+    level = F.floor(F.log("n") / float(np.log(base))).cast("int")
+    rows = rows.withColumn("reach", (F.col("n") - F.col("pos")) / share - F.col("n") + 1e-6)  # the largest partner
+    rows = rows.select("*", F.explode(F.array(level, level - 1)).alias("level")).withColumn("above", level != F.col("level"))
+    area = ["s", "level"]
+    seen = rows.groupBy(*area).agg(
+        F.count("*").alias("m"), F.min("n").alias("low"), F.max("reach").alias("high"), F.sum("n").alias("sn"), F.sum("reach").alias("sr"), F.min(F.col("above")).alias("none")
+    ).where("m > 1 and not none")
+    other_n = F.when(F.col("m") == 2, F.col("sn") - F.col("n")).otherwise(F.col("low"))
+    other_r = F.when(F.col("m") == 2, F.col("sr") - F.col("reach")).otherwise(F.col("high"))
+    rows = rows.join(seen, area).where((other_n <= F.col("reach")) & (F.col("n") <= other_r + 1e-6)).select("s", "level", "above", "rep", "n", "pos", "reach")
+    rows = stage(rows, "classes")
+    head = rows.groupBy(*area).agg(F.min(F.struct("rep", "n", "pos", "reach")).alias("p"), F.count("*").alias("m")).where("m > 1").drop("m")
+    rows = rows.join(head, area)
+    away = rows.where("rep <> p.rep").select(F.col("rep").alias("a"), F.col("p.rep").alias("b")).distinct()
+    sketches = first.select("id", "sketch").dropDuplicates(["id"])
+    away = stage(count_distance(away, sketches), "distances")
+    rows = rows.withColumn("b", F.col("p.rep")).join(away.withColumnRenamed("a", "rep"), ["rep", "b"], "left").withColumn("far", F.coalesce("far", F.lit(0)))
+    fit = lambda x, y: (F.col(f"{y}n") <= F.col(f"{x}reach")) & (F.col(f"{x}n") <= F.col(f"{y}reach"))
+    close = lambda x, y: F.col("far") <= (F.col(f"{x}n") + F.col(f"{y}n")) * width + 1e-6
+    star = rows.where((F.col("rep") != F.col("b")) & fit("", "p.") & close("", "p.")).select(F.col("rep").alias("a"), "b").distinct()
+
+    def link(pairs: DataFrame) -> DataFrame:
+        pairs = stage(pairs, "pairs")
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+        sets = stage(whole_sets(docs, ids, k), "sets")
+        found = stage(compare(pairs, sets if single else sets.dropDuplicates(["id"]), num, den), "links")
+        drop(sets)
+        return found
+
+    single = first.groupBy("id").count().where("count > 1").isEmpty()
+    links = link(star)
     comp = stage(components(links), "comp")
 
-    # rings around the pivots, in the regions that still hold more than one component
-    width = 1 - num / den
-    here = members.select("s", "rep", "n", "pos", F.col("pivot.rep").alias("b")).join(star.select(F.col("a").alias("rep"), "b", "distance"), ["rep", "b"])
-    pivots = members.select("s", "pivot.*").distinct()
-    ring = F.floor(F.col("distance") / width).cast("int")
-    low = F.floor((F.col("distance") - width - 1e-9) / width).cast("int")
-    rings = F.when((low >= 0) & (low < ring), F.array(ring, low)).otherwise(F.array(ring))
-    here = here.select("s", "rep", "n", "pos", F.posexplode(rings).alias("guest", "ring"))
-    here = here.unionByName(pivots.select("s", "rep", "n", "pos", F.lit(0).alias("guest"), F.lit(0).alias("ring")))
-    area = ["s", "ring"]
+    # rings around the pivots: the width is what a link between the greatest sizes of a class may span
+    most = F.pow(F.lit(base), F.col("level") + 2) * 2 * width + 1
+    ring = F.floor(F.col("far") / most).cast("int")
+    here = rows.select(*area, "above", "rep", "n", "reach", ring.alias("home"))
+    here = here.select(*area, "above", "rep", "n", "reach", F.explode(F.when(F.col("home") > 0, F.array(F.col("home"), F.col("home") - 1)).otherwise(F.array("home"))).alias("ring"), "home")
+    here = here.withColumn("guest", F.col("home") != F.col("ring")).drop("home")
+    area.append("ring")
     here = stage(here, "rings")
     for turn in range(rounds + 1):
         lab = labelled(here, comp)
@@ -169,23 +232,25 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
         cost = open_.agg(F.sum("m").alias("m"), F.sum((F.col("m") * F.col("m") - F.col("q")) / 2).alias("p")).first()
         if not cost["m"]:
             break
-        if turn < rounds and cost["p"] > 4 * cost["m"]:
+        last = turn == rounds or cost["p"] <= 4 * cost["m"]
+        if not last:
             # one more pivot for each ring; only documents of other components are compared with it
-            pick = F.min_by(F.struct("rep", "label", "n", "pos"), F.xxhash64("rep", F.lit(turn)))
-            more = lab.join(lab.groupBy(*area).agg(pick.alias("p")), area).where(F.col("label") != F.col("p.label"))
-            pairs = more.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
+            pick = F.min_by(F.struct("rep", "label", "n", "reach"), F.xxhash64("rep", F.lit(turn)))
+            more = lab.join(lab.groupBy(*area).agg(pick.alias("p")), area).where((F.col("label") != F.col("p.label")) & fit("", "p."))
+            pairs = more.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"), (F.col("n") + F.col("p.n")).alias("both"))
         else:
             x, y = lab.alias("x"), lab.alias("y")
-            need = F.ceil((F.col("x.n") + F.col("y.n")) * num / F.lit(num + den) - 1e-9)
             meet = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in area]
-            meet += [F.col("x.rep") < F.col("y.rep"), F.col("x.label") != F.col("y.label"), (F.col("x.guest") == 0) | (F.col("y.guest") == 0)]
-            meet += [F.col(f"{t}.pos") + need <= F.col(f"{t}.n") for t in "xy"]
-            pairs = x.join(y, meet).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        found = stage(compare(pairs.distinct(), sets, num, den).where("linked").select("a", "b"), "found")
+            meet += [F.col("x.rep") < F.col("y.rep"), F.col("x.label") != F.col("y.label"), fit("x.", "y.")]
+            meet += [~(F.col("x.guest") & F.col("y.guest")), ~(F.col("x.above") & F.col("y.above"))]
+            pairs = x.join(y, meet).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), (F.col("x.n") + F.col("y.n")).alias("both"))
+        pairs = stage(pairs.distinct(), "cross")
+        near = count_distance(pairs.select("a", "b"), sketches).join(pairs, ["a", "b"]).where(F.col("far") <= F.col("both") * width + 1e-6)
+        links = links.unionByName(link(near.select("a", "b")))
         drop(lab)
-        links = links.unionByName(found)
+        drop(pairs)
         comp = stage(components(links), "comp")
-        if not (turn < rounds and cost["p"] > 4 * cost["m"]):
+        if last:
             break
 
     # back to all documents
