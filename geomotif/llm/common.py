@@ -18,6 +18,9 @@ U64 = np.uint64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > 2000:  # rows hold whole texts: smaller batches bound the memory of Python workers
+        spark.conf.set(key, "2000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -64,6 +67,20 @@ def unit_hash(*cols) -> F.Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
 
 
+def bitmap(numbers: DataFrame, size: int) -> np.ndarray:
+    """Packed bits of the numbers 0 .. size - 1 in the first column, put together by native aggregates: what
+    reaches the driver is size / 8 bytes at most."""
+    h = F.col(numbers.columns[0])
+    at = numbers.select(h.alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("m"))
+    out, width = np.zeros(size, bool), 8 * 4096
+    for r in at.collect():
+        # bucket b > 0 holds the numbers from (b - 1) * width + 1 on; 0 alone lies in bucket 0
+        on = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(r["m"]), np.uint8), bitorder="little"))
+        on += (r["b"] - 1) * width + 1 if r["b"] > 0 else 0
+        out[on[on < size]] = True
+    return np.packbits(out)
+
+
 # ---- bytes of Arrow text columns ---------------------------------------------------------------
 
 
@@ -80,7 +97,7 @@ def text_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def chunks(batch: pa.RecordBatch, col: str, max_bytes: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(batch: pa.RecordBatch, col: str, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, past last row, bytes, offsets) with at most max_bytes of text, or one row."""
     raw, off = text_bytes(batch.column(batch.schema.get_field_index(col)))
     i, n = 0, len(off) - 1
@@ -172,12 +189,36 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int) -> Iterator[np.ndarra
 # ---- connected components ----------------------------------------------------------------------
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:
+def _forest(batches):
+    """(id, component) of all edges of one task."""
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        top = i
+        while root[top] != top:
+            top = root[top]
+        while root[i] != top:
+            root[i], i = top, root[i]
+        return top
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            root.setdefault(u, u)
+            root.setdefault(v, v)
+            u, v = find(u), find(v)
+            if u != v:
+                root[max(u, v)] = min(u, v)
+    ids = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([find(i) for i in ids], pa.int64())], ["id", "component"])
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40, few: int = 300_000) -> DataFrame:
     """(id, component) for every id on an edge; component is the smallest id reachable.
 
     Large-star and small-star rounds over the edge table, each written to the shared folder. A
     vertex with many edges is reduced by a partial minimum before the shuffle, and the join that
-    hands the minimum back is one that adaptive execution can split.
+    hands the minimum back is one that adaptive execution can split. No more than ``few`` edges, which
+    one task holds easily, are settled there at once.
     """
     now = stage(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc"
@@ -188,6 +229,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 4
         return r["n"], r["h"]
 
     before = mark(now)
+    if before[0] <= few:
+        return now.coalesce(1).mapInArrow(_forest, "id long, component long")
     for _ in range(max_rounds):
         if not before[0]:
             break

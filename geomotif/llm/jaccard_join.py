@@ -3,13 +3,13 @@
 Jaccard distance is a metric, and links are pairs within e = 1 - t of each other. Two documents that share no
 shingle are at distance 1, and so almost all documents are equally far from almost all pivots; pivots say
 something only about documents that share shingles with them. So regions are first laid by shingles: sorted in one
-fixed order (what a sample shows to be frequent comes last), a linked pair has its first common shingle among the
+fixed order (what a sample shows to be repeated comes last), a linked pair has its first common shingle among the
 first n - ceil(t n) + 1 of either, which makes one region of the documents that hold a shingle there. A pair
 is sought in the region of its first common shingle alone. There:
 
 1. Sizes differ little within a link: a region falls into size classes, and a document also enters the class below.
 2. The first document of a class is its pivot. The distance used here is the symmetric difference of the two sets'
-   counts over 32 classes of shingles, which is never more than that of the sets themselves. By the triangle
+   counts over 256 classes of shingles, which is never more than that of the sets themselves. By the triangle
    inequality two linked documents differ in it by a bounded width: the region falls into rings of that width
    around the pivot, and a document also enters the ring below. Those near the pivot are compared with it exactly.
 3. What is not yet in one component is compared with further pivots of its ring, and at last all pairs of a ring that
@@ -30,34 +30,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, components, drop, mix, shingle_sets, stage, unit_hash
+from .common import bitmap, chunks, components, drop, mix, shingle_sets, stage, unit_hash
 
 PAIRS = "a long, b long"
 
 
-def frequent_shingles(docs: DataFrame, k: int, sample: int = 8000, most: int = 100_000) -> np.ndarray:
-    """Hashes of the shingles found in three or more of about ``sample`` documents, at most ``most`` of them and
-    sorted. They serve the order of shingles only: any set gives the same links."""
-    n = docs.count()
+LATE_BITS = 25
+
+
+def late_shingles(docs: DataFrame, k: int, share: float = 1 / 4, most: int = 1 << 22) -> np.ndarray:
+    """A packed bitmap, over the top bits of hashes, of the shingles that come last in the order: those found more than
+    once in a share of the documents or, where these are more than ``most``, as many times as it takes. Only hashes of
+    the lower half are counted, others being late anyway. The bitmap has a fixed size, and any bitmap gives the same
+    links: what shares a bit with another shingle merely moves back in an order that is the same for all."""
 
     def run(batches):
         for batch in batches:
             for _, _, raw, off in chunks(batch, "text"):
-                sets = list(shingle_sets(raw, off, k))
-                s, c = np.unique(np.concatenate(sets), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(c)], ["s", "c"])
-
-    if not n:
-        return np.zeros(0, np.uint64)
-    few = docs.where(unit_hash(F.lit("frequent"), "id") < min(1.0, sample / n)).select("text")
-    got = few.mapInArrow(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).where("c >= 3").orderBy(F.desc("c"), "s").limit(most).collect()
-    return np.sort(np.array([r["s"] for r in got], np.int64).view(np.uint64))
+                s, c = np.unique(np.concatenate([*shingle_sets(raw, off, k)]), return_counts=True)
+                low = s < np.uint64(1 << 63)
+                yield pa.RecordBatch.from_arrays([pa.array(s[low].view(np.int64)), pa.array(c[low])], ["s", "c"])
+
+    few = docs.where(unit_hash(F.lit("late"), "id") < share).select("text")
+    seen = stage(few.mapInArrow(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).where("c > 1").select(F.shiftrightunsigned("s", 63 - LATE_BITS).alias("h"), F.least("c", F.lit(1000)).alias("c")), "late")
+    total, least = 0, 1000
+    for r in sorted(seen.groupBy("c").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["c"]):
+        total += r["n"]
+        if total > most:
+            break
+        least = r["c"]
+    out = bitmap(seen.where(F.col("c") >= least).select("h"), 1 << LATE_BITS)
+    drop(seen)
+    return out
 
 
-def first_shingles(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
+def first_shingles(docs: DataFrame, k: int, num: int, den: int, late_bits: np.ndarray) -> DataFrame:
     """(id, n, f1, f2, sketch, prefix): size, fingerprint and class counts of each document's set, and its first
     shingles in the order."""
-    held = docs.sparkSession.sparkContext.broadcast(frequent)
+    held = docs.sparkSession.sparkContext.broadcast(late_bits)
 
     def run(batches):
         late = held.value
@@ -70,11 +80,13 @@ def first_shingles(docs: DataFrame, k: int, num: int, den: int, frequent: np.nda
                     m = mix(s)
                     f1.append(int(m.sum(dtype=np.uint64).view(np.int64)))
                     f2.append(int(np.bitwise_xor.reduce(m * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)) if len(s) else 0)
-                    sketch.append(np.bincount((m >> np.uint64(59)).astype(np.int64), minlength=32).clip(0, 65535).astype("<u2").tobytes())
+                    sketch.append(np.bincount((m >> np.uint64(56)).astype(np.int64), minlength=256).clip(0, 255).astype(np.uint8).tobytes())
                     keep = len(s) + num * len(s) // -den + 1 if len(s) else 0
-                    if keep and len(late):
-                        at = np.searchsorted(late, s)
-                        often = late[np.minimum(at, len(late) - 1)] == s
+                    if keep:
+                        h = (s >> np.uint64(63 - LATE_BITS)).astype(np.int64)
+                        low = h < 1 << LATE_BITS
+                        h = np.where(low, h, 0)
+                        often = low & ((late[h >> 3] >> (7 - (h & 7)).astype(np.uint8)) & 1).astype(bool)
                         s = np.concatenate([s[~often][:keep], s[often][: max(0, keep - int((~often).sum()))]])
                     first.append(s[:keep].view(np.int64))
                 lens = np.array([len(x) for x in first])
@@ -96,19 +108,10 @@ def spot(col: str) -> F.Column:
 def whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(id, set): all shingles, sorted, as bytes, of every document of the ids and of some others: the ids are told by
     a bitmap of 2 MB, which is small enough to send to executors whatever their number, so no text is shuffled."""
-    at = ids.select(spot("id").alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("m"))
-    held = np.zeros(BITS, bool)
-    width = 8 * 4096
-    for r in at.collect():  # BITS / 8 bytes at most
-        bits = np.unpackbits(np.frombuffer(bytes(r["m"]), np.uint8), bitorder="little")
-        # bucket b holds the numbers from (b - 1) * width + 1 on, and 0 lies in bucket 0
-        start = (r["b"] - 1) * width + 1 if r["b"] > 0 else 0
-        pos = np.flatnonzero(bits)
-        held[(start + pos)[start + pos < BITS]] = True
-    bitmap = docs.sparkSession.sparkContext.broadcast(np.packbits(held))
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(spot("id")), BITS))
 
     def run(batches):
-        wanted = np.unpackbits(bitmap.value).astype(bool)
+        wanted = np.unpackbits(held.value).astype(bool)
         for batch in batches:
             keep = wanted[batch.column(2).to_numpy(zero_copy_only=False)]
             batch = batch.filter(pa.array(keep))
@@ -149,8 +152,8 @@ def count_distance(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, 32).astype(np.int64) for c in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.abs(x - y).sum(axis=1))], ["a", "b", "far"])
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16) for c in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.abs(x - y).sum(axis=1, dtype=np.int64))], ["a", "b", "far"])
 
     left = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x"))
     right = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y"))
@@ -163,11 +166,10 @@ def labelled(t: DataFrame, comp: DataFrame, col: str = "rep") -> DataFrame:
     return t.join(c, col, "left").withColumn("label", F.coalesce("label", col))
 
 
-def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1) -> DataFrame:
     """(id, n_shingles, component_id) of every document; links need intersection / union >= num / den."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    frequent = frequent_shingles(docs, k)
-    first = stage(first_shingles(docs, k, num, den, frequent), "first")
+    first = stage(first_shingles(docs, k, num, den, late_shingles(docs, k)), "first")
     group = ["n", "f1", "f2"]
     reps = stage(first.where("n > 0 and id is not null").groupBy(*group).agg(F.min("id").alias("rep")), "reps")
     posts = first.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select(
@@ -198,7 +200,9 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     head = rows.groupBy(*area).agg(F.min(F.struct("rep", "n", "pos", "reach")).alias("p"), F.count("*").alias("m")).where("m > 1").drop("m")
     rows = rows.join(head, area)
     away = rows.where("rep <> p.rep").select(F.col("rep").alias("a"), F.col("p.rep").alias("b")).distinct()
-    sketches = first.select("id", "sketch").dropDuplicates(["id"])
+    single = first.groupBy("id").count().where("count > 1").isEmpty()  # else rows of one id are dropped from each table by id
+    once = lambda t: t if single else t.dropDuplicates(["id"])
+    sketches = once(first.select("id", "sketch"))
     away = stage(count_distance(away, sketches), "distances")
     rows = rows.withColumn("b", F.col("p.rep")).join(away.withColumnRenamed("a", "rep"), ["rep", "b"], "left").withColumn("far", F.coalesce("far", F.lit(0)))
     fit = lambda x, y: (F.col(f"{y}n") <= F.col(f"{x}reach")) & (F.col(f"{x}n") <= F.col(f"{y}reach"))
@@ -209,11 +213,10 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
         pairs = stage(pairs, "pairs")
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
         sets = stage(whole_sets(docs, ids, k), "sets")
-        found = stage(compare(pairs, sets if single else sets.dropDuplicates(["id"]), num, den), "links")
+        found = stage(compare(pairs, once(sets), num, den), "links")
         drop(sets)
         return found
 
-    single = first.groupBy("id").count().where("count > 1").isEmpty()
     links = link(star)
     comp = stage(components(links), "comp")
 
@@ -229,10 +232,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
         lab = labelled(here, comp)
         open_ = lab.groupBy(*area, "label").agg(F.count("*").alias("c")).groupBy(*area).agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q")).where("m * m > q")
         lab = stage(lab.join(open_.select(*area), area, "left_semi"), "open")
-        cost = open_.agg(F.sum("m").alias("m"), F.sum((F.col("m") * F.col("m") - F.col("q")) / 2).alias("p")).first()
-        if not cost["m"]:
-            break
-        last = turn == rounds or cost["p"] <= 4 * cost["m"]
+        last = turn == rounds
         if not last:
             # one more pivot for each ring; only documents of other components are compared with it
             pick = F.min_by(F.struct("rep", "label", "n", "reach"), F.xxhash64("rep", F.lit(turn)))
