@@ -26,6 +26,7 @@ a null component; an empty table gives no rows. Shingles are compared by 64-bit
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -160,13 +161,49 @@ def count_distance(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, f"{PAIRS}, far long")
 
 
+def crowded_pairs(rows: DataFrame, area: list[str], width: float, chunk_rows: int = 2000) -> DataFrame:
+    """(a, b) of the pairs of crowded areas whose sizes, positions and counts allow a link. Areas are dealt out by pairs
+    of chunks of bounded size, and pairs are looked at by blocks within a task, so that only those that pass
+    become rows. rows: area, m (rows of the area), rep, label, n, reach, guest, above, sketch."""
+    parts = F.ceil(F.col("m") / chunk_rows).cast("int")
+    rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    both = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("p"), F.greatest("part", j).alias("q")))
+    rows = rows.select(*area, "rep", "label", "n", "reach", "guest", "above", "sketch", "part", F.explode(both).alias("two")).select("*", "two.p", "two.q").drop("two")
+
+    def run(f):
+        a, b = [], []
+        i, j = f[f.part == f.p.iloc[0]], f[f.part == f.q.iloc[0]]
+        same = f.p.iloc[0] == f.q.iloc[0]
+        sk = [np.frombuffer(b"".join(t.sketch), np.uint8).reshape(-1, 256) for t in (i, j)]
+        few = [s.reshape(-1, 32, 8).sum(axis=2, dtype=np.int16) for s in sk]
+        (ri, li, ni, ui, gi, vi), (rj, lj, nj, uj, gj, vj) = ([t[c].to_numpy() for c in ("rep", "label", "n", "reach", "guest", "above")] for t in (i, j))
+        for x in range(0, len(i), 256):
+            r = slice(x, min(x + 256, len(i)))
+            ok = (li[r, None] != lj) & (nj <= ui[r, None]) & (ni[r, None] <= uj) & ~(gi[r, None] & gj) & ~(vi[r, None] & vj)
+            if same:
+                ok &= ri[r, None] < rj
+            p, q = np.nonzero(ok)
+            for y in range(0, len(p), 100_000):  # by sums of eight classes first, then by all
+                s, t = p[y : y + 100_000] + x, q[y : y + 100_000]
+                most = (ni[s].astype(np.int64) + nj[t]) * width + 1e-6
+                near = np.abs(few[0][s] - few[1][t]).sum(axis=1) <= most
+                s, t, most = s[near], t[near], most[near]
+                near = np.abs(sk[0][s].astype(np.int16) - sk[1][t]).sum(axis=1) <= most
+                a.append(ri[s[near]])
+                b.append(rj[t[near]])
+        a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return rows.groupBy(*area, "p", "q").applyInPandas(run, PAIRS)
+
+
 def labelled(t: DataFrame, comp: DataFrame, col: str = "rep") -> DataFrame:
     """t with the component of one of its columns as ``label``."""
     c = comp.select(F.col("id").alias(col), F.col("component").alias("label"))
     return t.join(c, col, "left").withColumn("label", F.coalesce("label", col))
 
 
-def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1, crowd: int = 64) -> DataFrame:
     """(id, n_shingles, component_id) of every document; links need intersection / union >= num / den."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     first = stage(first_shingles(docs, k, num, den, late_shingles(docs, k)), "first")
@@ -231,7 +268,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     for turn in range(rounds + 1):
         lab = labelled(here, comp)
         open_ = lab.groupBy(*area, "label").agg(F.count("*").alias("c")).groupBy(*area).agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q")).where("m * m > q")
-        lab = stage(lab.join(open_.select(*area), area, "left_semi"), "open")
+        lab = stage(lab.join(open_.select(*area, "m"), area), "open")
         last = turn == rounds
         if not last:
             # one more pivot for each ring; only documents of other components are compared with it
@@ -239,14 +276,18 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
             more = lab.join(lab.groupBy(*area).agg(pick.alias("p")), area).where((F.col("label") != F.col("p.label")) & fit("", "p."))
             pairs = more.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"), (F.col("n") + F.col("p.n")).alias("both"))
         else:
-            x, y = lab.alias("x"), lab.alias("y")
+            full = lab.where(F.col("m") > crowd).join(sketches.withColumnRenamed("id", "rep"), "rep")
+            found = crowded_pairs(full, area, width).distinct()
+            few = lab.where(F.col("m") <= crowd)
+            x, y = few.alias("x"), few.alias("y")
             meet = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in area]
             meet += [F.col("x.rep") < F.col("y.rep"), F.col("x.label") != F.col("y.label"), fit("x.", "y.")]
             meet += [~(F.col("x.guest") & F.col("y.guest")), ~(F.col("x.above") & F.col("y.above"))]
             pairs = x.join(y, meet).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), (F.col("x.n") + F.col("y.n")).alias("both"))
         pairs = stage(pairs.distinct(), "cross")
         near = count_distance(pairs.select("a", "b"), sketches).join(pairs, ["a", "b"]).where(F.col("far") <= F.col("both") * width + 1e-6)
-        links = links.unionByName(link(near.select("a", "b")))
+        near = near.select("a", "b")
+        links = links.unionByName(link(near.unionByName(found).distinct() if last else near))
         drop(lab)
         drop(pairs)
         comp = stage(components(links), "comp")
