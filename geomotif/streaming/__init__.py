@@ -1,0 +1 @@
+"""Place for streaming queries. The engine answers questions about tables at rest and has none."""
