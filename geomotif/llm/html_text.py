@@ -200,7 +200,7 @@ class Weights:
     def odds(f: str, inside: float, outside: float) -> float:
         a, b = prior(f)
         v = max(-4.0, min(4.0, log((inside + a) / (outside + b))))
-        return v if f[0] == "w" else -0.2 - max(0.0, -v) / 2
+        return v if f[0] == "w" else -0.1 - max(0.0, -v) / 4
 
     def of(self, token: tuple, has_article: bool) -> float:
         if token[0] == "w" and token[1][0] and token[1][1]:
@@ -212,7 +212,7 @@ class Weights:
             v = self.score[f] = self.odds(f, 0, 0)
         if token[0] == "t":
             return v
-        return max(v * token[3], -20.0) if token[4] else v * token[3]  # so that one long advert doesn't split a text
+        return max(v * token[3], -2.0) if token[4] else v * token[3]  # so that one long advert doesn't split a text
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:

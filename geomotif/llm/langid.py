@@ -29,6 +29,8 @@ UNKNOWN = "und"
 
 def codewords(n: int) -> np.ndarray:
     """One row for each of n languages: all splits in two for up to 5, else random dense codes of distinct columns."""
+    if n < 2:
+        return np.zeros((n, 0), np.float32)
     if n <= 5:
         cols = [(1, *c) for c in product((1, -1), repeat=max(n - 1, 0)) if -1 in c]
         return np.array(cols, np.float32).reshape(-1, n).T
