@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geomotif.llm import jaccard_join, langid, mixing, packing
-from geomotif.llm.common import fresh, stage, table
+from geomotif.llm.common import fresh, stage, table, without
 
 #: Weights of the domains of the labels table in the mixture, by tokens.
 TARGETS = {"high": 0.84, "low": 0.14, "toxic": 0.02}
@@ -30,18 +30,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group linked by a similarity of 0.8 on five-word shingles."""
     found = stage(jaccard_join.jaccard_components(docs.select("doc_id", "text"), k=5, num=80, den=100), "near")
-    out = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    out = without(docs, found.where("doc_id <> component_id").select("doc_id"), "doc_id")
     again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not again.isEmpty():  # rows of one id
-        out = out.join(again, "doc_id", "left_anti").unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        out = without(out, again, "doc_id").unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return out.select(*docs.columns)
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The largest mixture at the target weights in which no document repeats."""
     rated, _ = mixing.mix(docs, table(spark, sf_dir, "labels"), TARGETS, max_rate=1.0)
-    gone = rated.where("copies = 0 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, rated.where("copies = 0").select("doc_id"), "doc_id")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

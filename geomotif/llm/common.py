@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -81,6 +82,29 @@ def bitmap(numbers: DataFrame, size: int) -> np.ndarray:
     return np.packbits(out)
 
 
+BITS = 1 << 24
+
+
+def spot(col) -> F.Column:
+    """The place of an id in a bitmap of BITS bits."""
+    return F.xxhash64(F.lit("spot"), col).bitwiseAND(BITS - 1)
+
+
+def without(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
+    """The rows whose col is none of the ids (one column), a null included. Wide rows are not shuffled: a bitmap of the
+    ids, 2 MB whatever their number, lets all pass that are surely not among them, and only the few others are joined."""
+    gone = ids.select(F.col(ids.columns[0]).alias(col)).where(F.col(col).isNotNull())
+    held = rows.sparkSession.sparkContext.broadcast(bitmap(gone.select(spot(col)), BITS))
+
+    @F.pandas_udf("boolean")
+    def may_go(h: pd.Series) -> pd.Series:
+        at = h.to_numpy(np.int64)
+        return pd.Series((held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+
+    hit = F.col(col).isNotNull() & may_go(spot(col))
+    return rows.where(~hit).unionByName(rows.where(hit).join(gone.distinct(), col, "left_anti").select(*rows.columns))
+
+
 # ---- bytes of Arrow text columns ---------------------------------------------------------------
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, chunks, components, drop, mix, shingle_sets, stage, unit_hash
+from .common import BITS, bitmap, chunks, components, drop, mix, shingle_sets, spot, stage, unit_hash
 
 PAIRS = "a long, b long"
 
@@ -98,14 +98,6 @@ def first_shingles(docs: DataFrame, k: int, num: int, den: int, late_bits: np.nd
     return docs.select("id", "text").mapInArrow(run, "id long, n int, f1 long, f2 long, sketch binary, prefix array<long>")
 
 
-BITS = 1 << 24
-
-
-def spot(col: str) -> F.Column:
-    """The place of an id in a bitmap of fixed size."""
-    return F.xxhash64(F.lit("spot"), col).bitwiseAND(BITS - 1)
-
-
 def whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(id, set): all shingles, sorted, as bytes, of every document of the ids and of some others: the ids are told by
     a bitmap of 2 MB, which is small enough to send to executors whatever their number, so no text is shuffled."""

@@ -520,3 +520,12 @@ def test_token_counts_of_odd_tables(spark):
 def test_staged_tables_lie_in_the_shared_folder(spark):
     t = stage(spark.range(5).toDF("x"), "t")
     assert t.count() == 5 and t.staged_at.startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_rows_without_ids(spark):
+    t = spark.createDataFrame([(i % 50 if i % 7 else None, str(i)) for i in range(300)], "doc_id long, text string")
+    gone = spark.createDataFrame([(3,), (3,), (None,), (44,), (99,)], "x long")
+    from geomotif.llm.common import without
+
+    got = sorted(without(t, gone, "doc_id").collect(), key=str)
+    assert got == sorted((r for r in t.collect() if r.doc_id not in (3, 44)), key=str)
