@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_text, jaccard_join, langid, media, mixing, packing, sharding, tokens, url_filter
+from . import embedding_dedup, html_text, jaccard_join, langid, media, mixing, packing, sharding, tokens, url_filter, url_sql
 from .common import table
 
 
@@ -52,7 +52,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
-    return judged.select("page_id", "url_filter.*")
+    return judged.select("page_id", "url_filter.*").withColumn("purity", F.round("purity", 9))
 
 
 def held_out(doc_id) -> F.Column:
@@ -75,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op8_url_filters": url_sql.judge_sql(),
     "op4_jaccard_join": """
         WITH RECURSIVE w AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
