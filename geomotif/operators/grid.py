@@ -43,9 +43,27 @@ def in_subtree(poi: DataFrame, bounds: Bounds, prefix: str) -> DataFrame:
     return poi.where(geo.quadkey(F.col("lon"), F.col("lat"), bounds, len(prefix)) == prefix)
 
 
+def quadkeys_in_bbox(bbox: Bounds, bounds: Bounds, level: int) -> list[str]:
+    """Addresses of the cells of a level that meet a box, for pruning by prefix."""
+    keys = [""]
+    for _ in range(level):
+        keys = [k + d for k in keys for d in "0123"]
+        keys = [k for k in keys if _meet(geo.quadkey_bbox(k, bounds), bbox)]
+    return keys
+
+
+def _meet(a: Bounds, b: Bounds) -> bool:
+    return a[0] <= b[2] and b[0] <= a[2] and a[1] <= b[3] and b[1] <= a[3]
+
+
+def centre_and_half_diagonal(bbox: Bounds) -> tuple[float, float, float]:
+    """(lon, lat) of a box's centre, and the degrees from there to a corner."""
+    return (bbox[0] + bbox[2]) / 2, (bbox[1] + bbox[3]) / 2, math.hypot(bbox[2] - bbox[0], bbox[3] - bbox[1]) / 2
+
+
 def matching_cells(a: DataFrame, b: DataFrame, lower: float, upper: float) -> DataFrame:
-    """Pairs of cells (tables of cell_stats) whose boxes allow a pair of places lower to upper metres apart. The tables
-    are bounded by the level; neighbours are found over a grid as wide as cells and reach together."""
+    """Pairs of cells (tables of cell_stats) whose boxes allow a pair of places lower to upper metres apart. The level
+    bounds the tables at 4 ** level rows, whatever the number of places, so all their pairs are looked at."""
     p = {k: F.col(f"a.{k}") for k in ("xmin", "ymin", "xmax", "ymax")}
     q = {k: F.col(f"b.{k}") for k in ("xmin", "ymin", "xmax", "ymax")}
     cond = (geo.boxes_dmin(p, q) <= (upper if upper < math.inf else 4e7)) & (geo.boxes_dmax(p, q) >= lower)

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -175,8 +175,6 @@ def covering_regions(df: DataFrame, regions: DataFrame) -> DataFrame:
     r = regions.select(F.col("name").alias("region"), F.col("ring").alias("r_ring"), *(F.col(k).alias(f"r_{k}") for k in ("xmin", "ymin", "xmax", "ymax")))
     inside = (F.col("xmin") >= F.col("r_xmin")) & (F.col("xmax") <= F.col("r_xmax")) & (F.col("ymin") >= F.col("r_ymin")) & (F.col("ymax") <= F.col("r_ymax"))
     hit = df.join(r, inside & topology.covers(F.col("r_ring"), F.col("ring")))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("osm_id").orderBy((F.col("r_xmax") - F.col("r_xmin")) * (F.col("r_ymax") - F.col("r_ymin")), "region")
     return hit.select("osm_id", "region", F.row_number().over(w).alias("area_rank"))
 

@@ -412,6 +412,49 @@ def point_buffer(spark, d):
     return t.select("osm_id", *(b[k].alias(k) for k in ("xmin", "ymin", "xmax", "ymax")))
 
 
+REGIONS = "SELECT osm_id AS region, xmin AS x0, ymin AS y0, xmax AS x1, ymax AS y1 FROM pois WHERE array_contains(keywords, 'depot')"
+COVERED = f"SELECT p.osm_id, r.region, row_number() OVER (PARTITION BY p.osm_id ORDER BY (x1 - x0) * (y1 - y0), r.region)::INT AS area_rank FROM pois p JOIN ({REGIONS}) r ON p.xmin >= x0 AND p.xmax <= x1 AND p.ymin >= y0 AND p.ymax <= y1 WHERE array_contains(p.keywords, 'BUILDING')"
+
+
+def region_tables(spark, d) -> tuple[DataFrame, DataFrame]:
+    t = places(spark, d)
+    return search.with_keyword(t, "BUILDING"), search.with_keyword(t, "depot").withColumn("name", F.col("osm_id"))
+
+
+@query(COVERED)
+def covering_regions(spark, d):
+    return prep.covering_regions(*region_tables(spark, d))
+
+
+@query(f"SELECT osm_id, region FROM ({COVERED}) WHERE area_rank = 2")
+def municipality(spark, d):
+    return prep.municipality(*region_tables(spark, d))
+
+
+@query("SELECT osm_id, xmin, ymin, xmax, ymax, lon, lat FROM pois")
+def wkt_geometry(spark, d):
+    """Geometries written as text and read back."""
+    t = places(spark, d)
+    back = P.from_rows(t.select("osm_id", "name", *P.TAGS, P.ring_wkt(F.col("ring")).alias("geometry")))
+    return back.select("osm_id", "xmin", "ymin", "xmax", "ymax", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
+ORACLES["wkt_geometry"] = ORACLES["wkt_geometry"].replace("ymax, lon, lat FROM", "ymax, round(lon, 6) AS lon, round(lat, 6) AS lat FROM")
+
+
+@query()
+def geojson_features(spark, d):
+    return places(spark, d).select("osm_id", P.geojson_feature().alias("feature"))
+
+
+@query("SELECT osm_id, lon, lat FROM pois WHERE array_contains(keywords, 'PROMO') AND lon BETWEEN -0.15 AND -0.1 AND lat BETWEEN 51.48 AND 51.53")
+def node_search(spark, d):
+    """A box search through the cells that meet the box."""
+    box = (-0.15, 51.48, -0.10, 51.53)
+    keyed = grid.with_quadkey(search.with_keyword(places(spark, d), "PROMO"), BOUNDS, 4)
+    return search.in_bbox(keyed.where(F.col("quadkey").isin(grid.quadkeys_in_bbox(box, BOUNDS, 4))), ["PROMO"], box).select("osm_id", "lon", "lat")
+
+
 # ---- solver logs, read from order lines ------------------------------------------------------------
 
 LOG = "SELECT l_returnflag || l_linestatus AS module, l_linenumber::BIGINT AS dataset_size, l_quantity AS elapsed_time, l_extendedprice AS memory_usage FROM lineitem"

@@ -55,6 +55,18 @@ def keyword_condition(tags: Sequence[str], keyword: str, mode: str = "or") -> Co
     return out
 
 
+def id_of(df: DataFrame) -> Column:
+    """The id of a place under any of its usual names."""
+    return F.coalesce(*(F.col(c).cast("long") for c in ("osm_id", "id", "osmid") if c in df.columns))
+
+
+def from_rows(df: DataFrame, tags: Sequence[str] = TAGS, wkt: str = "geometry") -> DataFrame:
+    """A table of places from any table with an id, a geometry as text and tag columns."""
+    own = [t for t in tags if t in df.columns]
+    df = with_geometry(df.withColumns({"osm_id": id_of(df), **{t: blank_to_null(F.col(t)) for t in own}}), wkt)
+    return df.withColumns({"keywords": keywords_of(own), "category": category_of(own)})
+
+
 # ---- geometry from text --------------------------------------------------------------------------
 
 
@@ -190,6 +202,11 @@ def read_geojson(spark: SparkSession, path: str, multi_line: bool = False) -> Da
     return df.where((F.size("keywords") > 0) | F.col("name").isNotNull())
 
 
+def save_table(poi: DataFrame, name: str, buckets: int = 64) -> None:
+    """A catalogue table, bucketed by id so that payloads join answers without a shuffle of the table."""
+    poi.write.mode("overwrite").bucketBy(buckets, "osm_id").sortBy("osm_id").saveAsTable(name)
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
