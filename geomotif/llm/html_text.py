@@ -56,6 +56,7 @@ NOISE_WORDS = frozenset(
     "footer comment comments commentlist disqus respond reply replies discussion related recommended recommendations share sharing social "
     "widget toolbar pagination pager search alert disclaimer copyright legal toc skip masthead topbar".split()
 )
+ABOUT_LAYOUT = frozenset("has with without no is layout page".split())  # has-sidebar says what else the page holds
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note".split())
 ARTICLE = frozenset(["article", "main"])
 
@@ -64,16 +65,19 @@ def noise(name: str, attrs: str, in_article: bool) -> bool:
     """Whether an element holds something other than the article."""
     if name in NOISE_TAGS or name == "header" and not in_article:
         return True
-    if not attrs or attrs.isspace():
+    if not attrs or attrs.isspace() or name in ("html", "body", "main"):
         return False
     for m in ATTR.finditer(attrs):
         if m[5]:
             return True
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id"):
-            own = set(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[2] or m[3] or m[4] or "").lower()))
-            if own & NOISE_WORDS or ("header" in own and not in_article):
-                return True
+            for word in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[2] or m[3] or m[4] or "").lower().split():
+                own = re.split(r"[^a-z0-9]+", word)
+                if own[0] in ABOUT_LAYOUT:
+                    continue
+                if not NOISE_WORDS.isdisjoint(own) or ("header" in own and not in_article):
+                    return True
         elif key == "role" and value in NOISE_ROLES or key == "aria-hidden" and value == "true" or key == "hidden":
             return True
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):

@@ -158,6 +158,12 @@ def test_pages_lose_all_but_their_article(tag):
     assert html_text.extract(PAGE % (tag % BODY), w) == WANT
 
 
+def test_layout_classes_are_no_noise():
+    w = html_text.Weights({})
+    page = '<body class="has-sidebar cookie-banner"><div class="with-sidebar page-ads"><p>The text of the page is here</p></div><div class="widget">Other</div>'
+    assert html_text.extract(page, w) == "The text of the page is here"
+
+
 def test_region_is_the_best_of_all():
     rng = random.Random(3)
     for _ in range(200):
