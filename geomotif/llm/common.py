@@ -20,8 +20,8 @@ U64 = np.uint64
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > 2000:  # rows hold whole texts: smaller batches bound the memory of Python workers
-        spark.conf.set(key, "2000")
+    if int(spark.conf.get(key)) > 1000:  # rows hold whole texts: smaller batches bound the memory of Python workers
+        spark.conf.set(key, "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -82,6 +82,10 @@ def bitmap(numbers: DataFrame, size: int) -> np.ndarray:
     return np.packbits(out)
 
 
+def bits_at(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
 BITS = 1 << 24
 
 
@@ -98,8 +102,7 @@ def without(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def may_go(h: pd.Series) -> pd.Series:
-        at = h.to_numpy(np.int64)
-        return pd.Series((held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+        return pd.Series(bits_at(held.value, h.to_numpy(np.int64)))
 
     hit = F.col(col).isNotNull() & may_go(spot(col))
     return rows.where(~hit).unionByName(rows.where(hit).join(gone.distinct(), col, "left_anti").select(*rows.columns))
@@ -121,7 +124,7 @@ def text_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def chunks(batch: pa.RecordBatch, col: str, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(batch: pa.RecordBatch, col: str, max_bytes: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, past last row, bytes, offsets) with at most max_bytes of text, or one row."""
     raw, off = text_bytes(batch.column(batch.schema.get_field_index(col)))
     i, n = 0, len(off) - 1
@@ -142,7 +145,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "p" not in _POWERS or len(_POWERS["p"]) < n:
-        size = max(n, 1 << 21) + 1
+        size = max(n, 1 << 19) + 1
         for key, base in (("p", _BASE), ("q", _BASE_INV)):
             a = np.full(size, base, np.uint64)
             a[0] = 1

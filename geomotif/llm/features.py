@@ -46,10 +46,10 @@ def normalise(counts: np.ndarray) -> np.ndarray:
 
 
 def feature_chunks(batch: pa.RecordBatch, col: str, orders: tuple[int, ...]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, past last row, features, bytes, offsets), at most 256 rows and 1 MB of text or one row."""
-    for i, j, raw, off in chunks(batch, col, 1 << 20):
-        for a in range(0, j - i, 256):
-            b = min(a + 256, j - i)
+    """(first row, past last row, features, bytes, offsets), at most 128 rows and 0.5 MB of text or one row."""
+    for i, j, raw, off in chunks(batch, col, 1 << 19):
+        for a in range(0, j - i, 128):
+            b = min(a + 128, j - i)
             part = raw[off[a] : off[b]]
             o = off[a : b + 1] - off[a]
             yield i + a, i + b, normalise(ngram_counts(part, o, orders)), part, o

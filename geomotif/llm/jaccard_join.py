@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BITS, bitmap, chunks, components, drop, mix, shingle_sets, spot, stage, unit_hash
+from .common import BITS, bitmap, bits_at, chunks, components, drop, mix, shingle_sets, spot, stage, unit_hash
 
 PAIRS = "a long, b long"
 
@@ -87,7 +87,7 @@ def first_shingles(docs: DataFrame, k: int, num: int, den: int, late_bits: np.nd
                         h = (s >> np.uint64(63 - LATE_BITS)).astype(np.int64)
                         low = h < 1 << LATE_BITS
                         h = np.where(low, h, 0)
-                        often = low & ((late[h >> 3] >> (7 - (h & 7)).astype(np.uint8)) & 1).astype(bool)
+                        often = low & bits_at(late, h)
                         s = np.concatenate([s[~often][:keep], s[often][: max(0, keep - int((~often).sum()))]])
                     first.append(s[:keep].view(np.int64))
                 lens = np.array([len(x) for x in first])
@@ -104,10 +104,8 @@ def whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(spot("id")), BITS))
 
     def run(batches):
-        wanted = np.unpackbits(held.value).astype(bool)
         for batch in batches:
-            keep = wanted[batch.column(2).to_numpy(zero_copy_only=False)]
-            batch = batch.filter(pa.array(keep))
+            batch = batch.filter(pa.array(bits_at(held.value, batch.column(2).to_numpy(zero_copy_only=False))))
             for i, j, raw, off in chunks(batch, "text"):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([s.tobytes() for s in shingle_sets(raw, off, k)], pa.binary())], ["id", "set"])
 
