@@ -389,10 +389,10 @@ def sample_hash(spark, d):
     return prep.sample_modulo(places(spark, d), 40).select("osm_id")
 
 
-@query("SELECT osm_id, count(*) AS n FROM (SELECT osm_id FROM pois UNION ALL SELECT osm_id FROM pois WHERE osm_id % 5 = 0) GROUP BY osm_id HAVING count(*) > 1")
+@query("SELECT osm_id, count(*) AS n FROM (SELECT osm_id FROM pois UNION ALL SELECT osm_id FROM pois WHERE array_contains(keywords, 'PROMO')) GROUP BY osm_id HAVING count(*) > 1")
 def duplicate_ids(spark, d):
-    t = places(spark, d).select("osm_id")
-    return prep.duplicate_ids(t.unionByName(t.where("osm_id % 5 = 0")))
+    t = places(spark, d)
+    return prep.duplicate_ids(t.select("osm_id").unionByName(search.with_keyword(t, "PROMO").select("osm_id")))
 
 
 @query("SELECT round(median(s), 3) AS size FROM (SELECT (xmax - xmin + ymax - ymin) / 2 AS s FROM pois) WHERE s > 0")

@@ -6,7 +6,7 @@ centroid, a bounding box in integer micro-degrees and ``ring``, its vertices in
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +21,12 @@ GEOJSON_SCHEMA = (
 )
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x with x evaluated once: the optimizer copies a column into every place that names it, but not what a
+    lambda binds."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 # ---- keywords ------------------------------------------------------------------------------------
 
 
@@ -78,8 +84,13 @@ def micro(c: Column) -> Column:
 def wkt_vertices(wkt: Column) -> Column:
     """Vertices of POINT, LINESTRING or the outer ring of POLYGON text, in micro-degrees and without a closing one."""
     outer = F.regexp_extract(wkt, r"\(+([^()]*)\)", 1)
-    pair = lambda s: F.split(F.trim(s), r"\s+")
-    v = F.transform(F.split(outer, ","), lambda s: F.struct(micro(F.get(pair(s), F.lit(0)).cast("double")).alias("x"), micro(F.get(pair(s), F.lit(1)).cast("double")).alias("y")))
+    number = lambda q, i: micro(F.get(q, F.lit(i)).cast("double"))
+    vertex = lambda s: let(F.split(F.trim(s), r"\s+"), lambda q: F.struct(number(q, 0).alias("x"), number(q, 1).alias("y")))
+    return let(F.transform(F.split(outer, ","), vertex), unclosed)
+
+
+def unclosed(v: Column) -> Column:
+    """A ring without a last vertex that repeats the first."""
     closed = (F.size(v) > 1) & (F.element_at(v, 1) == F.element_at(v, -1))
     return F.when(closed, F.slice(v, 1, F.size(v) - 1)).otherwise(v)
 
@@ -93,7 +104,7 @@ def ring_area2(v: Column) -> Column:
 
 
 def counter_clockwise(v: Column) -> Column:
-    return F.when((F.size(v) > 2) & (ring_area2(v) < 0), F.reverse(v)).otherwise(v)
+    return let(v, lambda r: F.when((F.size(r) > 2) & (ring_area2(r) < 0), F.reverse(r)).otherwise(r))
 
 
 def ring_centroid(v: Column) -> tuple[Column, Column]:
@@ -117,16 +128,30 @@ def ring_centroid(v: Column) -> tuple[Column, Column]:
 
 def with_geometry(df: DataFrame, wkt: str = "geometry") -> DataFrame:
     """Adds ring, box and centroid (lon, lat); line strings become their centroid."""
-    df = df.withColumn("ring", counter_clockwise(wkt_vertices(F.col(wkt))))
-    cx, cy = ring_centroid(F.col("ring"))
-    df = df.withColumns({"_cx": cx, "_cy": cy})
     line = F.upper(F.trim(F.col(wkt))).startswith("LINESTRING")
-    spot = F.array(F.struct(F.round("_cx").cast("bigint").alias("x"), F.round("_cy").cast("bigint").alias("y")))
-    df = df.withColumn("ring", F.when(line, spot).otherwise(F.col("ring")))
-    xs, ys = F.transform("ring", lambda v: v["x"]), F.transform("ring", lambda v: v["y"])
-    return df.withColumns(
-        {"xmin": F.array_min(xs), "ymin": F.array_min(ys), "xmax": F.array_max(xs), "ymax": F.array_max(ys), "lon": F.col("_cx") / 1e6, "lat": F.col("_cy") / 1e6}
-    ).drop("_cx", "_cy")
+    return df.withColumn("_g", let(counter_clockwise(wkt_vertices(F.col(wkt))), lambda r: shape_of(r, line))).select(*(c for c in df.columns if c not in SHAPE), "_g.*")
+
+
+SHAPE = ("ring", "xmin", "ymin", "xmax", "ymax", "lon", "lat")
+
+
+def shape_of(ring: Column, as_point: Column, lon: Column | None = None, lat: Column | None = None) -> Column:
+    """Struct of ring, box and centroid of vertices; as_point: whether the centroid takes the ring's place."""
+    cx, cy = ring_centroid(ring)
+
+    def place(spot: Column) -> Column:
+        point = F.array(F.struct(F.round(spot["x"]).cast("bigint").alias("x"), F.round(spot["y"]).cast("bigint").alias("y")))
+
+        def boxed(r: Column) -> Column:
+            xs, ys = F.transform(r, lambda v: v["x"]), F.transform(r, lambda v: v["y"])
+            return F.struct(
+                r.alias("ring"), F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"),
+                F.coalesce(*([lon] if lon is not None else []), spot["x"] / 1e6).alias("lon"), F.coalesce(*([lat] if lat is not None else []), spot["y"] / 1e6).alias("lat"),
+            )
+
+        return let(F.when(as_point, point).otherwise(ring), boxed)
+
+    return let(F.struct(cx.cast("double").alias("x"), cy.cast("double").alias("y")), place)
 
 
 def ring_wkt(ring: Column) -> Column:
@@ -192,13 +217,8 @@ def read_geojson(spark: SparkSession, path: str, multi_line: bool = False) -> Da
     numbers = F.transform(F.split(flat, ","), lambda s: s.cast("double"))
     points = F.when(F.col("geometry.type") == "Point", F.array(numbers)).otherwise(F.from_json(F.regexp_extract("geometry.coordinates", r"^\[(\[\[.*?\]\])", 1), "array<array<double>>"))
     ring = F.transform(points, lambda q: F.struct(micro(F.get(q, F.lit(0))).alias("x"), micro(F.get(q, F.lit(1))).alias("y")))
-    closed = (F.size(ring) > 1) & (F.element_at(ring, 1) == F.element_at(ring, -1))
-    ring = counter_clockwise(F.when(closed, F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring))
-    df = df.select(F.coalesce(p["osm_id"], p["id"]).alias("osm_id"), p["name"].alias("name"), words.alias("keywords"), ring.alias("ring"), F.col("centroid.coordinates").alias("c"))
-    cx, cy = ring_centroid(F.col("ring"))
-    df = df.withColumns({"lon": F.coalesce(F.get("c", F.lit(0)), cx / 1e6), "lat": F.coalesce(F.get("c", F.lit(1)), cy / 1e6)}).drop("c")
-    xs, ys = F.transform("ring", lambda v: v["x"]), F.transform("ring", lambda v: v["y"])
-    df = df.withColumns({"xmin": F.array_min(xs), "ymin": F.array_min(ys), "xmax": F.array_max(xs), "ymax": F.array_max(ys)})
+    shape = let(counter_clockwise(let(ring, unclosed)), lambda r: shape_of(r, F.lit(False), F.get("centroid.coordinates", F.lit(0)), F.get("centroid.coordinates", F.lit(1))))
+    df = df.select(F.coalesce(p["osm_id"], p["id"]).alias("osm_id"), p["name"].alias("name"), words.alias("keywords"), shape.alias("g")).select("osm_id", "name", "keywords", "g.*")
     return df.where((F.size("keywords") > 0) | F.col("name").isNotNull())
 
 

@@ -16,25 +16,25 @@ from ..sources.poi import TAGS, keywords_of
 X0, Y0, WIDTH, HEIGHT = -204790, 51455906, 173397, 107919
 BOUNDS = (X0 / 1e6, Y0 / 1e6, (X0 + WIDTH) / 1e6, (Y0 + HEIGHT) / 1e6)
 
-#: table, key, first id, tag columns, multipliers, half sides, filter
+#: table, key, first id, tag columns, multipliers, half sides
 LAYERS = (
-    ("customer", "c_custkey", 1_000_000, "c_name", {"amenity": "c_mktsegment"}, 7919, 104729, "50 + ({k} % 7) * 40", "50 + ({k} % 5) * 40", None),
-    ("part", "p_partkey", 2_000_000, "p_name", {"shop": "p_brand", "building": "p_type"}, 6101, 7907, "50 + ({k} % 7) * 40", "50 + ({k} % 5) * 40", None),
-    ("supplier", "s_suppkey", 3_000_000, "s_name", {"tourism": "'depot'"}, 15485863, 32452843, "4000", "2500", None),
-    ("orders", "o_orderkey", 4_000_000, "o_orderstatus", {"landuse": "o_orderpriority"}, 1299709, 611953, "1500 + ({k} % 7) * 100", "1000 + ({k} % 5) * 100", "o_orderkey % 10 = 0"),
-    ("events", "event_id", 5_000_000, "event_type", {"leisure": "event_type"}, 179424673, 86028121, "0", "0", "event_id % 10 = 0"),
+    ("customer", "c_custkey", 1_000_000, "c_name", {"amenity": "c_mktsegment"}, 7919, 104729, "50 + ({k} % 7) * 40", "50 + ({k} % 5) * 40"),
+    ("part", "p_partkey", 2_000_000, "p_name", {"shop": "p_brand", "building": "p_type"}, 6101, 7907, "50 + ({k} % 7) * 40", "50 + ({k} % 5) * 40"),
+    ("supplier", "s_suppkey", 3_000_000, "s_name", {"tourism": "'depot'"}, 15485863, 32452843, "4000", "2500"),
+    ("orders", "o_orderkey", 4_000_000, "o_orderstatus", {"landuse": "o_orderpriority"}, 1299709, 611953, "1500 + ({k} % 7) * 100", "1000 + ({k} % 5) * 100"),
+    ("events", "event_id", 5_000_000, "event_type", {"leisure": "event_type"}, 179424673, 86028121, "0", "0"),
 )
 
 
 def layer_sql(layer: tuple, source: str) -> str:
     """SELECT of one layer, in words that Spark SQL and DuckDB both read."""
-    _, key, first, label, tags, mx, my, hx, hy, where = layer
+    _, key, first, label, tags, mx, my, hx, hy = layer
     k = f"CAST({key} AS BIGINT)"
     cols = [f"{first} + {k} AS osm_id", f"CAST({label} AS VARCHAR(200)) AS name"]
     cols += [f"CAST({tags[t]} AS VARCHAR(50)) AS {t}" if t in tags else f"CAST(NULL AS VARCHAR(50)) AS {t}" for t in TAGS]
     cols += [f"{X0} + ({k} * {mx}) % {WIDTH} AS x", f"{Y0} + ({k} * {my}) % {HEIGHT} AS y"]
     cols += [f"CAST({hx.format(k=k)} AS BIGINT) AS hx", f"CAST({hy.format(k=k)} AS BIGINT) AS hy"]
-    return f"SELECT {', '.join(cols)} FROM {source}" + (f" WHERE {where}" if where else "")
+    return f"SELECT {', '.join(cols)} FROM {source}"
 
 
 def layers(spark: SparkSession, sf_dir: str) -> list[DataFrame]:

@@ -7,4 +7,4 @@ def test_every_query_is_callable_and_named_alike():
 
 
 def test_entry(spark):
-    assert e.entry(spark).count() == 45
+    assert e.entry(spark).count() == 617
