@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geomotif.llm import jaccard_join, langid, mixing, packing
-from geomotif.llm.common import fresh, stage, table, without
+from geomotif.llm.common import fresh, small_batches, stage, table, without
 
 #: Weights of the domains of the labels table in the mixture, by tokens.
 TARGETS = {"high": 0.84, "low": 0.14, "toxic": 0.02}
@@ -20,6 +20,7 @@ TARGETS = {"high": 0.84, "low": 0.14, "toxic": 0.02}
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language and those that two languages claim about equally."""
+    small_batches(spark)
     lang, score, doubt = fresh(docs, "lang_pred", "score", "ambiguous")
     model = langid.fit(docs)
     judged = langid.predict(docs, model, keep_text=True, names=(lang, score, doubt))
@@ -29,6 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group linked by a similarity of 0.8 on five-word shingles."""
+    small_batches(spark)
     found = stage(jaccard_join.jaccard_components(docs.select("doc_id", "text"), k=5, num=80, den=100), "near")
     out = without(docs, found.where("doc_id <> component_id").select("doc_id"), "doc_id")
     again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
@@ -45,6 +47,7 @@ def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens: a row for each piece of a document."""
+    small_batches(spark)
     return packing.pack(packing.token_pieces(docs, capacity=1024), capacity=1024)
 
 

@@ -18,10 +18,15 @@ U64 = np.uint64
 # ---- tables -----------------------------------------------------------------------------------
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows hold whole texts: smaller Arrow batches bound the memory of Python workers."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > 1000:  # rows hold whole texts: smaller batches bound the memory of Python workers
-        spark.conf.set(key, "1000")
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
