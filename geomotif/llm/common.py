@@ -18,11 +18,12 @@ U64 = np.uint64
 # ---- tables -----------------------------------------------------------------------------------
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows hold whole texts: smaller Arrow batches bound the memory of Python workers."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 4000, size: int = 4 << 20) -> None:
+    """Rows hold whole texts: Arrow batches limited in bytes bound what executors hold outside the heap."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(spark.conf.get(key, str(1 << 30)).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
