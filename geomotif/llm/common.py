@@ -41,22 +41,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here and lost executors cost no rerun."""
+    """Write df to the shared folder and read it back: lineage ends here and lost executors cost no rerun. The files go
+    when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/geomotif-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
+    where, fs = _files(spark, path)
+    fs.deleteOnExit(where)
     return out
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more."""
     path = getattr(df, "staged_at", None)
     if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        where, fs = _files(df.sparkSession, path)
+        fs.delete(where, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
