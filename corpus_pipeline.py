@@ -11,11 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geomotif.llm import jaccard_join, langid, mixing, packing
+from geomotif.llm import jaccard_join, langid, mixing, packing, queries
 from geomotif.llm.common import fresh, small_batches, stage, table, without
 
-#: Weights of the domains of the labels table in the mixture, by tokens.
-TARGETS = {"high": 0.84, "low": 0.14, "toxic": 0.02}
+#: Domains of the labels table between which the mixture weighs, and their weights by tokens: toxic text has the weight
+#: that op1 gives it. High and low quality are one domain here, as documents don't repeat in the packed sequences: a
+#: weight between the two could be reached by deleting clean text alone.
+DOMAIN = "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality is not null THEN 'clean' END"
+TARGETS = {"clean": 1 - queries.TARGETS["toxic"], "toxic": queries.TARGETS["toxic"]}
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +43,14 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The largest mixture at the target weights in which no document repeats."""
-    rated, _ = mixing.mix(docs, table(spark, sf_dir, "labels"), TARGETS, max_rate=1.0)
-    return without(docs, rated.where("copies = 0").select("doc_id"), "doc_id")
+    """All documents that are labelled as clean or judged no likelier toxic than clean, and of the others as many as make
+    up toxic's weight. Rows of one id stay or go together."""
+    labels = table(spark, sf_dir, "labels")
+    rated, domains = mixing.mix(docs, labels, TARGETS, max_rate=1.0, domain=DOMAIN)
+    clean = F.col("posterior")[domains.index("clean")] if "clean" in domains else F.lit(0.0)
+    gone = rated.groupBy("doc_id").agg(F.max((F.col("copies") > 0) | (clean >= 0.5)).alias("kept")).where("not kept")
+    known = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")).where(F.expr(DOMAIN) == "clean")
+    return without(docs, gone.join(known, "doc_id", "left_anti").select("doc_id"), "doc_id")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -162,10 +162,11 @@ def apply_rates(table: DataFrame, history: list[np.ndarray], pull: float = 1e-4,
 LABEL_DOMAIN = "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'high' WHEN quality = 0 THEN 'low' END"
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], max_rate: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
-    """((id, tokens, posterior, rate, copies), domains) for a labels table with quality and toxic."""
+def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], max_rate: float | None = None, id_col: str = "doc_id", text_col: str = "text", domain: str = LABEL_DOMAIN) -> tuple[DataFrame, list[str]]:
+    """((id, tokens, posterior, rate, copies), domains) for a labels table with quality and toxic, of which ``domain``
+    makes the domains."""
     once = labels.groupBy(id_col).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    model = fit_domains(docs, once, F.expr(LABEL_DOMAIN), id_col, text_col)
+    model = fit_domains(docs, once, F.expr(domain), id_col, text_col)
     narrow = stage(posteriors(docs, model, id_col, text_col), "mix")
     history = fit_rates(narrow, model.domains, targets, max_rate=max_rate)
     return apply_rates(narrow, history, max_rate=max_rate, id_col=id_col), model.domains

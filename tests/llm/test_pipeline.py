@@ -74,6 +74,23 @@ def test_repeated_rows_and_missing_ids(spark, folder):
         assert f(spark, more, folder).columns == more.columns
 
 
+@pytest.mark.parametrize("shares", [(85, 3, 12), (5, 80, 15), (60, 39.5, 0.5)])
+def test_mixing_keeps_clean_documents(spark, tmp_path, shares):
+    rng = random.Random(12)
+    vocabulary = {"high": "lorem ipsum dolor sit amet", "low": "zzz |||| %%% ### $$", "toxic": "vile bad nasty awful gross"}
+    kinds = rng.choices(list(vocabulary), shares, k=1200)
+    rows = [(i, " ".join(rng.choices(vocabulary[kind].split(), k=rng.randint(30, 60))), "en", "s", 0) for i, kind in enumerate(kinds)]
+    labels = [(i, int(kind != "low"), int(kind == "toxic")) for i, kind in enumerate(kinds) if i % 2]
+    rows.append((1200, "vile bad nasty awful gross " * 9, "en", "s", 0))  # labelled as clean, whatever it looks like
+    labels.append((1200, 1, 0))
+    kinds.append("high")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id: len(r.text.split()) for r in cp.mixing_to_targets(spark, spark.createDataFrame(rows, DOCS), str(tmp_path)).collect()}
+    assert all(i in kept for i, kind in enumerate(kinds) if kind != "toxic")
+    toxic = sum(n for i, n in kept.items() if kinds[i] == "toxic") / sum(kept.values())
+    assert toxic < 0.03 and (shares[2] > 2) == (toxic > 0.01)
+
+
 def test_empty_tables(spark, folder):
     d = spark.read.parquet(f"{folder}/documents.parquet").where("false")
     for _, f in cp.STAGES[:-1]:
