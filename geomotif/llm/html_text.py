@@ -33,6 +33,7 @@ TOKEN = re.compile(
 )
 ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
+CLOSING = {name: re.compile(f"</{name}", re.IGNORECASE | re.ASCII) for name in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -89,7 +90,6 @@ def read(page: str) -> list[tuple]:
     """The page as ("w", context, text, number of words, is noise) and ("t", tag, ends a block, in article, is noise)."""
     out: list[tuple] = []
     stack: list[tuple[str, bool, bool]] = []  # name, noise and in article, both with what holds it
-    low = None
     at, end = 0, len(page)
 
     def text(piece: str) -> None:
@@ -114,13 +114,9 @@ def read(page: str) -> list[tuple]:
         name, closing, attrs = name.lower(), bool(m["end"] or m["end2"]), m["attrs"] or m["attrs2"] or ""
         if name in RAW and not closing:
             if not attrs.endswith("/") or name in ("script", "style", "textarea", "title"):
-                low = page.lower() if low is None else low
-                stop = low.find(f"</{name}", at) if len(low) == end else -1
-                if stop < 0:
-                    at = end
-                else:
-                    close = page.find(">", stop)
-                    at = end if close < 0 else close + 1
+                stop = CLOSING[name].search(page, at)
+                close = page.find(">", stop.end()) if stop else -1
+                at = end if close < 0 else close + 1
             continue
         if closing:
             if name in HELD:

@@ -164,6 +164,11 @@ def test_layout_classes_are_no_noise():
     assert html_text.extract(page, w) == "The text of the page is here"
 
 
+def test_letters_that_grow_in_lower_case():
+    page = "<head><title>\u0130stanbul</TITLE ><script>'\u0130'</Script><style>p{}</style></head><body><article><h1>\u0130zmir</h1><p>Text of the page</p></article>"
+    assert html_text.extract(page, html_text.Weights({})) == "\u0130zmir\n\nText of the page"
+
+
 def test_region_is_the_best_of_all():
     rng = random.Random(3)
     for _ in range(200):
