@@ -6,6 +6,9 @@ pages, those that mark their article, of which a bounded sample is counted. One
 region with the greatest sum. Of that region, what stands in menus, forms, notices, adverts, comments and the
 like is left out, and the rest is joined by blocks.
 
+Noise is told by tags, roles, and the last part of classes and ids; an article is none by its class, and where the word is
+one that may name a subject (legal, discussion), the scores of what the element holds decide.
+
 Defined results: null or empty html, or a page without words, gives an empty text; of equal regions the first
 is taken; repeated rows give equal results; an empty table gives no rows; other columns pass through, and those of
 the new names are replaced. Tags
@@ -17,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from html import unescape
+from itertools import accumulate
 from math import log
 
 import pyarrow as pa
@@ -50,48 +54,83 @@ ENDS = {  # elements that a tag of the same kind ends, if no element of the seco
     "a": frozenset(),
 }
 CLOSES_P = BLOCK - frozenset("option optgroup legend caption tbody thead tfoot tr body html head".split())
-NOISE_TAGS = frozenset("nav footer aside form button select menu dialog svg object audio video canvas head search label math fieldset".split())
+NOISE_TAGS = frozenset("nav footer aside form button select menu dialog svg object audio video canvas head search label fieldset".split())
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice "
     "popup modal overlay newsletter subscribe subscription signup login sidebar side menu nav navbar navigation breadcrumb breadcrumbs "
     "footer comment comments commentlist disqus respond reply replies discussion related recommended recommendations share sharing social "
     "widget toolbar pagination pager search alert disclaimer copyright legal toc skip masthead topbar".split()
 )
+DOUBTFUL = frozenset(  # words that may as well name what a text is about
+    "alert disclaimer copyright legal discussion related recommended recommendations share sharing social search side menu "
+    "reply replies respond promotion subscription toc skip overlay".split()
+)
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+TOPICS = frozenset("category tag topic".split())  # category-legal names a subject
+HOLDERS = frozenset(  # a share-box is for sharing, a share-price is not
+    "area bar block body bottom box btn button buttons container content form group holder icons inner item items large leaderboard left "
+    "link links list outer panel popup posts rail right section slot small sticky stories top unit widget widgets wrap wrapper".split()
+)
 ABOUT_LAYOUT = frozenset("has with without no is layout page".split())  # has-sidebar says what else the page holds
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note".split())
 ARTICLE = frozenset(["article", "main"])
 
 
-def noise(name: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element holds something other than the article."""
+PLAIN, NOISE, NAMED, REMARKS, DOUBT = range(5)  # no noise, noise for sure, by a class or id, by one of comments, by a doubtful one
+
+
+def named(word: str, in_article: bool) -> int:
+    """What a class or id says of an element: by its last part, those aside that only say that it holds something."""
+    own = [x for x in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", word).lower()) if x]
+    if not own or own[0] in ABOUT_LAYOUT:
+        return PLAIN
+    while len(own) > 1 and (own[-1] in HOLDERS or own[-1][0].isdigit()):
+        own.pop()
+    if own[-1] in NOISE_WORDS:
+        return DOUBT if own[-1] in DOUBTFUL or len(own) > 1 and own[0] in TOPICS else REMARKS if own[-1] in COMMENTS else NAMED
+    return NAMED if own[-1] == "header" and not in_article else PLAIN
+
+
+def noise(name: str, attrs: str, in_article: bool, in_text: bool = False) -> int:
+    """Whether an element holds something other than the article, and what tells so."""
     if name in NOISE_TAGS or name == "header" and not in_article:
-        return True
+        if not (in_article and name in ("label", "fieldset") or in_text and name == "label"):
+            return NOISE
     if not attrs or attrs.isspace() or name in ("html", "body", "main"):
-        return False
+        return PLAIN
+    out = PLAIN
     for m in ATTR.finditer(attrs):
         if m[5]:
-            return True
+            return NOISE
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id"):
-            for word in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[2] or m[3] or m[4] or "").lower().split():
-                own = re.split(r"[^a-z0-9]+", word)
-                if own[0] in ABOUT_LAYOUT:
-                    continue
-                if not NOISE_WORDS.isdisjoint(own) or ("header" in own and not in_article):
-                    return True
+            for word in (m[2] or m[3] or m[4] or "").split():
+                say = named(word, in_article)
+                if name == "article" and not (in_article and say == REMARKS):
+                    continue  # its text is the article, unless it is a comment within one
+                if say and out in (PLAIN, DOUBT):
+                    out = say
         elif key == "role" and value in NOISE_ROLES or key == "aria-hidden" and value == "true" or key == "hidden":
-            return True
+            return NOISE
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return NOISE
+    return out
 
 
-def read(page: str) -> list[tuple]:
-    """The page as ("w", context, text, number of words, is noise) and ("t", tag, ends a block, in article, is noise)."""
+def read(page: str, keep: frozenset[int] = frozenset(), found: list[list[int]] | None = None) -> list[tuple]:
+    """The page as ("w", context, text, number of words, is noise) and ("t", tag, ends a block, in article, is noise).
+    Elements at the places ``keep`` are no noise whatever their class; ``found`` takes [place, kind, first token, past
+    last token] of those that are noise by a class."""
     out: list[tuple] = []
+    open_: list[list[int]] = []  # entries of found on the stack, each with its depth behind
     stack: list[tuple[str, bool, bool]] = []  # name, noise and in article, both with what holds it
     at, end = 0, len(page)
 
+    def close_from(k: int) -> None:
+        del stack[k:]
+        while open_ and open_[-1][4] >= k:
+            open_.pop()[3:] = [len(out)]
+
     def text(piece: str) -> None:
         name, bad, inside = stack[-1] if stack else ("", False, False)
         if not piece.isspace():
@@ -122,7 +161,7 @@ def read(page: str) -> list[tuple]:
             if name in HELD:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
-                        del stack[k:]
+                        close_from(k)
                         break
                     if stack[k][0] in ("td", "th", "table") and name not in ("table", "tr", "tbody", "body", "html"):
                         break
@@ -132,19 +171,44 @@ def read(page: str) -> list[tuple]:
                 for k in range(len(stack) - 1, -1, -1):
                     n = stack[k][0]
                     if n == "p" and name in CLOSES_P or n == name and bounds is not None:
-                        del stack[k:]
+                        close_from(k)
                         break
                     if bounds is not None and n in bounds or bounds is None and n not in ("a", "label"):
                         break
             if name in HELD and name not in VOID:
                 _, bad, inside = stack[-1] if stack else ("", False, False)
-                bad = bad or noise(name, attrs, inside)
+                say = noise(name, attrs, inside, name == "label" and any(n == "p" for n, *_ in stack))
+                if say > NOISE:
+                    if found is not None:
+                        found.append([m.start(), say, len(out), end, len(stack)])
+                        open_.append(found[-1])
+                    say = PLAIN if m.start() in keep else say
+                bad = bad or say != PLAIN
                 stack.append((name, bad, inside or name in ARTICLE and not bad))
         _, bad, inside = stack[-1] if stack else ("", False, False)
         out.append(("t", name, name in BLOCK, inside, bad, name in LOOSE))
+    close_from(0)
     return out
 
 
+def reading(page: str, weights: Weights, least: float = 8.0) -> list[tuple]:
+    """The page, where an element stays whose class is doubtful but whose words score as text, and, where no article is
+    marked, one that holds most of the page's words (but comments)."""
+    found: list[list[int]] = []
+    tokens = read(page, found=found)
+    if not found:
+        return tokens
+    is_marked = marked(tokens)
+    size = [0, *accumulate(t[3] if t[0] == "w" else 0 for t in tokens)]
+    score = [0.0, *accumulate(weights.plain(t) if t[0] == "w" else 0.0 for t in tokens)]
+    keep = set()
+    for at, kind, a, b in found:
+        most = not is_marked and kind != REMARKS and 2 * (size[b] - size[a]) > size[-1]
+        if most or kind == DOUBT and score[b] - score[a] >= least:
+            keep.add(at)
+    return read(page, frozenset(keep)) if keep else tokens
+
+
 def marked(tokens: list[tuple]) -> bool:
     return any(t[0] == "w" and t[1][0] and not t[4] and t[3] for t in tokens)
 
@@ -202,6 +266,14 @@ class Weights:
         v = max(-4.0, min(4.0, log((inside + a) / (outside + b))))
         return v if f[0] == "w" else -0.1 - max(0.0, -v) / 4
 
+    def plain(self, token: tuple) -> float:
+        """The score of words as if they were neither noise nor in an article."""
+        _, _, holder, link = token[1]
+        f = f"w 0 {holder or '-'} {int(link)}"
+        if f not in self.score:
+            self.score[f] = self.odds(f, 0, 0)
+        return self.score[f] * token[3]
+
     def of(self, token: tuple, has_article: bool) -> float:
         if token[0] == "w" and token[1][0] and token[1][1]:
             return 0.0  # noise within the article is left out later and need not end the region
@@ -230,7 +302,7 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 def extract(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
-    tokens = read(page)
+    tokens = reading(page, weights)
     has = marked(tokens)
     a, b = best_region([weights.of(t, has) for t in tokens])
     blocks, now = [], []

@@ -164,6 +164,30 @@ def test_layout_classes_are_no_noise():
     assert html_text.extract(page, w) == "The text of the page is here"
 
 
+PROSE = "The court held that the rule applies to all who had signed the paper before the end of the year"
+
+
+@pytest.mark.parametrize("tag", ["article class='post category-legal'", "div class='entry social-science'", "section id=related-work", "p class=search-methods", "div class=share-price", "div class=alert-levels", "section class=discussion", "div class='post category-ads'", "div class=widget"])
+@pytest.mark.parametrize("page", ["<body><nav><ul><li><a href=/>Home</a></ul></nav>%s</body>", "<body><article><h1>Title</h1>%s</article></body>"])
+def test_article_text_stays_whatever_its_subject(tag, page):
+    got = html_text.extract(page % f"<{tag}>{PROSE}</{tag.split()[0]}>", html_text.Weights({}))
+    if tag != "div class=widget":
+        assert PROSE in got
+    else:
+        assert (PROSE in got) == ("<article>" not in page)
+
+
+def test_short_sections_and_parts_of_sentences_stay():
+    page = "<article><p>Let <math><mi>x</mi></math> be <label>the name</label> of it.</p><fieldset>Boxed</fieldset><p class=search-methods>We looked.</p><p>More text</p></article>"
+    assert html_text.extract(page, html_text.Weights({})) == "Let x be the name of it.\n\nBoxed\n\nWe looked.\n\nMore text"
+
+
+@pytest.mark.parametrize("tag", ["div class=share-buttons", "div class=share", "div id=ad-container", "div class=ad-728x90", "ul class=related-posts", "div class=comment-list", "div class=cookieBanner", "article class=comment"])
+def test_noise_in_articles_still_goes(tag):
+    page = f"<article><p>{PROSE}</p><{tag}><a href=/x>Share</a> <a href=/y>this one</a></{tag.split()[0]}><p>{PROSE}</p></article>"
+    assert html_text.extract(page, html_text.Weights({})) == PROSE + "\n\n" + PROSE
+
+
 def test_letters_that_grow_in_lower_case():
     page = "<head><title>\u0130stanbul</TITLE ><script>'\u0130'</Script><style>p{}</style></head><body><article><h1>\u0130zmir</h1><p>Text of the page</p></article>"
     assert html_text.extract(page, html_text.Weights({})) == "\u0130zmir\n\nText of the page"
