@@ -36,11 +36,11 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def token_pieces(df: DataFrame, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """(id, piece, start, length, ids_crc32) of every document."""
+def token_pieces(df: DataFrame, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, added: bool = False) -> DataFrame:
+    """(id, piece, start, length, ids_crc32) of every document; path and added as in encoder."""
 
     def run(batches):
-        enc, _ = encoder(path)
+        enc, _ = encoder(path, added)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
             row, piece, start, length, crc = [], [], [], [], []

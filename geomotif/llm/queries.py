@@ -46,7 +46,7 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), capacity=1024)
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), capacity=1024, added=True)
     return packing.pack(pieces, capacity=1024)
 
 
@@ -66,7 +66,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), rule="start")
+    return tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), rule="start", added=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -13,7 +13,8 @@ through, and those of the new names are replaced; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
+import json
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,20 +24,27 @@ from pyspark.sql import types as T
 RULES = ("start", "end", "most")
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str | None = None):
+@lru_cache(maxsize=4)
+def encoder(path: str | None = None, added: bool = False):
     """(encode function, byte length of each id). path: a .tiktoken rank file; by default that of the
-    50k byte-level vocabulary, whose ids equal those of its tokenizers file."""
+    50k byte-level vocabulary, whose ids equal those of its tokenizers file. added: whether the file's added tokens
+    have their own ids where a text holds them, as with tokenizers at its defaults; else they are ordinary text."""
     import public_tokenizers
     import tiktoken
 
     lines = open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read().splitlines()
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    size = np.zeros(max(ranks.values()) + 2, np.int64)
-    for b, i in ranks.items():
+    own: dict[str, int] = {}
+    if added:
+        if path:
+            raise ValueError("a rank file names no added tokens")
+        with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+            own = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=own)
+    size = np.zeros(max([*ranks.values(), *own.values()]) + 2, np.int64)
+    for b, i in [*ranks.items(), *((t.encode(), i) for t, i in own.items())]:
         size[i] = len(b)
-    return enc.encode_ordinary, size
+    return partial(enc.encode, allowed_special="all", disallowed_special=()) if own else enc.encode_ordinary, size
 
 
 def encode(text: str | None, path: str | None = None) -> np.ndarray:
@@ -77,10 +85,10 @@ def char_to_byte(text: bytes) -> np.ndarray:
     return np.append(np.flatnonzero((b & 0xC0) != 0x80), len(b))
 
 
-def count_tokens(df: DataFrame, text_col: str = "text", sections_col: str | None = None, rule: str = "start", path: str | None = None) -> DataFrame:
+def count_tokens(df: DataFrame, text_col: str = "text", sections_col: str | None = None, rule: str = "start", path: str | None = None, added: bool = False) -> DataFrame:
     """df without its text, with ``n_tokens``, ``section_tokens`` (one count for each section),
     ``n_crossing`` and ``n_outside``. sections_col: array<struct<start:int,end:int>> of character
-    intervals, sorted and disjoint; by default the lines of the text."""
+    intervals, sorted and disjoint; by default the lines of the text. added: as in encoder."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     made = [("n_tokens", T.LongType()), ("section_tokens", T.ArrayType(T.LongType())), ("n_crossing", T.LongType()), ("n_outside", T.LongType())]
@@ -88,7 +96,7 @@ def count_tokens(df: DataFrame, text_col: str = "text", sections_col: str | None
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(n, t) for n, t in made])
 
     def run(batches):
-        enc, sizes = encoder(path)
+        enc, sizes = encoder(path, added)
         for batch in batches:
             cols = {c: [] for c, _ in made}
             texts = batch.column(batch.schema.get_field_index(text_col))

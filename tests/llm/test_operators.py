@@ -549,6 +549,28 @@ def test_token_counts_of_odd_tables(spark):
         tokens.count_tokens(d, rule="none")
 
 
+def test_queries_know_the_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+    from geomotif.llm import queries
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ODD + ["<|endoftext|>", "a <|endoftext|>  b\n<|endoftext|><|endoftext|>é", "<|endoftext|", "x  <|endoftext|>\n\n y<|ENDOFTEXT|> 漢字 it's 12 <|endoftext|> " * 300]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: t.encode(x or "", add_special_tokens=False).ids for i, x in enumerate(texts)}
+    assert want[9][0] == 50256
+    rows = defaultdict(list)
+    for r in queries.op7_packing(spark, str(tmp_path)).collect():
+        rows[r.doc_id].append(r)
+    counts = {r.doc_id: r for r in queries.op10_token_counts(spark, str(tmp_path)).collect()}
+    for i, ids in want.items():
+        ids = np.array([*ids, packing.END_ID], "<u4")
+        assert sorted((r.start, r.length, r.ids_crc32) for r in rows[i]) == [(a, n, zlib.crc32(ids[a : a + n].tobytes())) for a, n in packing.cut(len(ids), 1024)]
+        assert counts[i].n_tokens == len(ids) - 1 == sum(counts[i].section_tokens)
+        assert tokens.encoder(added=True)[1][ids[:-1]].sum() == len((texts[i] or "").encode())
+
+
 # ---- the rest -----------------------------------------------------------------------------------
 
 
