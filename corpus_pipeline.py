@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the
 columns of docs. Defined results: a document without a letter, or whose language is a mere guess, is rejected;
-of each group of near duplicates, and of repeated rows, one stays, and a document without an id stays; without
+of each group of near duplicates, and of repeated rows of one id and text, one stays, and a document without an id stays; without
 labels every document keeps its place in the mixture; null texts count as empty; empty tables give no rows.
 """
 
@@ -34,11 +34,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group linked by a similarity of 0.8 on five-word shingles."""
     small_batches(spark)
-    found = stage(jaccard_join.jaccard_components(docs.select("doc_id", "text"), k=5, num=80, den=100), "near")
-    out = without(docs, found.where("doc_id <> component_id").select("doc_id"), "doc_id")
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not again.isEmpty():  # rows of one id
-        out = without(out, again, "doc_id").unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    if not jaccard_join.repeats(docs, "doc_id"):
+        found = stage(jaccard_join.jaccard_components(docs.select("doc_id", "text"), k=5, num=80, den=100), "near")
+        return without(docs, found.where("doc_id <> component_id").select("doc_id"), "doc_id").select(*docs.columns)
+    # rows of one id: those of equal text are one document, those of different texts are several
+    (key,) = fresh(docs, "key")
+    keyed = docs.withColumn(key, jaccard_join.row_key("doc_id", "text"))
+    found = jaccard_join.jaccard_components(keyed.select(key, "text"), k=5, num=80, den=100, id_col=key).withColumnRenamed(key, "k")
+    found = stage(found.join(keyed.where("doc_id is not null").select(F.col(key).alias("k"), "doc_id").distinct(), "k"), "near")
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "k")).alias("first"))
+    out = without(keyed, found.join(first, "component_id").where("k <> first.k").select("k"), key)
+    again = found.groupBy("k").count().where("count > 1").select(F.col("k").alias(key))
+    out = without(out, again, key).unionByName(out.join(again, key, "left_semi").dropDuplicates([key]))
     return out.select(*docs.columns)
 
 

@@ -19,8 +19,8 @@ Pairs already joined through others are not compared, so a group of near copies
 document; no pair of documents in different components is left out. Equal shingle sets are joined once.
 
 Defined results: a document without words, or with null text, has no shingles and is alone; one with fewer words
-than ``k`` has its whole sequence as its one shingle; repeated rows of an id have that id's component; a null id has
-a null component; an empty table gives no rows. Shingles are compared by 64-bit hashes.
+than ``k`` has its whole sequence as its one shingle; repeated rows have the same component, and
+rows of one id with different texts each that of their text; a null id has a null component; an empty table gives no rows. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -193,9 +193,32 @@ def labelled(t: DataFrame, comp: DataFrame, col: str = "rep") -> DataFrame:
     return t.join(c, col, "left").withColumn("label", F.coalesce("label", col))
 
 
+def row_key(id_col: str, text_col: str) -> F.Column:
+    """A 64-bit hash of id and text, null where the id is."""
+    return F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col, F.coalesce(text_col, F.lit(""))))
+
+
+def repeats(docs: DataFrame, id_col: str) -> bool:
+    """Whether an id has several rows."""
+    return not docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty()
+
+
 def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1, crowd: int = 64) -> DataFrame:
     """(id, n_shingles, component_id) of every document; links need intersection / union >= num / den."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if not repeats(docs, "id"):
+        out = components_of(docs, k, num, den, rounds, crowd, True)
+    else:  # rows of one id may have different texts: each text has its own key
+        keyed = docs.withColumn("key", row_key("id", "text"))
+        found = components_of(keyed.select(F.col("key").alias("id"), "text"), k, num, den, rounds, crowd, False)
+        found = stage(found.withColumnRenamed("id", "key").join(keyed.where("id is not null").select("key", "id").distinct(), "key", "left"), "keyed")
+        least = found.where("id is not null").groupBy("component_id").agg(F.min("id").alias("least"))
+        out = found.join(least, "component_id", "left").select("id", "n_shingles", F.col("least").alias("component_id"))
+    return out.withColumnRenamed("id", id_col)
+
+
+def components_of(docs: DataFrame, k: int, num: int, den: int, rounds: int, crowd: int, single: bool) -> DataFrame:
+    """(id, n_shingles, component_id) of docs (id, text), in which an id has one text, and one row if ``single``."""
     first = stage(first_shingles(docs, k, num, den, late_shingles(docs, k)), "first")
     group = ["n", "f1", "f2"]
     reps = stage(first.where("n > 0 and id is not null").groupBy(*group).agg(F.min("id").alias("rep")), "reps")
@@ -227,7 +250,6 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     head = rows.groupBy(*area).agg(F.min(F.struct("rep", "n", "pos", "reach")).alias("p"), F.count("*").alias("m")).where("m > 1").drop("m")
     rows = rows.join(head, area)
     away = rows.where("rep <> p.rep").select(F.col("rep").alias("a"), F.col("p.rep").alias("b")).distinct()
-    single = first.groupBy("id").count().where("count > 1").isEmpty()  # else rows of one id are dropped from each table by id
     once = lambda t: t if single else t.dropDuplicates(["id"])
     sketches = once(first.select("id", "sketch"))
     away = stage(count_distance(away, sketches), "distances")
@@ -287,4 +309,4 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     # back to all documents
     of_set = labelled(reps, comp).select(*group, F.col("label").alias("component_id"))
     out = first.select("id", *group).join(of_set, group, "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    return out.select("id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))

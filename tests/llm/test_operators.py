@@ -306,6 +306,14 @@ def test_jaccard_of_odd_tables(spark):
     assert jaccard_join.jaccard_components(d.where("false")).count() == 0
 
 
+def test_different_texts_of_one_id(spark):
+    texts = {"a": "a b c d e f g", "b": "q r s t u v w x"}
+    rows = [(7, "a"), (7, "b"), (3, "b"), (5, "a"), (7, "a"), (9, "b"), (2, None), (2, "a")]
+    d = spark.createDataFrame([(i, texts.get(t)) for i, t in rows], "doc_id long, text string")
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_components(d).collect())
+    assert got == sorted((i, {"a": 4, "b": 5, None: 0}[t], {"a": 2, "b": 3, None: 2}[t]) for i, t in rows)
+
+
 # ---- 5 ------------------------------------------------------------------------------------------
 
 

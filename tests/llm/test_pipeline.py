@@ -74,6 +74,15 @@ def test_repeated_rows_and_missing_ids(spark, folder):
         assert f(spark, more, folder).columns == more.columns
 
 
+def test_different_texts_of_one_id_stay(spark, tmp_path):
+    a, b, c = "a b c d e f g h", "q r s t u v w x y", "one two three four five six"
+    rows = [(7, a), (7, b), (7, c), (3, b), (7, a), (8, c), (None, a)]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    out = cp.ngram_jaccard_join(spark, d, str(tmp_path))
+    assert out.columns == d.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(3, b), (7, a), (7, c), (None, a)], key=str)
+
+
 @pytest.mark.parametrize("shares", [(85, 3, 12), (5, 80, 15), (60, 39.5, 0.5)])
 def test_mixing_keeps_clean_documents(spark, tmp_path, shares):
     rng = random.Random(12)
