@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, chunks, unit_hash
+from .common import ascii_lower, chunks
 
 BUCKETS = 4096
 
@@ -55,25 +55,48 @@ def feature_chunks(batch: pa.RecordBatch, col: str, orders: tuple[int, ...]) ->
             yield i + a, i + b, normalise(ngram_counts(part, o, orders)), part, o
 
 
+def least_keys(rows: DataFrame, most: int) -> dict:
+    """rows (y, h): for each label y the ``most``-th smallest distinct h, or the greatest where there are fewer. What
+    reaches the driver is one number a label; no label meets in one task beyond ``most`` rows from each."""
+    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    near = F.lit(False)
+    for y, n in sizes.items():  # some twice as many as needed, by the hash itself, before anything is sorted
+        share = 2.5 * most / n
+        near = near | ((F.col("y") == y) & (F.lit(True) if share >= 1 else F.col("h") <= int(share * (1 << 64)) - (1 << 63)))
+    w = Window.partitionBy("y").orderBy("h")
+    few = rows.where(near).distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+    return {r["y"]: r["h"] for r in few.groupBy("y").agg(F.max("h").alias("h")).collect()}
+
+
+def chosen(keys: dict, y: str = "y", h: str = "h") -> Column:
+    """Whether a row is among the least of its label."""
+    out = F.lit(False)
+    for name, key in sorted(keys.items(), key=lambda x: str(x[0])):
+        out = out | ((F.col(y) == name) & (F.col(h) <= key))
+    return out
+
+
 def sample_features(df: DataFrame, text_col: str, label: Column, key: Column, per_label: int, orders: tuple[int, ...]) -> tuple[np.ndarray, list]:
-    """Features and labels of about per_label rows of each label, chosen by a hash of key; rows without a
-    label are left out. The bound on what reaches the driver is per_label x labels x 2 x BUCKETS bytes."""
-    rows = df.select(F.col(text_col).alias("t"), label.alias("y"), unit_hash(key).alias("u")).where("y is not null and t is not null")
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    """Features and labels of at most per_label rows of each label, those with the least hashes of key and text; rows
+    without a label or a text are left out, and of rows of equal label, key and text one counts, so neither repeated rows nor
+    rows without a key pass the bound: per_label x labels x 2 x BUCKETS bytes reach the driver."""
+    rows = df.select(F.col(text_col).alias("t"), label.alias("y"), F.xxhash64(F.lit("sample"), key, text_col).alias("h")).where("y is not null and t is not null")
+    keys = least_keys(rows.select("y", "h"), per_label)
+    if not keys:
         return np.zeros((0, BUCKETS), np.float32), []
-    chosen = F.lit(False)
-    for y, n in sorted(counts.items(), key=lambda x: str(x[0])):
-        chosen = chosen | ((F.col("y") == y) & (F.col("u") < min(1.0, per_label / n)))
 
     def run(batches):
+        seen = set()  # as many as the bound at most
         for batch in batches:
+            marks = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            new = [m not in seen and not seen.add(m) for m in marks]
+            batch = batch.filter(pa.array(new, pa.bool_()))
             for i, j, x, _, _ in feature_chunks(batch, "t", orders):
                 blob = [r.astype(np.float16).tobytes() for r in x]
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), pa.array(blob, pa.binary()), batch.column(2).slice(i, j - i)], ["y", "x", "u"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), pa.array(blob, pa.binary()), batch.column(2).slice(i, j - i)], ["y", "x", "h"])
 
-    got = rows.where(chosen).select("t", "y", "u").mapInArrow(run, f"y {dict(rows.dtypes)['y']}, x binary, u double").collect()
-    got.sort(key=lambda r: (r["u"], str(r["y"])))
+    found = rows.where(chosen(keys)).select("t", "y", "h").mapInArrow(run, f"y {dict(rows.dtypes)['y']}, x binary, h long")
+    got = sorted(found.dropDuplicates(["y", "h"]).collect(), key=lambda r: (r["h"], str(r["y"])))
     return np.stack([np.frombuffer(r["x"], np.float16).astype(np.float32) for r in got]) if got else np.zeros((0, BUCKETS), np.float32), [r["y"] for r in got]
 
 

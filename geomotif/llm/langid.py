@@ -5,7 +5,8 @@ whole text says which half of the languages it is. A text's language is that of
 weighted logistic loss, the weights being each bit's accuracy on a part of the sample it did not see; where
 the runner-up is nearly as near, the text is flagged as ambiguous.
 
-The classifiers are fitted on a sample of at most about ``per_label`` rows of each language. Defined results: a
+The classifiers are fitted on a sample of at most ``per_label`` rows of each language, whatever ids are null or
+repeated. Defined results: a
 null text, or one without a letter, is ``und`` with score 0; ties go to the first language by name; one known
 language gives a code without bits, always chosen; with none, everything is ``und``; an empty table gives no
 rows; repeated rows are judged alike; other columns pass through, and those of the new names are replaced.

@@ -5,7 +5,8 @@ the histogram of lengths (at most ``capacity`` numbers) reaches the driver. Ther
 rounded up within groups of equal cardinality, the cutting-stock programme over those few sizes is solved
 by column generation, its whole part is filled with the actual lengths of each group, and what remains is
 placed by best fit, longest first. The plan says for each length which rank goes to which sequence and
-offset, and its size depends on the capacity only; executors rank the pieces of a length and look it up.
+offset, and its size depends on the capacity only; executors rank the pieces of a length and look it up. Sequences of one
+full piece have negative numbers.
 
 Defined results: a null or empty text is the end id alone, one piece; only documents longer than the capacity
 are cut, the first piece taking the remainder; repeated rows are packed each; an empty table gives no rows.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import fresh, stage
 from .tokens import encoder
 
 END_ID = 2
@@ -36,7 +37,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def token_pieces(df: DataFrame, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, added: bool = False) -> DataFrame:
+def token_pieces(df: DataFrame, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, added: bool = True) -> DataFrame:
     """(id, piece, start, length, ids_crc32) of every document; path and added as in encoder."""
 
     def run(batches):
@@ -209,23 +210,34 @@ def lookup(plan: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.ndarra
 # ---- placing -----------------------------------------------------------------------------------
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, id_col: str = "doc_id", salts: int = 64) -> DataFrame:
-    """pieces (with id, piece and length) with ``sequence_id`` and ``offset``."""
-    pieces = stage(pieces, "pieces").withColumn("salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(salts)).cast("int"))
-    counted = pieces.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()  # capacity x salts rows at most
-    counts: dict[int, int] = defaultdict(int)
-    base: dict[tuple[int, int], int] = {}
-    for r in sorted(counted, key=lambda r: (r["length"], r["salt"])):
-        base[r["length"], r["salt"]] = counts[r["length"]]
-        counts[r["length"]] += r["n"]
-    at = lookup(plan_packing(dict(counts), capacity))
-    made = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.drop("salt").schema) + ", sequence_id long, offset long"
+def pack(pieces: DataFrame, capacity: int = 1024, id_col: str = "doc_id", task_rows: int = 1_000_000) -> DataFrame:
+    """pieces (with id, piece and length) with ``sequence_id`` and ``offset``. Full pieces are sequences by themselves and
+    are neither ranked nor shuffled; those of another length are ranked in parts of about task_rows, however many share it."""
+    own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    row, salt, nth = fresh(pieces, "row", "salt", "nth")
+    pieces = stage(pieces.select(*own, F.monotonically_increasing_id().alias(row)), "pieces")
+    sizes = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+    sizes.pop(capacity, None)
+    parts = F.lit(1)
+    for length, n in sizes.items():
+        if n > task_rows:
+            parts = F.when(F.col("length") == length, -(-n // task_rows)).otherwise(parts)
+    rest = pieces.where(F.col("length") < capacity).withColumn(salt, F.pmod(F.xxhash64(row), parts).cast("int"))
+    counts, base = dict(sizes), {}
+    if any(n > task_rows for n in sizes.values()):
+        at_rank: dict[int, int] = defaultdict(int)
+        counted = rest.groupBy("length", salt).agg(F.count("*").alias("n")).collect()  # capacity rows and one a million pieces
+        for r in sorted(counted, key=lambda r: (r["length"], r[salt])):
+            base[r["length"], r[salt]] = at_rank[r["length"]]
+            at_rank[r["length"]] += r["n"]
+    at = lookup(plan_packing(counts, capacity))
+    made = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*own).schema) + ", sequence_id long, offset long"
 
     def run(frames):
         for f in frames:
             seq, off = np.zeros(len(f), np.int64), np.zeros(len(f), np.int64)
-            start = np.array([base[k] for k in zip(f["length"].tolist(), f["salt"].tolist(), strict=True)], np.int64)
-            rank = start + f["nth"].to_numpy(np.int64)
+            start = np.array([base.get(k, 0) for k in zip(f["length"].tolist(), f[salt].tolist(), strict=True)], np.int64)
+            rank = start + f[nth].to_numpy(np.int64)
             for length, idx in f.groupby("length").indices.items():
                 t = at[int(length)]
                 k = np.searchsorted(t[:, 0], rank[idx], "right") - 1
@@ -233,9 +245,10 @@ def pack(pieces: DataFrame, capacity: int = 1024, id_col: str = "doc_id", salts:
                 seq[idx] = t[k, 1] + q // t[k, 2]
                 off[idx] = t[k, 3] + q % t[k, 2] * int(length)
             f["sequence_id"], f["offset"] = seq, off
-            yield f.drop(columns=["salt", "nth"])
+            yield f.drop(columns=[salt, nth])
 
-    w = Window.partitionBy("length", "salt").orderBy(id_col, "piece")
-    ranked = pieces.withColumn("nth", F.row_number().over(w) - 1)
-    cols = [c for c in ranked.columns if c not in ("salt", "nth")]
-    return ranked.select(*cols, "salt", "nth").mapInPandas(run, made)
+    w = Window.partitionBy("length", salt).orderBy(row)
+    ranked = rest.withColumn(nth, F.row_number().over(w) - 1).select(*own, salt, nth)
+    # numbers below zero are those of full pieces, so that the two never meet
+    full = pieces.where(F.col("length") == capacity).select(*own, (-1 - F.col(row)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return full.unionByName(ranked.mapInPandas(run, made))

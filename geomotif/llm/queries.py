@@ -18,7 +18,7 @@ TARGETS = {"high": 0.8, "low": 0.18, "toxic": 0.02}
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated, domains = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TARGETS)
     names = F.array(*map(F.lit, domains))
-    return rated.select("doc_id", "tokens", names.alias("domains"), "posterior", "rate", "copies")
+    return rated.select("doc_id", "tokens", names.alias("domains"), "posterior", "rate", "copies", "gap")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), capacity=1024, added=True)
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), capacity=1024)
     return packing.pack(pieces, capacity=1024)
 
 
@@ -66,7 +66,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), rule="start", added=True)
+    return tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), rule="start")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

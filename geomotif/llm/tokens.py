@@ -6,7 +6,9 @@ boundary goes to one section by rule: ``start`` (of its first character), ``end`
 ``most`` (where most of its bytes lie, the earlier on ties).
 
 Defined results: null or empty text has no tokens and one empty section; characters outside all
-given sections are counted as outside; repeated rows are counted each; other columns pass
+given sections are counted as outside; sections may come in any order, and where they overlap a character is of the one that
+is listed first; a section that is null, that has a null border or that ends before it starts holds no token; borders
+beyond the text stand for its ends; repeated rows are counted each; other columns pass
 through, and those of the new names are replaced; an empty table gives no rows.
 """
 
@@ -25,19 +27,17 @@ RULES = ("start", "end", "most")
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str | None = None, added: bool = False):
-    """(encode function, byte length of each id). path: a .tiktoken rank file; by default that of the
-    50k byte-level vocabulary, whose ids equal those of its tokenizers file. added: whether the file's added tokens
-    have their own ids where a text holds them, as with tokenizers at its defaults; else they are ordinary text."""
+def encoder(path: str | None = None, added: bool = True):
+    """(encode function, byte length of each id). path: a .tiktoken rank file, which names no added tokens; by default that
+    of the 50k byte-level vocabulary. Ids equal those of its tokenizers file with add_special_tokens=False. added: whether
+    the file's added tokens have their own ids where a text holds them, as there; else they are ordinary text."""
     import public_tokenizers
     import tiktoken
 
     lines = open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read().splitlines()
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     own: dict[str, int] = {}
-    if added:
-        if path:
-            raise ValueError("a rank file names no added tokens")
+    if added and not path:
         with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
             own = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=own)
@@ -85,10 +85,28 @@ def char_to_byte(text: bytes) -> np.ndarray:
     return np.append(np.flatnonzero((b & 0xC0) != 0x80), len(b))
 
 
-def count_tokens(df: DataFrame, text_col: str = "text", sections_col: str | None = None, rule: str = "start", path: str | None = None, added: bool = False) -> DataFrame:
+def runs_of(spans: list[dict | None], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(byte offsets, owners) of the stretches of a text that belong to one section, or to none (-1). at: the byte offset
+    of each character and the end."""
+    top = len(at) - 1
+    own = []
+    for k, s in enumerate(spans):
+        if s is not None and s["start"] is not None and s["end"] is not None:
+            a, b = (int(at[min(max(s[c], 0), top)]) for c in ("start", "end"))
+            if a < b:
+                own.append((k, a, b))
+    points = np.unique([0, *(x for _, a, b in own for x in (a, b))])
+    owner = np.full(len(points), -1)
+    for k, a, b in reversed(own):
+        owner[np.searchsorted(points, a) : np.searchsorted(points, b)] = k
+    first = np.concatenate([[True], owner[1:] != owner[:-1]])
+    return points[first], owner[first]
+
+
+def count_tokens(df: DataFrame, text_col: str = "text", sections_col: str | None = None, rule: str = "start", path: str | None = None, added: bool = True) -> DataFrame:
     """df without its text, with ``n_tokens``, ``section_tokens`` (one count for each section),
     ``n_crossing`` and ``n_outside``. sections_col: array<struct<start:int,end:int>> of character
-    intervals, sorted and disjoint; by default the lines of the text. added: as in encoder."""
+    intervals; by default the lines of the text. added: as in encoder."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     made = [("n_tokens", T.LongType()), ("section_tokens", T.ArrayType(T.LongType())), ("n_crossing", T.LongType()), ("n_outside", T.LongType())]
@@ -110,14 +128,10 @@ def count_tokens(df: DataFrame, text_col: str = "text", sections_col: str | None
                     outside = 0
                 else:
                     spans = given[i].as_py() or []
-                    at = char_to_byte(raw)
-                    edges = [0]  # gap, section, gap, section, ... gap
-                    for s in spans:
-                        edges += [int(at[min(s["start"], len(at) - 1)]), int(at[min(s["end"], len(at) - 1)])]
-                    # searchsorted(right) - 1 skips empty gaps, so a token never counts for one
-                    counts, crossing = attribute(ids, sizes, np.array(edges), rule)
-                    outside = int(counts[0::2].sum())
-                    counts = counts[1::2]
+                    starts, owner = runs_of(spans, char_to_byte(raw))
+                    by_run, crossing = attribute(ids, sizes, starts, rule)
+                    by_owner = np.bincount(owner + 1, by_run, len(spans) + 1).astype(np.int64)
+                    outside, counts = int(by_owner[0]), by_owner[1:]
                 cols["n_tokens"].append(len(ids))
                 cols["section_tokens"].append(counts.tolist())
                 cols["n_crossing"].append(crossing)

@@ -105,27 +105,48 @@ def test_mixing_meets_its_targets(spark):
     t, p, rate = np.array([x.tokens for x in r]), np.array([x.posterior for x in r]), np.array([x.rate for x in r])
     share = (rate * t) @ p / t.sum()
     assert np.abs(share - [0.5, 0.45, 0.05]).max() < 2e-3 and rate.min() >= 0
-    # the optimum of the same problem by plain steps over all documents at once
+    assert {x.gap for x in r} == {round(np.abs(share / share.sum() - [0.5, 0.45, 0.05]).max(), 9)}
     assert np.abs(np.array([x.copies for x in r]) - rate).max() < 1
     capped, _ = mixing.mix(d, lab, targets, max_rate=1.0)
-    rate = np.array([x.rate for x in capped.collect()])
-    assert 0 <= rate.min() and rate.max() <= 1
+    c = capped.collect()
+    rate = np.array([x.rate for x in c])
+    share = (rate * np.array([x.tokens for x in c])) @ np.array([x.posterior for x in c])
+    assert 0 <= rate.min() and rate.max() <= 1 and np.abs(share / share.sum() - [0.5, 0.45, 0.05]).max() < 2e-3
+    with pytest.warns(UserWarning, match="no document is labelled odd"):
+        mixing.mix(d, lab, {"high": 0.5, "odd": 0.5})
     truth = {i: "toxic" if tx else "high" if q else "low" for i, q, tx in labels}
     hit = [domains[int(np.argmax(x.posterior))] == truth[x.doc_id] for x in r if x.doc_id in truth]
     assert np.mean(hit) > 0.97
 
 
-def test_replayed_rates_equal_stored_ones():
-    rng = np.random.default_rng(0)
-    p, t = rng.dirichlet([1, 1, 1], 50), rng.integers(0, 9, 50).astype(float)
-    steps = [rng.normal(0, 0.3, 3) for _ in range(6)]
-    for top in (None, 1.0):
-        r, ahead = np.ones(50), np.ones(50)
-        for k, e in enumerate(steps):
-            new = np.clip(ahead - (p @ e + 1e-4 * (ahead - 1)) / (1 + 1e-4), 0, np.inf if top is None else top)
-            ahead, r = new + k / (k + 3) * (new - r), new
-        got, point = mixing.replay(p, t, steps, 1e-4, top)
-        assert np.allclose(got, np.where(t > 0, r, 1)) and np.allclose(point, np.where(t > 0, ahead, 1))
+def plain_least_squares(p, t, goal, top, steps=60000):
+    """Projected gradient steps of one size over all documents at once, with the residual they end at."""
+    a = p * t[:, None] / t.sum()
+    rate = 1 / np.linalg.norm(a, 2) ** 2
+    r = np.ones(len(t))
+    for _ in range(steps):
+        r = np.clip(r - rate * (a @ (a.T @ r - goal)), 0, top)
+    return np.abs(a.T @ r - goal).max()
+
+
+@pytest.mark.parametrize("sharp,want,top", [(0.3, [0.98, 0.01, 0.01], None), (0.3, [0.98, 0.01, 0.01], 1.0), (0.05, [0.2, 0.3, 0.5], 1.0), (1.0, [0.8, 0.18, 0.02], None)])
+def test_rates_reach_the_least_squares_optimum(spark, sharp, want, top):
+    rng = np.random.default_rng(1)
+    p, t = rng.dirichlet([sharp] * 3, 400), rng.integers(1, 90, 400).astype(float)
+    table = spark.createDataFrame([(int(n), q.tolist()) for n, q in zip(t, p, strict=True)], "tokens long, posterior array<double>")
+    fit = mixing.fit_rates(table, ["a", "b", "c"], dict(zip("abc", want, strict=True)), max_rate=top)
+    rates = mixing.replay(p, t, fit.history, 1e-5, top)
+    got = (rates * t) @ p / t.sum()
+    goal = np.array(want) * fit.budget / t.sum()
+    assert fit.met and fit.gap < 1e-3 and rates.min() >= 0 and rates.max() <= (top or np.inf)
+    assert np.abs(got - goal).max() <= plain_least_squares(p, t, goal, top or np.inf) + 1e-3 * fit.budget / t.sum()
+
+
+def test_targets_out_of_reach_are_told(spark):
+    table = spark.createDataFrame([(10, [0.6, 0.4]), (20, [0.7, 0.3])], "tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="missed"):
+        fit = mixing.fit_rates(table, ["a", "b"], {"a": 0.99, "b": 0.01})
+    assert not fit.met and 0.2 < fit.gap < 0.4
 
 
 def test_mixing_of_odd_tables(spark):
@@ -139,6 +160,19 @@ def test_mixing_of_odd_tables(spark):
     assert out.count() == 0
 
 
+def test_samples_are_bounded_whatever_repeats(spark):
+    """Rows without an id, copies of one id, and a label that a third of all rows share."""
+    rows = [(None, f"text number {i}", "a") for i in range(3000)] + [(7, "the same", "b")] * 2000 + [(i, f"other {i}", "c") for i in range(40)] + [(i, None, "c") for i in range(9)]
+    t = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    x, y = features.sample_features(t, "text", F.col("lang"), F.col("doc_id"), 50, (1, 2))
+    assert Counter(y) == {"a": 50, "b": 1, "c": 40} and x.shape == (91, features.BUCKETS)
+    again, _ = features.sample_features(t.repartition(3), "text", F.col("lang"), F.col("doc_id"), 50, (1, 2))
+    assert (x == again).all()
+    labels = spark.createDataFrame([(i // 3, i % 2, 0) for i in range(6000)], "doc_id long, quality int, toxic int")
+    model = mixing.fit_domains(docs(spark, [f"word {i} {i % 7}" for i in range(2000)]), labels, F.expr(mixing.LABEL_DOMAIN), per_label=30)
+    assert model.domains == ["high", "low"]
+
+
 # ---- 2 ------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var a="</p><p>x";</script></head><body>
@@ -244,6 +278,26 @@ def test_shards_of_odd_tables(spark):
     assert sharding.shard_records(sharding.record_sizes(nulls), shards=3).count() == len(ODD)
 
 
+def test_equal_rows_are_split_over_shards(spark):
+    same = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text " * 3).alias("text"), F.lit(1).alias("row"), F.lit(2).alias("rng"))
+    rest = spark.range(3000).select("id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit(1).alias("row"), F.lit(2).alias("rng"))
+    out = sharding.shard_records(sharding.record_sizes(same.unionAll(rest)), shards=10, ranges_per_shard=20).collect()
+    load, slots = Counter(), defaultdict(list)
+    for r in out:
+        load[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert len(out) == 7000 and max(load.values()) < 1.02 * min(load.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_splitters_rank_keys_as_sorting_does():
+    rng = random.Random(8)
+    keys = [(rng.randrange(4), rng.randrange(3), rng.randrange(50)) for _ in range(300)]
+    splits = sorted(rng.sample(sorted(set(keys)), 40))
+    got = sharding.rank([np.array(c) for c in zip(*splits, strict=True)], [np.array(c) for c in zip(*keys, strict=True)])
+    assert got.tolist() == [sum(s <= k for s in splits) for k in keys]
+
+
 # ---- 4 ------------------------------------------------------------------------------------------
 
 
@@ -337,6 +391,26 @@ def test_embedding_links_equal_brute_force(spark):
     assert embedding_dedup.link_embeddings(t.where("false")).count() == 0
 
 
+def test_embeddings_without_ids(spark):
+    a, b, c = [1.0, 0.0, 0.1], [1.0, 0.01, 0.1], [0.0, 1.0, 0.0]
+    rows = [(None, a, 1), (5, b, 1), (None, a, 1), (None, b, 1), (9, b, 1), (9, b, 1), (None, c, 1), (None, c, 1), (None, None, 1), (3, a, 2)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((tuple(r) for r in embedding_dedup.link_embeddings(t).collect()), key=str)
+    want = [(None, 5, 5, False)] * 3 + [(5, 5, 5, True)] + [(9, 5, 5, False)] * 2 + [(None, 1, None, False)] * 2 + [(None, 0, None, False), (3, 0, 3, True)]
+    assert got == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("n", [1, 2, 70])
+def test_merged_trees_equal_plain_classes(n):
+    rng = np.random.default_rng(n)
+    root, links = np.arange(n), []
+    for _ in range(4):
+        i, j = rng.integers(0, n, 9), rng.integers(0, n, 9)
+        links += list(zip(i.tolist(), j.tolist(), strict=True))
+        embedding_dedup.merge(root, i, j)
+        assert root.tolist() == classes(n, links)
+
+
 # ---- 6 ------------------------------------------------------------------------------------------
 
 
@@ -369,7 +443,6 @@ def check_packing(rows, texts, capacity):
     import public_tokenizers
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
@@ -404,6 +477,19 @@ def test_packing_is_whole_and_tight(spark):
     assert packing.pack(packing.token_pieces(twice)).count() == 2 * packing.token_pieces(docs(spark, ODD)).count()
 
 
+def test_a_length_that_most_pieces_share_is_ranked_in_parts(spark):
+    pieces = spark.range(500).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.when(F.col("id") % 5 == 0, 100).when(F.col("id") % 5 == 1, 40 + F.col("id") % 7).otherwise(33).cast("long").alias("length"))
+    rows = packing.pack(clashing(pieces), capacity=100, task_rows=40).collect()
+    at = defaultdict(list)
+    for r in rows:
+        at[r.sequence_id].append((r.offset, r.length))
+    assert len(rows) == 500 and len({r.doc_id for r in rows}) == 500
+    for s in at.values():
+        s.sort()
+        assert [o for o, _ in s] == np.cumsum([0] + [n for _, n in s])[:-1].tolist() and sum(n for _, n in s) <= 100
+    assert len(at) == sum(n for n, _ in packing.plan_packing(dict(Counter(r.length for r in rows)), 100))
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plans_place_every_length_once(seed):
     rng = np.random.default_rng(seed)
@@ -478,6 +564,23 @@ def test_languages_of_held_out_texts(spark, langs):
     assert np.mean([r.lang_pred == r.lang for r in got if r.doc_id >= 180]) > 0.95
 
 
+@pytest.mark.parametrize("langs", [2, 4, 7])
+def test_decoding_equals_a_loop_over_codewords(langs):
+    rng = np.random.default_rng(langs)
+    code = langid.codewords(langs)
+    m = langid.LanguageModel([f"l{i}" for i in range(langs)], code, rng.normal(size=(9, code.shape[1])), rng.normal(size=code.shape[1]), rng.random(code.shape[1]))
+    x = rng.normal(size=(40, 9))
+    best, share, gap = m.decode(x)
+    for i in range(40):
+        loss = []
+        for word in code:
+            f = [sum(x[i, a] * m.weights[a, b] for a in range(9)) + m.bias[b] for b in range(len(word))]
+            loss.append(sum(w * np.log(1 + np.exp(-c * v)) for w, c, v in zip(m.trust, word, f, strict=True)))
+        order = sorted(range(langs), key=lambda k: loss[k])
+        assert best[i] == order[0] and gap[i] == pytest.approx(loss[order[1]] - loss[order[0]])
+        assert share[i] == pytest.approx(np.exp(-loss[order[0]]) / sum(np.exp(-v) for v in loss))
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 4, 5, 9, 30):
         c = langid.codewords(n)
@@ -512,7 +615,6 @@ def attribute_plainly(text, spans, rule):
     import public_tokenizers
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     out, outside, crossing = [0] * len(spans), 0, 0
     at = 0
     for i in t.encode(text, add_special_tokens=False).ids:
@@ -548,6 +650,29 @@ def test_token_counts_by_lines_and_spans(spark, rule):
         assert (got[i].section_tokens, got[i].n_outside) == (out, outside), t
 
 
+@pytest.mark.parametrize("rule", tokens.RULES)
+def test_sections_in_any_order_with_gaps_and_overlaps(spark, rule):
+    text = "Some words here, <|endoftext|> 漢字漢字 and there are more of them"
+    spans = [(20, 40), None, (3, 9), (None, 5), (5, None), (8, 25), (30, 28), (-4, 2), (50, 9999)]
+    kind = "array<struct<start:int,end:int>>"
+    t = spark.createDataFrame([(1, text, spans), (2, text, None), (3, None, spans)], f"doc_id long, text string, s {kind}")
+    got = {r.doc_id: r for r in tokens.count_tokens(t, sections_col="s", rule=rule).collect()}
+    owner = [-1] * len(text)
+    for k, s in reversed(list(enumerate(spans))):
+        if s and None not in s:
+            owner[max(s[0], 0) : max(s[1], 0)] = [k] * len(owner[max(s[0], 0) : max(s[1], 0)])
+    by_byte = [o for c, o in zip(text, owner, strict=True) for _ in c.encode()]
+    want, crossing, at = Counter(), 0, 0
+    for i in tokens.encode(text):
+        own = by_byte[at : at + int(tokens.encoder()[1][i])]
+        at += len(own)
+        crossing += len(set(own)) > 1
+        want[own[0] if rule == "start" else own[-1] if rule == "end" else max(dict.fromkeys(own), key=own.count)] += 1
+    assert got[1].section_tokens == [want[k] for k in range(len(spans))] and (got[1].n_outside, got[1].n_crossing) == (want[-1], crossing)
+    assert got[2].section_tokens == [] and got[2].n_outside == got[2].n_tokens == got[1].n_tokens
+    assert got[3].section_tokens == [0] * len(spans) and got[3].n_tokens == 0
+
+
 def test_token_counts_of_odd_tables(spark):
     d = docs(spark, ODD)
     got = {r.doc_id: r for r in tokens.count_tokens(d.unionByName(d)).collect()}
@@ -576,7 +701,7 @@ def test_queries_know_the_added_tokens(spark, tmp_path):
         ids = np.array([*ids, packing.END_ID], "<u4")
         assert sorted((r.start, r.length, r.ids_crc32) for r in rows[i]) == [(a, n, zlib.crc32(ids[a : a + n].tobytes())) for a, n in packing.cut(len(ids), 1024)]
         assert counts[i].n_tokens == len(ids) - 1 == sum(counts[i].section_tokens)
-        assert tokens.encoder(added=True)[1][ids[:-1]].sum() == len((texts[i] or "").encode())
+        assert tokens.encoder()[1][ids[:-1]].sum() == len((texts[i] or "").encode())
 
 
 # ---- the rest -----------------------------------------------------------------------------------
