@@ -1,9 +1,9 @@
 """Main text of web pages by the maximum-scoring subsequence.
 
-A page is read as a sequence of words and tags. A word's score is the log-odds of being article text in its
-context, and a tag's is negative, the more so the less it occurs within articles; both come from labelled
-pages, those that mark their article, of which a bounded sample is counted. One scan finds the contiguous
-region with the greatest sum. Of that region, what stands in menus, forms, notices, adverts, comments and the
+A page is read as a sequence of words and tags. A word's score is the log-odds of being article text of the word
+itself (hashed into a table of fixed size) and of its context, and a tag's is negative, the more so the less it occurs within
+articles; both come from labelled pages, those that mark their article, of which a bounded sample is counted. One scan
+finds the contiguous region with the greatest sum. Of that region, what stands in menus, forms, notices, adverts, comments and the
 like is left out, and the rest is joined by blocks.
 
 Noise is told by tags, roles, and the last part of classes and ids; an article is none by its class, and where the word is
@@ -12,7 +12,8 @@ one that may name a subject (legal, discussion), the scores of what the element
 Defined results: null or empty html, or a page without words, gives an empty text; of equal regions the first
 is taken; repeated rows give equal results; an empty table gives no rows; other columns pass through, and those of
 the new names are replaced. Tags
-that are not closed end with what holds them; a ``<`` that begins no tag is text.
+that are not closed end with what holds them; a ``<`` that begins no tag is text. Reading takes time in proportion to the
+page, however its tags are nested, unmatched or unclosed.
 """
 
 from __future__ import annotations
@@ -22,19 +23,21 @@ from collections import Counter
 from html import unescape
 from itertools import accumulate
 from math import log
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import unit_hash
+from .features import chosen, least_keys
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>"
-    r"|<(?P<end2>/?)(?P<name2>[A-Za-z][^\s/>]*+)(?P<attrs2>[^>]*)(?:>|\Z)",
-    re.DOTALL,
-)
+_SKIPPED = r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
+_NAME = r"<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)"
+#: A quotation mark counts after an equals sign only, and where it has a partner.
+TOKEN = re.compile(_SKIPPED + "|" + _NAME + r"(?P<attrs>(?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^>])*+)>", re.DOTALL)
+#: From the first tag on that no unquoted > ends, tags end with any >.
+LOOSE_TOKEN = re.compile(_SKIPPED + "|" + _NAME + r"(?P<attrs>[^>]*+)(?:>|\Z)", re.DOTALL)
+START = re.compile(r"<(?:[!?]|/?[A-Za-z])")
 ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 CLOSING = {name: re.compile(f"</{name}", re.IGNORECASE | re.ASCII) for name in RAW}
@@ -123,34 +126,46 @@ def read(page: str, keep: frozenset[int] = frozenset(), found: list[list[int]] |
     last token] of those that are noise by a class."""
     out: list[tuple] = []
     open_: list[list[int]] = []  # entries of found on the stack, each with its depth behind
-    stack: list[tuple[str, bool, bool]] = []  # name, noise and in article, both with what holds it
+    stack: list[tuple[str, bool, bool, str, bool]] = []  # name; noise, in article, nearest block and in a paragraph, with what holds it
+    where: dict[str, list[int]] = {}  # depths of open elements by name
+    solid: list[int] = []  # depths of those that aren't links or labels
     at, end = 0, len(page)
 
+    def last(*names: str) -> int:
+        return max((where[n][-1] for n in names if where.get(n)), default=-1)
+
     def close_from(k: int) -> None:
-        del stack[k:]
+        while len(stack) > k:
+            where[stack.pop()[0]].pop()
+        while solid and solid[-1] >= k:
+            solid.pop()
         while open_ and open_[-1][4] >= k:
             open_.pop()[3:] = [len(out)]
 
     def text(piece: str) -> None:
-        name, bad, inside = stack[-1] if stack else ("", False, False)
+        _, bad, inside, holder, _ = stack[-1] if stack else ("", False, False, "", False)
         if not piece.isspace():
-            holder = next((n for n, *_ in reversed(stack) if n in BLOCK), "")
-            out.append(("w", (inside, bad, holder, any(n == "a" for n, *_ in stack[-3:])), piece, len(piece.split()), bad))
+            out.append(("w", (inside, bad, holder, any(x[0] == "a" for x in stack[-3:])), piece, len(piece.split()), bad))
         elif piece:
             out.append(("w", (inside, bad, "", False), piece, 0, bad))
 
+    token = TOKEN
     while at < end:
-        m = TOKEN.search(page, at)
+        m = START.search(page, at)
         if not m:
             text(page[at:])
             break
+        m = token.match(page, m.start())
+        if not m:
+            token = LOOSE_TOKEN
+            continue
         if m.start() > at:
             text(page[at : m.start()])
         at = m.end()
-        name = m["name"] or m["name2"]
+        name = m["name"]
         if not name:
             continue
-        name, closing, attrs = name.lower(), bool(m["end"] or m["end2"]), m["attrs"] or m["attrs2"] or ""
+        name, closing, attrs = name.lower(), bool(m["end"]), m["attrs"] or ""
         if name in RAW and not closing:
             if not attrs.endswith("/") or name in ("script", "style", "textarea", "title"):
                 stop = CLOSING[name].search(page, at)
@@ -158,34 +173,33 @@ def read(page: str, keep: frozenset[int] = frozenset(), found: list[list[int]] |
                 at = end if close < 0 else close + 1
             continue
         if closing:
-            if name in HELD:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        close_from(k)
-                        break
-                    if stack[k][0] in ("td", "th", "table") and name not in ("table", "tr", "tbody", "body", "html"):
-                        break
+            if where.get(name):
+                k = where[name][-1]
+                walls = [n for n in ("td", "th", "table") if n != name] if name not in ("table", "tr", "tbody", "body", "html") else []
+                if last(*walls) < k:
+                    close_from(k)
         else:
-            if name in CLOSES_P or name in ENDS:
-                bounds = ENDS.get(name)
-                for k in range(len(stack) - 1, -1, -1):
-                    n = stack[k][0]
-                    if n == "p" and name in CLOSES_P or n == name and bounds is not None:
-                        close_from(k)
-                        break
-                    if bounds is not None and n in bounds or bounds is None and n not in ("a", "label"):
-                        break
+            if name in ENDS:
+                k, bound, para = last(name), last(*ENDS[name]), last("p") if name in CLOSES_P else -1
+                k = k if k > bound else para
+                if k > bound:
+                    close_from(k)
+            elif name in CLOSES_P and solid and stack[solid[-1]][0] == "p":
+                close_from(solid[-1])
             if name in HELD and name not in VOID:
-                _, bad, inside = stack[-1] if stack else ("", False, False)
-                say = noise(name, attrs, inside, name == "label" and any(n == "p" for n, *_ in stack))
+                _, bad, inside, holder, in_p = stack[-1] if stack else ("", False, False, "", False)
+                say = noise(name, attrs, inside, name == "label" and in_p)
                 if say > NOISE:
                     if found is not None:
                         found.append([m.start(), say, len(out), end, len(stack)])
                         open_.append(found[-1])
                     say = PLAIN if m.start() in keep else say
                 bad = bad or say != PLAIN
-                stack.append((name, bad, inside or name in ARTICLE and not bad))
-        _, bad, inside = stack[-1] if stack else ("", False, False)
+                where.setdefault(name, []).append(len(stack))
+                if name not in ("a", "label"):
+                    solid.append(len(stack))
+                stack.append((name, bad, inside or name in ARTICLE and not bad, name if name in BLOCK else holder, in_p or name == "p"))
+        _, bad, inside, *_ = stack[-1] if stack else ("", False, False)
         out.append(("t", name, name in BLOCK, inside, bad, name in LOOSE))
     close_from(0)
     return out
@@ -222,17 +236,30 @@ def features(token: tuple) -> tuple[str, str]:
     return f"t {token[1] if token[1] in HELD else '-'}", ""
 
 
+WORDS = 1 << 14
+
+
+def word_feature(word: str) -> str:
+    """The name under which a word is counted: one of WORDS, so that the table has a fixed size."""
+    return f"v {crc32(word.lower().encode('utf-8', 'replace')) % WORDS}"
+
+
 def count(pages: list[str]) -> Counter:
-    """(feature, is article) counts over the pages that mark their article."""
+    """(feature, is article) counts over the pages that mark their article; a word counts once a page and side."""
     out: Counter = Counter()
     for page in pages:
         tokens = read(page)
         if marked(tokens):
+            seen = set()
             for t in tokens:
-                is_article = t[1][0] and not t[4] if t[0] == "w" else t[3] and not t[4]
+                is_article = bool(t[1][0] and not t[4] if t[0] == "w" else t[3] and not t[4])
                 for f in features(t):
                     if f:
-                        out[f, bool(is_article)] += t[3] if t[0] == "w" else 1
+                        out[f, is_article] += t[3] if t[0] == "w" else 1
+                if t[0] == "w":
+                    seen |= {(word_feature(x), is_article) for x in t[2].split()}
+            out.update(seen)
+            out["v", True] += 1  # pages, for words
     return out
 
 
@@ -257,8 +284,28 @@ class Weights:
 
     def __init__(self, counts: dict[tuple[str, bool], int]) -> None:
         self.score: dict[str, float] = {}
+        self.word: dict[str, float] = {}
+        self.near: dict[str, float] = {}  # scores of words met of late
         for f in {f for f, _ in counts}:
-            self.score[f] = self.odds(f, counts.get((f, True), 0), counts.get((f, False), 0))
+            inside, outside = counts.get((f, True), 0), counts.get((f, False), 0)
+            if f[0] == "v":  # of the pages that have the word at all: on which side it stands, in half a point a word at most
+                self.word[f] = max(-0.5, min(0.5, log((inside + 2) / (outside + 2)) / 4))
+            else:
+                self.score[f] = self.odds(f, inside, outside)
+
+    def words(self, text: str) -> float:
+        """The sum of the words' own scores."""
+        if not self.word:
+            return 0.0
+        total, near = 0.0, self.near
+        for x in text.split():
+            v = near.get(x)
+            if v is None:
+                if len(near) > 100_000:
+                    near.clear()
+                v = near[x] = self.word.get(word_feature(x), 0.0)
+            total += v
+        return total
 
     @staticmethod
     def odds(f: str, inside: float, outside: float) -> float:
@@ -272,7 +319,7 @@ class Weights:
         f = f"w 0 {holder or '-'} {int(link)}"
         if f not in self.score:
             self.score[f] = self.odds(f, 0, 0)
-        return self.score[f] * token[3]
+        return self.score[f] * token[3] + self.words(token[2])
 
     def of(self, token: tuple, has_article: bool) -> float:
         if token[0] == "w" and token[1][0] and token[1][1]:
@@ -284,7 +331,9 @@ class Weights:
             v = self.score[f] = self.odds(f, 0, 0)
         if token[0] == "t":
             return v
-        return max(v * token[3], -2.0) if token[4] else v * token[3]  # so that one long advert doesn't split a text
+        if token[4]:
+            return max(v * token[3], -2.0)  # so that one long advert doesn't split a text
+        return v * token[3] + self.words(token[2])
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -320,21 +369,24 @@ def extract(page: str | None, weights: Weights) -> str:
 
 
 def learn(pages: DataFrame, html_col: str = "html", key: str = "page_id", sample: int = 2000) -> Weights:
-    """Weights from about ``sample`` pages that mark an article, chosen by a hash of key. What reaches the
-    driver is one row for each feature; features are made of known tag names only."""
-    rows = pages.select(F.col(html_col).alias("h"), unit_hash(key).alias("u")).where(F.col("h").rlike("(?i)<(article|main)[\\s>]"))
-    n = rows.count()
+    """Weights from at most ``sample`` pages that mark an article, those with the least hashes of key and html. What reaches
+    the driver is one row for each feature; features are made of known tag names, and of words by a hash into WORDS."""
+    rows = pages.select(F.col(html_col).alias("t"), F.lit(1).alias("y"), F.xxhash64(F.lit("page"), key, html_col).alias("h")).where(F.col("t").rlike("(?i)<(article|main)[\\s>]"))
+    keys = least_keys(rows.select("y", "h"), sample)
+    if not keys:
+        return Weights({})
 
     def run(batches):
         total: Counter = Counter()
+        seen: set[int] = set()
         for batch in batches:
-            total.update(count([h for h in batch.column(0).to_pylist() if h]))
-        keys = sorted(total)
-        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in keys], pa.string()), pa.array([i for _, i in keys], pa.bool_()), pa.array([total[k] for k in keys], pa.int64())], ["f", "i", "n"])
+            own = dict(zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True))
+            total.update(count([t for h, t in own.items() if h not in seen]))
+            seen |= set(own)
+        names = sorted(total)
+        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in names], pa.string()), pa.array([i for _, i in names], pa.bool_()), pa.array([total[k] for k in names], pa.int64())], ["f", "i", "n"])
 
-    if not n:
-        return Weights({})
-    counted = rows.where(F.col("u") < min(1.0, sample / n)).select("h").mapInArrow(run, "f string, i boolean, n long")
+    counted = rows.where(chosen(keys)).select("t", "h").mapInArrow(run, "f string, i boolean, n long")
     return Weights({(r["f"], r["i"]): r["n"] for r in counted.groupBy("f", "i").agg(F.sum("n").alias("n")).collect()})
 
 

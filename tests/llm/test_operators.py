@@ -227,6 +227,84 @@ def test_letters_that_grow_in_lower_case():
     assert html_text.extract(page, html_text.Weights({})) == "\u0130zmir\n\nText of the page"
 
 
+def test_words_of_labelled_pages_tell_text_from_the_rest():
+    rng = random.Random(4)
+    prose, trade = "harbour winter letter bridge garden".split(), "cheap coupon basket checkout voucher".split()
+    line = lambda v: f"<div>{' '.join(rng.choices(v, k=8))}</div>"
+    known = [f"<body>{line(trade)}<article>{line(prose)}{line(prose)}</article>{line(trade)}</body>" for _ in range(60)]
+    w = html_text.Weights(html_text.count(known))
+    assert w.words(" ".join(prose)) > 1 > -1 > w.words(" ".join(trade))
+    assert len(w.word) <= html_text.WORDS + 1
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 50000 + "</ul>" * 50000, "<p><button>" + "<label>" * 30000 + "<hr>x" * 30000, "<li><ul>" + "<div>" * 30000 + "<li></li>" * 30000, '<p a=">"' * 60000, '<p ">' * 60000, "<" * 100000, "<p " * 60000, "<p a='>" * 60001, "<table><tr><td>x" * 20000 + "</div>" * 20000],
+    ids="unmatched labels items quotes odd less unclosed single cells".split(),
+)
+def test_reading_takes_time_in_proportion(page):
+    import time
+
+    began = time.process_time()
+    html_text.extract(page, html_text.Weights({}))
+    assert time.process_time() - began < 8
+
+
+def test_quotation_marks_out_of_place():
+    page = '<article><p title="a>b">One</p><p title="5" tall">Two</p><p class=x"y>Three</p><p a=">Four</p><p>Five</p></article>'
+    assert html_text.extract(page, html_text.Weights({})) == "One\n\nTwo\n\nThree\n\nFour\n\nFive"
+
+
+def plain_reader(page):
+    """A plain extractor for the pages below: blocks of text outside the elements that never hold an article."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.depth, self.blocks, self.now = 0, [], ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("nav", "footer", "aside", "script", "header") or dict(attrs).get("class") in ("ad", "comments"):
+                self.depth += 1
+            elif self.depth and tag == "div":
+                self.depth += 1
+            if tag in ("p", "div", "li", "h1"):
+                self.flush()
+
+        def handle_endtag(self, tag):
+            if self.depth and tag in ("nav", "footer", "aside", "script", "header", "div"):
+                self.depth -= 1
+            if tag in ("p", "div", "li", "h1"):
+                self.flush()
+
+        def handle_data(self, data):
+            if not self.depth:
+                self.now += data
+
+        def flush(self):
+            self.blocks.append(" ".join(self.now.split()))
+            self.now = ""
+
+    r = Reader()
+    r.feed(page)
+    r.flush()
+    return "\n\n".join(b for b in r.blocks if b)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pages_without_a_marked_article_equal_a_plain_reader(seed):
+    rng = random.Random(seed)
+    words = lambda k: " ".join(rng.choices("the court held that rule a letter in winter on old stone bridge over water".split(), k=k))
+    for _ in range(60):
+        body = f"<h1>{words(4)}</h1>"
+        for _ in range(rng.randint(2, 7)):
+            body += rng.choice((f"<p>{words(30)} <b>{words(2)}</b>\n{words(3)}</p>", f"<div>{words(25)}</div>", f"<ul><li>{words(12)}</li><li>{words(9)}</li></ul>", f"<div class=ad>{words(6)}</div>", f"<p>{words(15)} &amp; {words(5)}</p>"))
+        page = f"<body><header><p>{words(3)}</p></header><nav><ul><li><a href=/>{words(1)}</a></li><li><a href=/x>{words(2)}</a></li></ul></nav><div>{body}</div>"
+        page += f"<div class=comments><p>{words(20)}</p></div><aside><p>{words(9)}</p></aside><footer><p>{words(6)}</p></footer></body>"
+        assert html_text.extract(page, html_text.Weights({})) == plain_reader(page)
+
+
 def test_region_is_the_best_of_all():
     rng = random.Random(3)
     for _ in range(200):
