@@ -1,7 +1,8 @@
 """Media columns: texts stored as lossless WebP images, and images read back as pixel arrays.
 
 Defined results: a null text counts as empty, which is stored as one row of spaces; a null or damaged image
-decodes to a null pixel array with the error named; equal texts give equal files; an empty table gives no
+decodes to a null pixel array, and to null digests of what it holds, with the error named; where the number of bytes is null
+or beyond the image, all its samples are the payload; equal texts give equal files; an empty table gives no
 rows; other columns pass through, and those of the new names are replaced. Images grow in width beyond the format's height, so very long texts fit.
 """
 
@@ -119,23 +120,28 @@ def feature(p: np.ndarray) -> str:
 
 def digest(df: DataFrame, media_col: str = "media") -> DataFrame:
     """df (with ``n_bytes``) with its media column decoded and replaced by digests of what was read back."""
-    made = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    keep = [c for c in df.columns if c != media_col and c not in (m.split()[0] for m in made.split(", "))]
+    made = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_error string"
+    names = [m.split()[0] for m in made.split(", ")]
+    keep = [c for c in df.columns if c != media_col and c not in names]
+
+    def told(f: bytes | None, n: int | None, p: np.ndarray | None, error: str | None) -> tuple:
+        stored = (None, None) if f is None else (len(f), hashlib.sha256(f).hexdigest())
+        if error:
+            return (None, None, None, *stored, None, error)
+        b = p[..., :3].tobytes()
+        b = b if n is None else b[: padded(n)]
+        return (len(b), hashlib.sha256(b).hexdigest(), zlib.crc32(b[-16:]), *stored, feature(p), None)
 
     def run(batches):
         for batch in batches:
             files = batch.column(batch.schema.get_field_index(media_col))
             rest = batch.select(keep)
             for i, j in groups(files):
-                own, sizes, rows = files.slice(i, j - i).to_pylist(), batch.column("n_bytes").slice(i, j - i).to_pylist(), []
-                for f, n, (p, error) in zip(own, sizes, _read(own), strict=True):
-                    if error:
-                        raise ValueError(error)
-                    b = p[..., :3].tobytes()[: padded(n)]
-                    rows.append((len(b), hashlib.sha256(b).hexdigest(), zlib.crc32(b[-16:]), len(f), hashlib.sha256(f).hexdigest(), feature(p)))
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                own, sizes = files.slice(i, j - i).to_pylist(), batch.column("n_bytes").slice(i, j - i).to_pylist()
+                rows = [told(f, n, *seen) for f, n, seen in zip(own, sizes, _read(own), strict=True)]
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
                 cols = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*rest.slice(i, j - i).columns, *cols], [*keep, *(m.split()[0] for m in made.split(", "))])
+                yield pa.RecordBatch.from_arrays([*rest.slice(i, j - i).columns, *cols], [*keep, *names])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keep).schema)
     return df.select(*keep, media_col).mapInArrow(run, fields + made)

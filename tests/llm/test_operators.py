@@ -508,6 +508,10 @@ def test_media_round_trip(spark):
     assert told[5].media_sha256 == told[6].media_sha256 != told[7].media_sha256
     bad = spark.createDataFrame([(0, None), (1, b"RIFFxxxx"), (2, bytes(seen[4].media))], "id int, media binary")
     assert [r.media_error is None for r in media.decode(bad).orderBy("id").collect()] == [False, False, True]
+    n = spark.createDataFrame([(0, None, 5), (1, b"RIFFxxxx", 5), (2, bytes(seen[4].media), None), (3, bytes(seen[4].media[:-9]), 9), (4, bytes(seen[4].media), 9)], "id int, media binary, n_bytes long")
+    got = {r.id: r for r in media.digest(n).collect()}
+    assert [got[i].media_error is None for i in range(5)] == [False, False, True, False, True] and got[1].media_bytes == 8
+    assert got[0].media_bytes is got[0].payload_bytes is got[3].feature is None and got[2].payload_bytes == got[4].payload_bytes == 192
     assert media.digest(media.store(d.where("false"))).count() == 0
     assert media.side(media.UNIT * (2 * 16384 + 1)) == (192, 10923)
 

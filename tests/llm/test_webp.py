@@ -77,3 +77,53 @@ def test_code_lengths_are_complete_and_limited():
     for limit in (7, 11, 15):
         n = webp.code_lengths(counts, limit)
         assert n.max() <= limit and sum(2.0**-x for x in n if x) == 1
+
+
+def test_texts_use_what_the_format_has():
+    """Stored texts hold transforms, back-references and colour caches where these are shorter."""
+    rng = np.random.default_rng(8)
+    prose = (" ".join(rng.choice("the of and harbour winter letter bridge garden in on with to".split(), 4000))).encode()
+    kinds = {"prose": prose, "line": b"one line that comes again and again, " * 300, "few": bytes(rng.choice(list(b"ab"), 4000)), "grey": bytes(np.repeat(rng.integers(0, 256, 4000), 3).astype(np.uint8)), "slope": bytes((np.arange(40000) // 3 % 256).astype(np.uint8))}
+    seen, files, want = {}, [], []
+    for name, text in kinds.items():
+        h = -(-len(text) // 192)
+        s = np.frombuffer(text.ljust(192 * h), np.uint8)
+        files.append(webp.encode_samples(s, 64, h))
+        want.append(s.reshape(h, 64, 3))
+        bits = webp.Bits(webp.unwrap(files[-1]))
+        _, _, coded, transforms = webp.read_head(bits)
+        cache, groups, *_ = webp.read_coding(bits, coded, h, True)
+        seen[name] = ({k for k, *_ in transforms}, cache > 0, np.count_nonzero(groups[0][4]) > 1, len(files[-1]))
+        assert np.array_equal(webp.decode(files[-1])[..., :3], want[-1])
+    for p, w in zip(webp.decode_many(files * 9), want * 9, strict=True):
+        assert np.array_equal(p[..., :3], w)
+    assert seen["prose"][1] and seen["line"][2] and seen["line"][3] < 1000
+    assert set.union(*(x[0] for x in seen.values())) >= {webp.PALETTE, webp.GREEN}
+
+
+def test_running_predictors_equal_the_plain_ones():
+    p = picture(9, 14, 40, 3)
+    for mode in (1, 2):
+        own = webp.predictor(p, np.full((2, 2), mode), 3, True)
+        mixed = np.full((2, 2), mode)
+        mixed[1, 1] = 3 - mode
+        plain = webp.predictor(p, mixed, 3, True)
+        assert np.array_equal(own[:8, :8], plain[:8, :8])
+        assert np.array_equal(webp.predictor(own, np.full((2, 2), mode), 3, False), p)
+        assert np.array_equal(webp.predictor(plain, mixed, 3, False), p)
+
+
+def test_damaged_streams_are_told():
+    rng = np.random.default_rng(2)
+    s = np.frombuffer(b"some words of a text, some words of another text; " * 40, np.uint8)
+    good = webp.encode_samples(s[:1920], 64, 10)
+    for _ in range(60):
+        bad = bytearray(good)
+        bad[int(rng.integers(25, len(bad)))] ^= int(rng.integers(1, 256))
+        try:
+            got = webp.decode_many([bytes(bad)] * 30)[0]
+        except (ValueError, IndexError, KeyError):
+            continue
+        assert got.shape == (10, 64, 4)
+    with pytest.raises(ValueError):
+        webp.decode_many([good[:-40]] * 30)
