@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,9 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one of our own only where that is unset."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, a session within one process has a folder of its own;
+    on a cluster no folder of one machine would do, and that is an error."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[[^,]*(,\d+)?\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="geomotif-")
         shared_dir.own = at
     return at.rstrip("/")
@@ -84,40 +88,47 @@ def unit_hash(*cols) -> F.Column:
 def bitmap(numbers: DataFrame, size: int) -> np.ndarray:
     """Packed bits of the numbers 0 .. size - 1 in the first column, put together by native aggregates: what
     reaches the driver is size / 8 bytes at most."""
-    h = F.col(numbers.columns[0])
+    h = F.col(numbers.columns[0]) + 1  # the aggregates count from 1 on
     at = numbers.select(h.alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("m"))
-    out, width = np.zeros(size, bool), 8 * 4096
-    for r in at.collect():
-        # bucket b > 0 holds the numbers from (b - 1) * width + 1 on; 0 alone lies in bucket 0
-        on = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(r["m"]), np.uint8), bitorder="little"))
-        on += (r["b"] - 1) * width + 1 if r["b"] > 0 else 0
-        out[on[on < size]] = True
-    return np.packbits(out)
+    out, width = np.zeros(-(-size // 32768) * 4096, np.uint8), 4096
+    for r in at.toLocalIterator():
+        out[(r["b"] - 1) * width : r["b"] * width] = np.frombuffer(bytes(r["m"]), np.uint8)
+    return out[: -(-size // 8)]
 
 
 def bits_at(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    return (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-BITS = 1 << 24
+MOST_BITS = 1 << 27  # of a bitmap of ids: 16 MB, which is what is broadcast at most
 
 
-def spot(col) -> F.Column:
-    """The place of an id in a bitmap of BITS bits."""
-    return F.xxhash64(F.lit("spot"), col).bitwiseAND(BITS - 1)
+def spot(col, size: int) -> F.Column:
+    """The place of an id in a bitmap of ``size`` bits, a power of two."""
+    return F.xxhash64(F.lit("spot"), col).bitwiseAND(size - 1)
+
+
+def ids_bitmap(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """(bitmap, its bits) of the ids in the first column, with sixteen bits an id up to MOST_BITS. It lets all ids pass, and of
+    others about one in sixteen; with so many ids that the greatest size fills up, more."""
+    col = ids.columns[0]
+    n = ids.agg(F.approx_count_distinct(col)).first()[0]
+    size = min(MOST_BITS, 1 << max(18, (16 * n - 1).bit_length()))
+    return bitmap(ids.select(spot(F.col(col), size)), size), size
 
 
 def without(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
     """The rows whose col is none of the ids (one column), a null included. Wide rows are not shuffled: a bitmap of the
-    ids, 2 MB whatever their number, lets all pass that are surely not among them, and only the few others are joined."""
+    ids, 16 MB at most, lets all pass that are surely not among them, and only the others are joined."""
     gone = ids.select(F.col(ids.columns[0]).alias(col)).where(F.col(col).isNotNull())
-    held = rows.sparkSession.sparkContext.broadcast(bitmap(gone.select(spot(col)), BITS))
+    bits, size = ids_bitmap(gone)
+    held = rows.sparkSession.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
     def may_go(h: pd.Series) -> pd.Series:
         return pd.Series(bits_at(held.value, h.to_numpy(np.int64)))
 
-    hit = F.col(col).isNotNull() & may_go(spot(col))
+    hit = F.col(col).isNotNull() & may_go(spot(F.col(col), size))
     return rows.where(~hit).unionByName(rows.where(hit).join(gone.distinct(), col, "left_anti").select(*rows.columns))
 
 
@@ -252,13 +263,14 @@ def _forest(batches):
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([find(i) for i in ids], pa.int64())], ["id", "component"])
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40, few: int = 300_000) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", task_edges: int = 300_000) -> DataFrame:
     """(id, component) for every id on an edge; component is the smallest id reachable.
 
-    Large-star and small-star rounds over the edge table, each written to the shared folder. A
+    Rounds over the edge table, each written to the shared folder. In a round every task replaces its edges, at most
+    about ``task_edges``, by their own forest; then large-star and small-star steps move edges towards smaller ids. Rounds end
+    when one task holds all edges, whose forest is the answer, or nothing changes any more. A
     vertex with many edges is reduced by a partial minimum before the shuffle, and the join that
-    hands the minimum back is one that adaptive execution can split. No more than ``few`` edges, which
-    one task holds easily, are settled there at once.
+    hands the minimum back is one that adaptive execution can split.
     """
     now = stage(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc"
@@ -269,11 +281,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 4
         return r["n"], r["h"]
 
     before = mark(now)
-    if before[0] <= few:
-        return now.coalesce(1).mapInArrow(_forest, "id long, component long")
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
+    while before[0] > task_edges:
+        parts = -(-before[0] // task_edges)
+        local = now.repartition(parts, F.xxhash64("u")).mapInArrow(_forest, "u long, v long").where("u <> v")
+        now, last = stage(local, "cc"), now
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -286,12 +297,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 4
         new = stage(small, "cc")
         after = mark(new)
         drop(now)
+        drop(last)
         now = new
         if after == before:
             break
         before = after
     else:
-        raise RuntimeError("components did not settle")
+        return now.coalesce(1).mapInArrow(_forest, "id long, component long")
     out = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
     roots = now.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return out.unionByName(roots)

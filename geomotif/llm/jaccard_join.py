@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BITS, bitmap, bits_at, chunks, components, drop, mix, shingle_sets, spot, stage, unit_hash
+from .common import bitmap, bits_at, chunks, components, drop, ids_bitmap, mix, shingle_sets, spot, stage, unit_hash
 
 PAIRS = "a long, b long"
 
@@ -100,8 +100,9 @@ def first_shingles(docs: DataFrame, k: int, num: int, den: int, late_bits: np.nd
 
 def whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(id, set): all shingles, sorted, as bytes, of every document of the ids and of some others: the ids are told by
-    a bitmap of 2 MB, which is small enough to send to executors whatever their number, so no text is shuffled."""
-    held = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(spot("id")), BITS))
+    a bitmap of 16 MB at most, which executors can hold whatever the number of ids, so no text is shuffled."""
+    bits, size = ids_bitmap(ids.select("id"))
+    held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
         for batch in batches:
@@ -109,7 +110,7 @@ def whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             for i, j, raw, off in chunks(batch, "text"):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([s.tobytes() for s in shingle_sets(raw, off, k)], pa.binary())], ["id", "set"])
 
-    return docs.where("id is not null").select("id", "text", spot("id").alias("h")).mapInArrow(run, "id long, set binary")
+    return docs.where("id is not null").select("id", "text", spot(F.col("id"), size).alias("h")).mapInArrow(run, "id long, set binary")
 
 
 def shared(x: np.ndarray, y: np.ndarray) -> int:

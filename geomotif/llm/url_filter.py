@@ -8,7 +8,7 @@ a template's purity is its smoothed share of allowed urls, each level shrunk tow
 A template whose purity is under ``threshold`` is rejected.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and
-is judged as the template of the empty host. Segments beyond ``max_depth`` form one segment ``**``.
+is judged as the template of the empty host. What is behind the first ``max_depth`` segments is one segment, whole.
 Repeated rows are judged alike; an empty table gives an empty one; other columns pass
 through, and one named ``url_filter`` is replaced.
 """
@@ -65,8 +65,10 @@ def segments(path: Column, max_depth: int) -> Column:
         return F.regexp_replace(s, r"[0-9]+", "{n}")
 
     parts = F.split(F.regexp_replace(path, r"^/", ""), "/", -1)
-    short = F.transform(F.slice(parts, 1, max_depth), shape)
-    return F.when(F.size(parts) > max_depth, F.concat(short, F.array(F.lit("**")))).otherwise(short)
+    forms = F.transform(parts, shape)
+    short = F.slice(forms, 1, max_depth)
+    rest = F.array_join(F.slice(forms, max_depth + 1, F.size(forms)), "/")
+    return F.when(F.size(parts) > max_depth, F.concat(short, F.array(rest))).otherwise(short)
 
 
 def judge_urls(
@@ -103,8 +105,8 @@ def judge_urls(
         wide = kids.groupBy("host", "parent").agg(F.count("*").alias("kids"), F.sum("kn").alias("pn")).where(F.col("kids") > fanout)
         thin = kids.join(wide, ["host", "parent"]).where("kn * 10 < pn").select("host", "parent", "child", F.lit(True).alias("thin"))
         new = F.when(F.col("thin"), F.concat(F.slice("segs", 1, at - 1) if at > 1 else F.array().cast("array<string>"), F.array(F.lit("*")), F.slice("segs", at + 1, max_depth + 2))).otherwise(F.col("segs"))
-        leaf = here.join(thin, ["host", "parent", "child"], "left").withColumn("segs", new).select("host", "leaf", "segs", "n", "m", "good")
-    leaf = stage(leaf, "urls")
+        # each level is written: a level reads the one above three times, which would multiply with the depth
+        leaf = stage(here.join(thin, ["host", "parent", "child"], "left").withColumn("segs", new).select("host", "leaf", "segs", "n", "m", "good"), "urls")
 
     # counts of every node, its parent, and of the siblings that are like their parent
     ways = F.transform(F.sequence(F.lit(1), F.size("segs")), lambda i: F.struct(i.alias("lev"), F.array_join(F.slice("segs", 1, i), "/").alias("node"), F.array_join(F.slice("segs", 1, i - 1), "/").alias("up")))

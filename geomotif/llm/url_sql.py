@@ -15,7 +15,8 @@ def judge_sql(rules=RULES, max_depth: int = 8, fanout: int = 40, alpha: float =
             coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u)""",
         f"r AS (SELECT *, {rule_condition(rules)} AS rule, string_split(regexp_replace(path, '^/', ''), '/') AS parts FROM p)",
         f"""q AS (SELECT page_id, host, path, rule, CASE rule {verdicts} END AS ruled,
-            list_concat(list_transform(parts[1:{max_depth}], lambda s: {digits}), CASE WHEN len(parts) > {max_depth} THEN ['**'] ELSE [] END) AS segs FROM r)""",
+            list_concat(list_transform(parts[1:{max_depth}], lambda s: {digits}),
+                CASE WHEN len(parts) > {max_depth} THEN [array_to_string(list_transform(parts[{max_depth + 1}:], lambda s: {digits}), '/')] ELSE [] END) AS segs FROM r)""",
         "l0 AS (SELECT host, array_to_string(segs, '/') AS leaf, segs, count(*) AS n, count(ruled) AS m, count(*) FILTER (ruled = 'allow') AS good FROM q GROUP BY host, segs)",
     ]
     for k in levels:

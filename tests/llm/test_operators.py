@@ -66,21 +66,21 @@ def test_words_and_shingles_by_hand():
     assert np.isin(a, d).all()  # a b c, whatever its case and white space
 
 
-@pytest.mark.parametrize("few", [0, 10**6])
-def test_components(spark, few):
+@pytest.mark.parametrize("task_edges", [1, 40, 10**6])
+def test_components(spark, task_edges):
     rng = random.Random(1)
     for n, m in ((1, 0), (50, 30), (300, 310)):
         links = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(i, i + 1) for i in range(n // 2, n // 2 + n // 4)]
         links = [(a, b) for a, b in links if a < n and b < n]
         t = spark.createDataFrame(links or [(0, 0)], "a long, b long")
-        got = {r.id: r.component for r in components(t, few=few).collect()}
+        got = {r.id: r.component for r in components(t, task_edges=task_edges).collect()}
         want = classes(n, links)
         assert all(got.get(i, i) == want[i] for i in range(n))
 
 
 def test_bitmap(spark):
     n = [0, 1, 32767, 32768, 32769, 65535, 65536, (1 << 18) - 1]
-    bits = np.unpackbits(bitmap(spark.createDataFrame([(x,) for x in n * 2], "h long"), 1 << 18))
+    bits = np.unpackbits(bitmap(spark.createDataFrame([(x,) for x in n * 2], "h long"), 1 << 18), bitorder="little")
     assert np.flatnonzero(bits).tolist() == sorted(set(n))
 
 
@@ -794,6 +794,29 @@ def test_staged_tables_lie_in_the_shared_folder(spark):
     assert t.count() == 5 and t.staged_at.startswith(spark.conf.get("spark.checkpoint.dir"))
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from geomotif.llm.common import shared_dir
+
+    def session(master):
+        return SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=dict), conf={})
+
+    for master in ("spark://h:7077", "yarn", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session(master))
+    for master in ("local", "local[*]", "local[4]", "local[4,2]"):
+        assert shared_dir(session(master))
+
+
+def test_paths_that_differ_far_down(spark):
+    deep = "http://h.net/" + "/".join("abcdefghi")
+    urls = [f"{deep}/bad/{i}" for i in range(60)] + [f"{deep}/good/{i}" for i in range(60)] + [f"{deep}/bad/x/0", f"{deep}/good/x/0"]
+    t = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.url: r.url_filter for r in url_filter.judge_urls(t, rules=(("block", "h.net/a/b/c/d/e/f/g/h/i/bad/"), ("allow", "h.net/a/b/c/d/e/f/g/h/i/good/"))).collect()}
+    assert got[urls[0]].template.endswith("h/i/bad/{n}") and got[urls[60]].purity > 0.9 > 0.2 > got[urls[0]].purity
+
+
 def test_rows_without_ids(spark):
     t = spark.createDataFrame([(i % 50 if i % 7 else None, str(i)) for i in range(300)], "doc_id long, text string")
     gone = spark.createDataFrame([(3,), (3,), (None,), (44,), (99,)], "x long")
