@@ -12,8 +12,14 @@ is sought in the region of its first common shingle alone. There:
    counts over 256 classes of shingles, which is never more than that of the sets themselves. By the triangle
    inequality two linked documents differ in it by a bounded width: the region falls into rings of that width
    around the pivot, and a document also enters the ring below. Those near the pivot are compared with it exactly.
-3. What is not yet in one component is compared with further pivots of its ring, and at last all pairs of a ring that
-   are still in different components and whose sizes, positions and counts allow a link are compared exactly.
+3. A ring with many documents in different components is divided into Voronoi regions, recursively: each document goes home to
+   the nearest of several pivots, and is a guest in the region of every earlier pivot that is no more than twice its
+   widest link farther than its own. Of two linked documents with different homes the one with the later home is
+   a guest where the other lives: d(y, p) <= d(x, y) + d(x, p) <= d(x, y) + d(x, q) <= 2 d(x, y) + d(y, q). Documents near a pivot
+   are compared with it exactly. Regions are divided again until they are small, or until dividing them no longer pays:
+   documents that are about equally far from each other have no regions.
+4. All pairs of a region that are still in different components and whose sizes, positions and counts allow a link
+   are compared exactly, those of large regions by blocks.
 
 Pairs already joined through others are not compared, so a group of near copies costs about one comparison a
 document; no pair of documents in different components is left out. Equal shingle sets are joined once.
@@ -25,10 +31,12 @@ rows of one id with different texts each that of their text; a null id has a nul
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bitmap, bits_at, chunks, components, drop, ids_bitmap, mix, shingle_sets, spot, stage, unit_hash
@@ -155,11 +163,11 @@ def count_distance(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 def crowded_pairs(rows: DataFrame, area: list[str], width: float, chunk_rows: int = 2000) -> DataFrame:
     """(a, b) of the pairs of crowded areas whose sizes, positions and counts allow a link. Areas are dealt out by pairs
     of chunks of bounded size, and pairs are looked at by blocks within a task, so that only those that pass
-    become rows. rows: area, m (rows of the area), rep, label, n, reach, guest, above, sketch."""
+    become rows. rows: area, m (rows of the area), rep, label, n, reach, away, sketch."""
     parts = F.ceil(F.col("m") / chunk_rows).cast("int")
     rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     both = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("p"), F.greatest("part", j).alias("q")))
-    rows = rows.select(*area, "rep", "label", "n", "reach", "guest", "above", "sketch", "part", F.explode(both).alias("two")).select("*", "two.p", "two.q").drop("two")
+    rows = rows.select(*area, "rep", "label", "n", "reach", "away", "sketch", "part", F.explode(both).alias("two")).select("*", "two.p", "two.q").drop("two")
 
     def run(f):
         a, b = [], []
@@ -167,10 +175,10 @@ def crowded_pairs(rows: DataFrame, area: list[str], width: float, chunk_rows: in
         same = f.p.iloc[0] == f.q.iloc[0]
         sk = [np.frombuffer(b"".join(t.sketch), np.uint8).reshape(-1, 256) for t in (i, j)]
         few = [s.reshape(-1, 32, 8).sum(axis=2, dtype=np.int16) for s in sk]
-        (ri, li, ni, ui, gi, vi), (rj, lj, nj, uj, gj, vj) = ([t[c].to_numpy() for c in ("rep", "label", "n", "reach", "guest", "above")] for t in (i, j))
+        (ri, li, ni, ui, vi), (rj, lj, nj, uj, vj) = ([t[c].to_numpy() for c in ("rep", "label", "n", "reach", "away")] for t in (i, j))
         for x in range(0, len(i), 256):
             r = slice(x, min(x + 256, len(i)))
-            ok = (li[r, None] != lj) & (nj <= ui[r, None]) & (ni[r, None] <= uj) & ~(gi[r, None] & gj) & ~(vi[r, None] & vj)
+            ok = (li[r, None] != lj) & (nj <= ui[r, None]) & (ni[r, None] <= uj) & ((vi[r, None] & vj) == 0)
             if same:
                 ok &= ri[r, None] < rj
             p, q = np.nonzero(ok)
@@ -188,6 +196,39 @@ def crowded_pairs(rows: DataFrame, area: list[str], width: float, chunk_rows: in
     return rows.groupBy(*area, "p", "q").applyInPandas(run, PAIRS)
 
 
+def to_pivots(rows: DataFrame, area: list[str], pivots: int, seed: int, width: float) -> DataFrame:
+    """rows (area, rep, label, n, reach, away, sketch) without sketches and with ``home``, the nearest of its area's pivots,
+    ``guest``, the earlier ones in whose regions it may have a partner, and ``near``, the pivots with which it may be linked.
+    An area has one row of pivots, which an ordinary join hands to its documents."""
+    pick = lambda k: F.min_by(F.struct("rep", "label", "n", "reach", "sketch"), F.xxhash64("rep", F.lit(seed * pivots + k)))
+    of = rows.groupBy(*area).agg(F.array(*map(pick, range(pivots))).alias("p"))
+    own = [*area, "rep", "label", "n", "reach", "away"]
+
+    def run(batches):
+        for batch in batches:
+            b = batch.num_rows
+            if not b:
+                continue
+            p = batch.column(batch.schema.get_field_index("p")).flatten()
+            rep, label, n, reach = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("rep", "label", "n", "reach"))
+            prep, plabel, pn, preach = (p.field(c).to_numpy(zero_copy_only=False).reshape(b, pivots) for c in ("rep", "label", "n", "reach"))
+            x = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("sketch")).to_pylist()), np.uint8).reshape(b, 1, 256).astype(np.int16)
+            q = np.frombuffer(b"".join(p.field("sketch").to_pylist()), np.uint8).reshape(b, pivots, 256)
+            d = np.stack([np.abs(x[:, 0] - q[:, k]).sum(axis=1, dtype=np.int64) for k in range(pivots)], axis=1)
+            again = np.stack([(prep[:, :k] == prep[:, k : k + 1]).any(axis=1) for k in range(pivots)], axis=1)  # picked twice
+            far = np.where(again, np.iinfo(np.int64).max // 4, d)
+            home = far.argmin(axis=1)
+            least = far[np.arange(b), home]
+            guest = (np.arange(pivots) < home[:, None]) & (far <= (least + 2 * (n + reach) * width + 1e-6)[:, None])
+            near = ~again & (plabel != label[:, None]) & (pn <= reach[:, None]) & (n[:, None] <= preach) & (d <= (n[:, None] + pn) * width + 1e-6)
+            made = [pa.array(home, pa.int32()), pa.array([np.flatnonzero(g).tolist() for g in guest], pa.list_(pa.int32())), pa.array([r[m].tolist() for r, m in zip(prep, near, strict=True)], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.select(own).columns, *made], [*own, "home", "guest", "near"])
+
+    kinds = dict(rows.dtypes)
+    fields = ", ".join(f"{c} {kinds[c]}" for c in own)
+    return rows.join(of, area).select(*own, "sketch", "p").mapInArrow(run, f"{fields}, home int, guest array<int>, near array<long>")
+
+
 def labelled(t: DataFrame, comp: DataFrame, col: str = "rep") -> DataFrame:
     """t with the component of one of its columns as ``label``."""
     c = comp.select(F.col("id").alias(col), F.col("component").alias("label"))
@@ -204,21 +245,21 @@ def repeats(docs: DataFrame, id_col: str) -> bool:
     return not docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty()
 
 
-def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1, crowd: int = 64) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1, crowd: int = 64, pivots: int = 8) -> DataFrame:
     """(id, n_shingles, component_id) of every document; links need intersection / union >= num / den."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     if not repeats(docs, "id"):
-        out = components_of(docs, k, num, den, rounds, crowd, True)
+        out = components_of(docs, k, num, den, rounds, crowd, pivots, True)
     else:  # rows of one id may have different texts: each text has its own key
         keyed = docs.withColumn("key", row_key("id", "text"))
-        found = components_of(keyed.select(F.col("key").alias("id"), "text"), k, num, den, rounds, crowd, False)
+        found = components_of(keyed.select(F.col("key").alias("id"), "text"), k, num, den, rounds, crowd, pivots, False)
         found = stage(found.withColumnRenamed("id", "key").join(keyed.where("id is not null").select("key", "id").distinct(), "key", "left"), "keyed")
         least = found.where("id is not null").groupBy("component_id").agg(F.min("id").alias("least"))
         out = found.join(least, "component_id", "left").select("id", "n_shingles", F.col("least").alias("component_id"))
     return out.withColumnRenamed("id", id_col)
 
 
-def components_of(docs: DataFrame, k: int, num: int, den: int, rounds: int, crowd: int, single: bool) -> DataFrame:
+def components_of(docs: DataFrame, k: int, num: int, den: int, rounds: int, crowd: int, pivots: int, single: bool) -> DataFrame:
     """(id, n_shingles, component_id) of docs (id, text), in which an id has one text, and one row if ``single``."""
     first = stage(first_shingles(docs, k, num, den, late_shingles(docs, k)), "first")
     group = ["n", "f1", "f2"]
@@ -227,12 +268,12 @@ def components_of(docs: DataFrame, k: int, num: int, den: int, rounds: int, crow
         F.col("id").alias("rep"), "n", F.posexplode("prefix").alias("pos", "s")
     )
 
-    # regions by first shingles; one with a single document ends here. The frame runs along, so it isn't held
-    w = Window.partitionBy("s").orderBy("rep")
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # regions by first shingles; one with a single document ends here
+    posts = stage(posts, "posts")
     me = F.struct("rep", "n", "pos")
-    pairs = stage(posts.withColumn("head", F.first(me).over(run)).where("head.rep <> rep").select("s", "rep", "n", "pos", "head"), "regions")
-    rows = pairs.select("s", "rep", "n", "pos").unionByName(pairs.select("s", "head.*").distinct())
+    heads = posts.groupBy("s").agg(F.min(me).alias("head"), F.count("*").alias("m")).where("m > 1").drop("m")
+    rows = stage(posts.join(heads.select("s"), "s", "left_semi").select("s", "rep", "n", "pos"), "regions")
+    drop(posts)
 
     # size classes; in each, what may have a partner by size and by the position of the shingle
     base = den / num * (1 + 1e-9)
@@ -275,37 +316,68 @@ def components_of(docs: DataFrame, k: int, num: int, den: int, rounds: int, crow
     ring = F.floor(F.col("far") / most).cast("int")
     here = rows.select(*area, "above", "rep", "n", "reach", ring.alias("home"))
     here = here.select(*area, "above", "rep", "n", "reach", F.explode(F.when(F.col("home") > 0, F.array(F.col("home"), F.col("home") - 1)).otherwise(F.array("home"))).alias("ring"), "home")
-    here = here.withColumn("guest", F.col("home") != F.col("ring")).drop("home")
-    area.append("ring")
-    here = stage(here, "rings")
-    for turn in range(rounds + 1):
-        lab = labelled(here, comp)
-        open_ = lab.groupBy(*area, "label").agg(F.count("*").alias("c")).groupBy(*area).agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q")).where("m * m > q")
-        lab = stage(lab.join(open_.select(*area, "m"), area), "open")
-        last = turn == rounds
-        if not last:
-            # one more pivot for each ring; only documents of other components are compared with it
-            pick = F.min_by(F.struct("rep", "label", "n", "reach"), F.xxhash64("rep", F.lit(turn)))
-            more = lab.join(lab.groupBy(*area).agg(pick.alias("p")), area).where((F.col("label") != F.col("p.label")) & fit("", "p."))
-            pairs = more.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"), (F.col("n") + F.col("p.n")).alias("both"))
-        else:
-            full = lab.where(F.col("m") > crowd).join(sketches.withColumnRenamed("id", "rep"), "rep")
-            found = crowded_pairs(full, area, width).distinct()
-            few = lab.where(F.col("m") <= crowd)
-            x, y = few.alias("x"), few.alias("y")
-            meet = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in area]
-            meet += [F.col("x.rep") < F.col("y.rep"), F.col("x.label") != F.col("y.label"), fit("x.", "y.")]
-            meet += [~(F.col("x.guest") & F.col("y.guest")), ~(F.col("x.above") & F.col("y.above"))]
-            pairs = x.join(y, meet).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), (F.col("x.n") + F.col("y.n")).alias("both"))
-        pairs = stage(pairs.distinct(), "cross")
+    # a bit for each division in which the document is not at home: two that share one are compared elsewhere
+    away = F.col("above").cast("long") + F.when(F.col("home") != F.col("ring"), 2).otherwise(0)
+    area += ["ring", "cell"]
+    here = stage(here.select(*area[:-1], F.lit(0).cast("long").alias("cell"), "rep", "n", "reach", away.cast("long").alias("away")), "rings")
+
+    def still_open(t: DataFrame) -> DataFrame:
+        """The rows of areas with several components, with label and m, the area's rows."""
+        lab = labelled(t.select(*area, "rep", "n", "reach", "away"), comp)
+        several = lab.groupBy(*area, "label").agg(F.count("*").alias("c")).groupBy(*area).agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q")).where("m * m > q")
+        return stage(lab.join(several.select(*area, "m"), area), "open")
+
+    def near_pairs(pairs: DataFrame) -> DataFrame:
+        """(a, b) of pairs (a, b, both: the sum of their sizes) whose counts allow a link."""
         near = count_distance(pairs.select("a", "b"), sketches).join(pairs, ["a", "b"]).where(F.col("far") <= F.col("both") * width + 1e-6)
-        near = near.select("a", "b")
-        links = links.unionByName(link(near.unionByName(found).distinct() if last else near))
-        drop(lab)
+        return near.select("a", "b")
+
+    for turn in range(rounds):
+        # one more pivot for each ring; only documents of other components are compared with it
+        lab = still_open(here)
+        pick = F.min_by(F.struct("rep", "label", "n", "reach"), F.xxhash64("rep", F.lit(turn)))
+        more = lab.join(lab.groupBy(*area).agg(pick.alias("p")), area).where((F.col("label") != F.col("p.label")) & fit("", "p."))
+        pairs = stage(more.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"), (F.col("n") + F.col("p.n")).alias("both")).distinct(), "cross")
+        links = links.unionByName(link(near_pairs(pairs)))
         drop(pairs)
+        drop(lab)
         comp = stage(components(links), "comp")
-        if last:
+
+    # Voronoi regions of what is large
+    small, blocks, depth = [], [], 0
+    lab = still_open(here)
+    while True:
+        small.append(lab.where(F.col("m") <= crowd))
+        large = lab.where(F.col("m") > crowd)
+        if large.isEmpty():
             break
+        seen = stage(to_pivots(large.join(sketches.withColumnRenamed("id", "rep"), "rep").select(*area, "rep", "label", "n", "reach", "away", "sketch"), area, pivots, depth, width), "pivots")
+        starred = seen.select("rep", F.explode("near").alias("p")).select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
+        links = links.unionByName(link(starred))
+        comp = stage(components(links), "comp")
+        every = seen.select(*area, "rep", "n", "reach", "away", "home", F.explode(F.concat(F.array("home"), "guest")).alias("region"))
+        sizes = every.groupBy(*area, "region").agg(F.count("*").alias("c"), F.count_if(F.col("region") == F.col("home")).alias("own"))
+        sizes = sizes.groupBy(*area).agg(F.sum(F.col("c") * F.col("c")).alias("after"), F.sum("own").alias("m"))
+        pays = F.col("after") <= 0.6 * F.col("m") * F.col("m")  # dividing must save two fifths of the pairs
+        guest = F.when(F.col("region") != F.col("home"), F.lit(1 << (depth + 2)).cast("long")).otherwise(F.lit(0).cast("long"))
+        parts = every.join(sizes.where(pays).select(*area), area).select(
+            *area[:-1], F.xxhash64("cell", "region").alias("cell"), "rep", "n", "reach", F.col("away").bitwiseOR(guest).alias("away")
+        )
+        blocks.append(large.join(sizes.where(~pays).select(*area), area, "left_semi"))
+        depth += 1
+        lab = still_open(parts)
+
+    # what is left is compared by pairs of rows in small regions, and by blocks in large ones
+    few = still_open(reduce(DataFrame.unionByName, small))
+    x, y = few.alias("x"), few.alias("y")
+    meet = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in area]
+    meet += [F.col("x.rep") < F.col("y.rep"), F.col("x.label") != F.col("y.label"), fit("x.", "y."), F.col("x.away").bitwiseAND(F.col("y.away")) == 0]
+    pairs = x.join(y, meet).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), (F.col("x.n") + F.col("y.n")).alias("both"))
+    near = near_pairs(stage(pairs.distinct(), "cross"))
+    if blocks:
+        full = still_open(reduce(DataFrame.unionByName, blocks)).join(sketches.withColumnRenamed("id", "rep"), "rep")
+        near = near.unionByName(crowded_pairs(full, area, width)).distinct()
+    comp = stage(components(links.unionByName(link(near))), "comp")
 
     # back to all documents
     of_set = labelled(reps, comp).select(*group, F.col("label").alias("component_id"))

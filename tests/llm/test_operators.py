@@ -430,6 +430,50 @@ def test_crowded_areas_miss_nothing(spark):
     assert [r.component_id for r in sorted(out, key=lambda r: r.doc_id)] == want
 
 
+@pytest.mark.parametrize("pivots", [2, 8])
+def test_linked_documents_meet_in_one_voronoi_region(spark, pivots):
+    rng = np.random.default_rng(pivots)
+    centres = rng.integers(0, 40, (5, 256))
+    rows = []
+    for i in range(160):
+        sketch = np.clip(centres[i % 5] + rng.integers(0, 2, 256) * rng.integers(0, 8) // 4, 0, 255).astype(np.uint8)
+        n = int(sketch.sum())
+        rows.append((i % 3 // 2, i, i, n, n / 0.85, 0, bytes(sketch)))
+    t = spark.createDataFrame(rows, "s long, rep long, label long, n int, reach double, away long, sketch binary")
+    width = 15 / 185
+    got = {r.rep: r for r in jaccard_join.to_pivots(t, ["s"], pivots, 0, width).collect()}
+    assert len(got) == 160 and len({(r.s, r.home) for r in got.values()}) > 2
+    seen = {r[1]: np.frombuffer(r[6], np.uint8).astype(int) for r in rows}
+    linked = 0
+    for i in range(160):
+        assert all(p != i for p in got[i].near)
+        for j in range(i):
+            a, b = got[i], got[j]
+            if a.s == b.s and np.abs(seen[i] - seen[j]).sum() <= (a.n + b.n) * width and a.n <= b.reach and b.n <= a.reach:
+                linked += 1
+                regions = {(a.home, 0), *((g, 1) for g in a.guest)}, {(b.home, 0), *((g, 1) for g in b.guest)}
+                assert sum(p == q and not (x and y) for p, x in regions[0] for q, y in regions[1]) == 1
+    assert linked > 300
+
+
+def test_regions_are_divided_again(spark):
+    """Groups that are far from each other and all share a passage, larger than what is compared by pairs."""
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(6)]
+    texts = []
+    for g in range(4):
+        base = passage + [f"g{g}w{i}" for i in range(60 + g)]
+        for _ in range(22):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(6, len(w))] = f"x{rng.random()}"
+            texts.append(" ".join(w))
+    sets = [sets_of(t, 4) for t in texts]
+    want = classes(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])])
+    out = jaccard_join.jaccard_components(docs(spark, texts), rounds=0, crowd=3, pivots=3).collect()
+    assert [r.component_id for r in sorted(out, key=lambda r: r.doc_id)] == want
+
+
 def test_jaccard_of_odd_tables(spark):
     d = docs(spark, ["a b c d e f", "a b c d e f", None])
     twice = clashing(d.unionByName(d).unionByName(d.limit(1).withColumn("doc_id", F.lit(None).cast("long"))))
