@@ -688,7 +688,6 @@ def _multiplier(x: np.ndarray, y: np.ndarray) -> int:
 
 def _choose(p: np.ndarray) -> tuple[int | None, dict]:
     """The transform that promises the fewest bits for opaque pixels, if one saves a tenth, and the arguments it takes."""
-    best, out = 0.9 * _cost(p), (None, {})
     h, w, _ = p.shape
     blocks = (-(-h // 512), -(-w // 512))
     # what is likely to help: equal colours in a pixel, equal neighbours, colours that follow each other
@@ -703,9 +702,16 @@ def _choose(p: np.ndarray) -> tuple[int | None, dict]:
     if abs(gr) + abs(gb) > 16:
         elements = np.tile(np.array([0, gb & 255, gr & 255, 255], np.uint8), (*blocks, 1))
         options.append((CROSS, {"elements": elements}, lambda: cross_colour(p, elements, 9, forward=True)))
+    classes = np.bincount(((flat * np.uint32(CACHE_FACTOR)) >> np.uint32(20)).ravel(), minlength=4096)
+    many = np.count_nonzero(classes) > 256  # classes, so as many colours at least
+    if many and not options:
+        return None, {}
+    best, out = 0.9 * _cost(p), (None, {})
     for kind, more, made in options:
         if (cost := _cost(made())) < best:
             best, out = cost, (kind, more)
+    if many:
+        return out
     v = np.sort(flat.ravel())
     edge = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
     if len(edge) <= 256 and 24 * len(edge) + _bits_of(np.diff(edge, append=len(v))) < best:
