@@ -58,7 +58,8 @@ def horizontal_extremes(lat: float, lon: float, d: float) -> tuple[tuple[float,
 
 
 def radius_bbox(lat: float, lon: float, d: float, metric: str = "geodesic") -> tuple[float, float, float, float]:
-    """(xmin, ymin, xmax, ymax) of a box that holds every point within d of the centre."""
+    """(xmin, ymin, xmax, ymax) of a box that holds every point within d of the centre. Across the antimeridian xmin is less
+    than -180 or xmax greater than 180: see longitudes."""
     if metric == "euclidian":
         return lon - d, lat - d, lon + d, lat + d
     dy = vertical_reach(d)
@@ -67,6 +68,26 @@ def radius_bbox(lat: float, lon: float, d: float, metric: str = "geodesic") -> t
     return lon - dx, max(-90.0, lat - dy), lon + dx, min(90.0, lat + dy)
 
 
+def longitudes(xmin: float, xmax: float) -> list[tuple[float, float]]:
+    """The ranges of longitudes from -180 to 180 that a range stands for."""
+    if xmax - xmin >= 360:
+        return [(-180.0, 180.0)]
+    if xmin < -180:
+        return [(-180.0, xmax), (xmin + 360, 180.0)]
+    if xmax > 180:
+        return [(xmin, 180.0), (-180.0, xmax - 360)]
+    return [(xmin, xmax)]
+
+
+def same_place(lat1, lon1, lat2, lon2, metric: str = "geodesic") -> Column:
+    """Whether two points are one: by their numbers, and on the earth also the two names of the antimeridian and those of
+    the poles. Numbers that an equi-join can use."""
+    if metric == "euclidian":
+        return (lat1 == lat2) & (lon1 == lon2)
+    name = lambda lat, lon: F.when(F.abs(lat) >= 90, 0.0).when(lon == -180, 180.0).otherwise(lon)
+    return (lat1 == lat2) & (name(lat1, lon1) == name(lat2, lon2))
+
+
 # ---- boxes; each argument names four columns by prefix ------------------------------------------
 
 
@@ -126,6 +147,25 @@ def around(c: Column) -> Column:
     return F.sequence(c - 1, c + 1)
 
 
+def columns_round(size: float) -> int:
+    """Number of cells of at least a size, in degrees, that go round the earth."""
+    return max(1, int(360 / size))
+
+
+def wrapped_cell(lon: Column, size: float) -> Column:
+    """The cell of a longitude among columns_round(size) equal ones that go round the earth."""
+    n = columns_round(size)
+    return F.pmod(F.floor((lon + 180) / F.lit(360 / n)), F.lit(n)).cast("long")
+
+
+def wrapped_around(c: Column, size: float) -> Column:
+    """The cell and its neighbours, each once."""
+    n = columns_round(size)
+    if n < 3:
+        return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    return F.array(*(F.pmod(c + k, F.lit(n)).cast("long") for k in (-1, 0, 1)))
+
+
 def quadkey(x: Column, y: Column, bounds: tuple[float, float, float, float], level: int) -> Column:
     """Address of the cell of a point among 4 ** level: a digit a level, 0 to 3 for SW, NW, SE, NE."""
     xmin, ymin, xmax, ymax = bounds

@@ -2,7 +2,7 @@
 
 A distance condition alone would plan as a nested loop. Both sides get grid cells as wide as the condition reaches;
 one side enters its 3 x 3 neighbourhood, so each pair meets in exactly one cell and the join is an equi-join on
-the cell with the exact condition as a residual. Which side is broadcast, and the splitting of crowded cells, is left
+the cell with the exact condition as a residual. Cells of distances go round the earth, across the antimeridian. Which side is broadcast, and the splitting of crowded cells, is left
 to adaptive execution, which knows the sizes.
 """
 
@@ -14,27 +14,29 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo, topology
+from ..functions import geo, shapes, topology
 from ..plans.pattern import MEETING
 
 
 @dataclass(frozen=True)
 class Extent:
-    """What a grid must know of the places: how far from the equator, and how large."""
+    """What a grid must know of the places: how far from the equator, how large, and whether all are convex."""
 
     max_abs_lat: float
     max_width: float = 0.0
     max_height: float = 0.0
+    odd_shapes: bool = False
 
 
 def extent_of(poi: DataFrame) -> Extent:
-    r = poi.agg(F.max(F.abs("lat")), F.max((F.col("xmax") - F.col("xmin")) / 1e6), F.max((F.col("ymax") - F.col("ymin")) / 1e6)).first()
-    return Extent(*(float(v or 0.0) for v in r))
+    odd = F.count("rings") if "rings" in poi.columns else F.lit(0)
+    *r, odd = poi.agg(F.max(F.abs("lat")), F.max((F.col("xmax") - F.col("xmin")) / 1e6), F.max((F.col("ymax") - F.col("ymin")) / 1e6), odd).first()
+    return Extent(*(float(v or 0.0) for v in r), odd_shapes=odd > 0)
 
 
 def candidates(poi: DataFrame, keyword: str, alias: str, geometry: bool = False) -> DataFrame:
     """The places of a vertex: only what joins need, each column behind the alias."""
-    cols = ["osm_id", "lon", "lat"] + (["xmin", "ymin", "xmax", "ymax", "ring"] if geometry else [])
+    cols = ["osm_id", "lon", "lat"] + (["xmin", "ymin", "xmax", "ymax", "ring", *(["rings"] if "rings" in poi.columns else [])] if geometry else [])
     source = poi.where(F.col("keyword") == keyword) if "keyword" in poi.columns else poi.where(F.array_contains("keywords", keyword))
     return source.select(*(F.col(c).alias(f"{alias}.{c}") for c in cols))
 
@@ -55,17 +57,21 @@ def distance_condition(a: str, b: str, lower: float, upper: float, metric: str =
     return d >= lower if lower > 0 else None
 
 
-def _celled(df: DataFrame, alias: str, gx: float, gy: float, spread: bool) -> DataFrame:
+def _celled(df: DataFrame, alias: str, gx: float, gy: float, spread: bool, round_: bool) -> DataFrame:
     x, y = geo.cell(c(alias, "lon"), gx), geo.cell(c(alias, "lat"), gy)
+    if round_:
+        x = geo.wrapped_cell(c(alias, "lon"), gx)
     if not spread:
         return df.withColumns({"_cx": x, "_cy": y})
-    return df.withColumn("_cx", F.explode(geo.around(x))).withColumn("_cy", F.explode(geo.around(y)))
+    near = geo.wrapped_around(x, gx) if round_ else geo.around(x)
+    return df.withColumn("_cx", F.explode(near)).withColumn("_cy", F.explode(geo.around(y)))
 
 
-def grid_join(left: DataFrame, a: str, right: DataFrame, b: str, gx: float, gy: float, condition: Column, how: str = "inner") -> DataFrame:
-    """left and right where their points a and b are at most one cell apart and the condition holds."""
-    x = _celled(left, a, gx, gy, spread=False)
-    y = _celled(right, b, gx, gy, spread=True).withColumnsRenamed({"_cx": "_dx", "_cy": "_dy"})
+def grid_join(left: DataFrame, a: str, right: DataFrame, b: str, gx: float, gy: float, condition: Column, how: str = "inner", round_: bool = True) -> DataFrame:
+    """left and right where their points a and b are at most one cell apart and the condition holds. round_: whether
+    the cells go round the earth, so that the last one of a row is next to the first."""
+    x = _celled(left, a, gx, gy, False, round_)
+    y = _celled(right, b, gx, gy, True, round_).withColumnsRenamed({"_cx": "_dx", "_cy": "_dy"})
     on = (F.col("_cx") == F.col("_dx")) & (F.col("_cy") == F.col("_dy")) & condition
     return x.join(y, on, how).drop("_cx", "_cy", "_dx", "_dy")
 
@@ -78,8 +84,8 @@ def distance_join(left: DataFrame, a: str, right: DataFrame, b: str, lower: floa
     if not grid or upper == math.inf:
         return left.crossJoin(right) if cond is None else left.join(right, cond)
     if upper == 0:
-        return left.join(right, (c(a, "lon") == c(b, "lon")) & (c(a, "lat") == c(b, "lat")) & cond)
-    return grid_join(left, a, right, b, *geo.cell_size(upper, extent.max_abs_lat, metric), cond)
+        return left.join(right, geo.same_place(c(a, "lat"), c(a, "lon"), c(b, "lat"), c(b, "lon"), metric) & cond)
+    return grid_join(left, a, right, b, *geo.cell_size(upper, extent.max_abs_lat, metric), cond, round_=metric == "geodesic")
 
 
 def exclude(left: DataFrame, a: str, others: DataFrame, b: str, radius: float, extent: Extent, metric: str = "geodesic", grid: bool = True) -> DataFrame:
@@ -89,22 +95,28 @@ def exclude(left: DataFrame, a: str, others: DataFrame, b: str, radius: float, e
     if not grid:
         return left.join(others, near, "left_anti")
     if radius == 0:
-        return left.join(others, (c(a, "lon") == c(b, "lon")) & (c(a, "lat") == c(b, "lat")), "left_anti")
-    return grid_join(left, a, others, b, *geo.cell_size(radius, extent.max_abs_lat, metric), near, "left_anti")
+        return left.join(others, geo.same_place(c(a, "lat"), c(a, "lon"), c(b, "lat"), c(b, "lon"), metric), "left_anti")
+    return grid_join(left, a, others, b, *geo.cell_size(radius, extent.max_abs_lat, metric), near, "left_anti", round_=metric == "geodesic")
 
 
-def relation_condition(a: str, b: str, relation: str) -> Column:
+def relation_condition(a: str, b: str, relation: str, whole: bool = False) -> Column:
+    """whole: whether shapes may be other than one convex ring; then those that are go through Python."""
     p, q = ({k: c(s, k) for k in ("xmin", "ymin", "xmax", "ymax")} for s in (a, b))
-    exact = topology.related(c(a, "ring"), c(b, "ring"), relation)
+    if whole:
+        exact = shapes.either(c(a, "ring"), c(a, "rings"), c(b, "ring"), c(b, "rings"), relation)
+    else:
+        exact = topology.related(c(a, "ring"), c(b, "ring"), relation)
     return geo.boxes_meet(p, q) & exact if relation in MEETING else exact
 
 
 def relation_join(left: DataFrame, a: str, right: DataFrame, b: str, relation: str, extent: Extent, extra: Column | None = None, grid: bool = True) -> DataFrame:
     """Pairs in a topological relation. Boxes that meet have centroids at most the sum of the greatest extents apart,
     which sizes the grid; disjoint pairs are nearly all pairs and have no grid."""
-    cond = relation_condition(a, b, relation)
+    p, q = ({k: c(s, k) for k in ("xmin", "ymin", "xmax", "ymax")} for s in (a, b))
+    cond = relation_condition(a, b, relation, extent.odd_shapes)
     cond = cond if extra is None else cond & extra
     if not grid or relation not in MEETING:
         return left.join(right, cond)
     gx, gy = (max(2 * v, 1e-6) * (1 + 1e-6) for v in (extent.max_width, extent.max_height))
-    return grid_join(left, a, right, b, gx, gy, cond)
+    # boxes first, within the join; what runs in Python filters the pairs that are left
+    return grid_join(left, a, right, b, gx, gy, geo.boxes_meet(p, q) if extent.odd_shapes else cond, round_=False).where(cond)

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+import weakref
 from dataclasses import replace
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import topology
+from ..functions import geo, shapes, topology
 from ..plans import planner
 from ..plans.pattern import MEETING, Edge, MultiPattern, Pattern
 from . import ematch
@@ -19,50 +21,72 @@ from .ematch import Extent, c
 
 def statistics(poi: DataFrame, keywords: list[str]) -> tuple[dict[str, int], Extent]:
     """Places of each keyword and their extent, in one pass; a row for each keyword of the pattern comes back."""
-    rows = poi if "keyword" in poi.columns else poi.select(F.explode("keywords").alias("keyword"), "lat", "xmin", "ymin", "xmax", "ymax")
+    odd = ["rings"] if "rings" in poi.columns else []
+    rows = poi if "keyword" in poi.columns else poi.select(F.explode("keywords").alias("keyword"), "lat", "xmin", "ymin", "xmax", "ymax", *odd)
     got = (
         rows.where(F.col("keyword").isin(keywords))
         .groupBy("keyword")
         .agg(
             F.count("*").alias("n"), F.max(F.abs("lat")).alias("lat"),
             F.max((F.col("xmax") - F.col("xmin")) / 1e6).alias("w"), F.max((F.col("ymax") - F.col("ymin")) / 1e6).alias("h"),
+            F.count("rings" if odd else F.lit(None)).alias("odd"),
         )
         .collect()
     )
     top = lambda k: max((float(r[k] or 0.0) for r in got), default=0.0)
-    return {r["keyword"]: r["n"] for r in got}, Extent(top("lat"), top("w"), top("h"))
+    return {r["keyword"]: r["n"] for r in got}, Extent(top("lat"), top("w"), top("h"), top("odd") > 0)
 
 
-def edge_condition(e: Edge, metric: str) -> Column | None:
+def edge_condition(e: Edge, metric: str, extent: Extent) -> Column | None:
     parts = [ematch.distance_condition(e.vi, e.vj, e.lower, e.upper, metric)]
     if e.relation:
-        parts.append(ematch.relation_condition(e.vi, e.vj, e.relation))
+        parts.append(ematch.relation_condition(e.vi, e.vj, e.relation, extent.odd_shapes))
     parts = [p for p in parts if p is not None]
     return reduce(lambda a, b: a & b, parts) if parts else None
 
 
-def match(poi: DataFrame, pattern: Pattern | MultiPattern, order: str = "count", metric: str = "geodesic", grid: bool = True, limit: int | None = None) -> DataFrame:
+def of_keywords(poi: DataFrame, words: list[str], shaped: bool) -> DataFrame:
+    """A row for each of the keywords of each place, with what joins need: what all vertices of a pattern read."""
+    cols = ["osm_id", "lon", "lat"] + (["xmin", "ymin", "xmax", "ymax", "ring", *(["rings"] if "rings" in poi.columns else [])] if shaped else [])
+    if "keyword" in poi.columns:
+        return poi.where(F.col("keyword").isin(words)).select("keyword", *cols)
+    wanted = F.filter(F.array_distinct("keywords"), lambda k: k.isin(words))
+    return poi.where(F.arrays_overlap("keywords", F.array(*map(F.lit, words)))).select(F.explode(wanted).alias("keyword"), *cols)
+
+
+def match(poi: DataFrame, pattern: Pattern | MultiPattern, order: str = "count", metric: str = "geodesic", grid: bool = True, limit: int | None = None, staged: DataFrame | None = None, known: tuple[dict[str, int], Extent] | None = None, held: bool = True) -> DataFrame:
     """All assignments of places to the vertices that satisfy every edge: a column of ids for each vertex.
 
     The rarest keyword starts. Exclusions concern one vertex each and thin its places before any pair is formed. Each
     further vertex is joined over the grid of its tightest edge to what is bound; its other edges to bound vertices
-    are conditions of the same join. One place may fill two vertices; assignments are distinct.
+    are conditions of the same join. One place may fill two vertices; assignments are distinct. staged: the rows of
+    of_keywords() on disk, which then are all that is read.
     """
     if isinstance(pattern, MultiPattern):
-        out = reduce(DataFrame.unionByName, [match(poi, p, order, metric, grid) for p in pattern.expand()]).distinct()
+        each = pattern.expand()
+        words = sorted({v.keyword for p in each for v in p.vertices})
+        known = known or statistics(poi, words)
+        out = reduce(DataFrame.unionByName, [match(poi, p, order, metric, grid, staged=staged, known=known) for p in each]).distinct()
         return out.limit(limit) if limit else out
     ids = [v.id for v in pattern.vertices]
     words = sorted({v.keyword for v in pattern.vertices})
-    counts, extent = statistics(poi, words)
+    counts, extent = known or statistics(poi, words)
     if any(not counts.get(k) for k in words):
         return poi.sparkSession.createDataFrame([], T.StructType([T.StructField(v, poi.schema["osm_id"].dataType) for v in ids]))
     barred = planner.exclusions(pattern)
+    # one scan of the places for all vertices and exclusions: the pattern's keywords with what joins need, held on executors
+    # (memory and disk) as long as the answer is
+    uses = len(ids) + sum(map(len, barred.values()))
+    source = of_keywords(poi, words, any(e.relation for e in pattern.edges)) if staged is None else staged
+    hold = staged is None and uses > 2 and held
+    if hold:
+        source = source.persist(StorageLevel.MEMORY_AND_DISK)
 
     def places(v: str) -> DataFrame:
         shaped = any(e.relation for e in pattern.edges_of(v))
-        df = ematch.candidates(poi, pattern.keyword(v), v, shaped)
+        df = ematch.candidates(source, pattern.keyword(v), v, shaped)
         for word, radius in sorted(barred.get(v, {}).items()):
-            df = ematch.exclude(df, v, ematch.candidates(poi, word, "_x"), "_x", radius, extent, metric, grid)
+            df = ematch.exclude(df, v, ematch.candidates(source, word, "_x"), "_x", radius, extent, metric, grid)
         return df
 
     vertices = planner.vertex_order(pattern, counts, order)
@@ -72,48 +96,66 @@ def match(poi: DataFrame, pattern: Pattern | MultiPattern, order: str = "count",
         near = min((e for e in edges if e.upper < math.inf), key=lambda e: (e.upper, e.id), default=None)
         meet = next((e for e in edges if e.relation in MEETING), None)
         lead = near or meet
-        rest = [edge_condition(e, metric) for e in edges if e is not lead]
+        rest = [edge_condition(e, metric, extent) for e in edges if e is not lead]
         if near is not None and near.relation:
-            rest.append(ematch.relation_condition(near.vi, near.vj, near.relation))
+            rest.append(ematch.relation_condition(near.vi, near.vj, near.relation, extent.odd_shapes))
         rest = [r for r in rest if r is not None]
         extra = reduce(lambda a, b: a & b, rest) if rest else None
         if near is not None:
             acc = ematch.distance_join(acc, near.other(v), places(v), v, near.lower, near.upper, extent, extra, metric, grid)
         elif meet is not None:
             # the grid lies on the bound vertex; the relation keeps its direction in the condition
-            cond = ematch.relation_condition(meet.vi, meet.vj, meet.relation)
+            cond = ematch.relation_condition(meet.vi, meet.vj, meet.relation, extent.odd_shapes)
             cond = cond if extra is None else cond & extra
-            gx, gy = (max(2 * s, 1e-6) * (1 + 1e-6) for s in (extent.max_width, extent.max_height))
-            acc = ematch.grid_join(acc, meet.other(v), places(v), v, gx, gy, cond) if grid else acc.join(places(v), cond)
+            if grid:
+                gx, gy = (max(2 * s, 1e-6) * (1 + 1e-6) for s in (extent.max_width, extent.max_height))
+                boxes = geo.boxes_meet(*({k: c(u, k) for k in ("xmin", "ymin", "xmax", "ymax")} for u in meet.ends))
+                acc = ematch.grid_join(acc, meet.other(v), places(v), v, gx, gy, boxes if extent.odd_shapes else cond, round_=False)
+                acc = acc.where(cond) if extent.odd_shapes else acc
+            else:
+                acc = acc.join(places(v), cond)
         else:
             acc = acc.crossJoin(places(v)) if extra is None else acc.join(places(v), extra)
         # drop what no later edge needs
         later = {u for w in vertices[k + 1 :] for e in pattern.edges_of(w) for u in e.ends}
         acc = acc.select(*(f"`{name}`" for name in acc.columns if name.endswith(".osm_id") or name.rsplit(".", 1)[0] in later))
     out = acc.select(*(c(v, "osm_id").alias(v) for v in ids)).distinct()
-    return out.limit(limit) if limit else out
+    out = out.limit(limit) if limit else out
+    if hold:  # a later use of the answer only reads the places again
+        weakref.finalize(out, _let_go, source)
+    return out
+
+
+def _let_go(df: DataFrame) -> None:
+    try:
+        df.unpersist()
+    except Exception:  # noqa: BLE001 - the session has ended, and its tables with it
+        pass
 
 
-def edge_matches(poi: DataFrame, e: Edge, pattern: Pattern, extent: Extent | None = None, metric: str = "geodesic", grid: bool = True) -> DataFrame:
+def edge_matches(poi: DataFrame, e: Edge, pattern: Pattern, extent: Extent | None = None, metric: str = "geodesic", grid: bool = True, known: tuple[dict[str, int], Extent] | None = None) -> DataFrame:
     """The distinct pairs of places that satisfy one edge."""
     one = Pattern(tuple(v for v in pattern.vertices if v.id in e.ends), (e,))
-    return match(poi, one, metric=metric, grid=grid)
+    return match(poi, one, metric=metric, grid=grid, known=known)
 
 
 def solve_by_edges(poi: DataFrame, pattern: Pattern, alternated: bool = True, metric: str = "geodesic") -> DataFrame:
     """The same assignments edge by edge: the matches of every edge that can't be a mere check, reduced by the places
-    still possible, then joined on shared vertices in a greedy order of their numbers."""
+    still possible, then joined on shared vertices in a greedy order of their numbers. Each edge's matches are computed
+    once and held on executors (memory and disk), so neither their count nor the final join runs them again."""
     found: dict[str, DataFrame] = {}
+    sizes: dict[str, int] = {}
     able: dict[str, DataFrame] = {}
+    known = statistics(poi, sorted({v.keyword for v in pattern.vertices}))
     shaped = [e for e in pattern.edges if e.sign != "-"] + [e for e in pattern.edges if e.sign == "-"]
     for e in shaped:
-        m = edge_matches(poi, e, pattern, metric=metric)
+        m = edge_matches(poi, e, pattern, metric=metric, known=known)
         for v in e.ends:
             if v in able:
                 m = m.join(able[v], v, "left_semi")
-        found[e.id] = m
-        able |= {v: m.select(v).distinct() for v in e.ends}
-    sizes = {k: m.count() for k, m in found.items()}
+        found[e.id] = m.persist(StorageLevel.MEMORY_AND_DISK)
+        sizes[e.id] = found[e.id].count()
+        able |= {v: found[e.id].select(v).distinct() for v in e.ends}
     ids = [v.id for v in pattern.vertices]
     acc = None
     for k in planner.edge_order(pattern, sizes, alternated):
@@ -128,13 +170,19 @@ def solve_by_edges(poi: DataFrame, pattern: Pattern, alternated: bool = True, me
 
 
 def verify_late(poi: DataFrame, pattern: Pattern, metric: str = "geodesic") -> DataFrame:
-    """The same assignments with relations checked at the end only, on the solutions of the rest."""
-    free = Pattern(pattern.vertices, tuple(replace(e, relation=None) for e in pattern.edges))
-    acc = match(poi, free, metric=metric)
-    rings = poi.select("osm_id", "ring")
-    for v in sorted({v for e in pattern.edges if e.relation for v in e.ends}):
-        acc = acc.join(rings.select(F.col("osm_id").alias(v), F.col("ring").alias(f"{v}.ring")).dropDuplicates([v]), v)
+    """The same assignments with exact relations checked at the end only: until then an edge asks that boxes meet where its
+    relation asks that shapes do, over the same grid."""
+    rough = Pattern(pattern.vertices, tuple(replace(e, relation="intersects" if e.relation in MEETING else None) for e in pattern.edges))
+    boxes = F.array(*(F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin", "ymax"))))
+    boxed = poi.drop("rings").withColumn("ring", F.when((F.col("xmin") == F.col("xmax")) & (F.col("ymin") == F.col("ymax")), F.slice(boxes, 1, 1)).otherwise(boxes))
+    acc = match(boxed, rough, metric=metric)
+    used = sorted({v for e in pattern.edges if e.relation for v in e.ends})
+    whole = "rings" in poi.columns
+    rings = poi.select("osm_id", "ring", *(["rings"] if whole else [])).dropDuplicates(["osm_id"])
+    for v in used:
+        acc = acc.join(rings.select(F.col("osm_id").alias(v), *(F.col(x).alias(f"{v}.{x}") for x in rings.columns[1:])), v)
     for e in pattern.edges:
         if e.relation:
-            acc = acc.where(topology.related(c(e.vi, "ring"), c(e.vj, "ring"), e.relation))
+            pair = [c(v, x) for v in e.ends for x in (("ring", "rings") if whole else ("ring",))]
+            acc = acc.where(shapes.either(*pair, e.relation) if whole else topology.related(*pair, e.relation))
     return acc.select(*(v.id for v in pattern.vertices)).distinct()

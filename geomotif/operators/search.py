@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo, topology
+from ..functions import geo, shapes, topology
 
 
 def with_keyword(poi: DataFrame, *keywords: str) -> DataFrame:
@@ -49,7 +50,9 @@ def _near(poi: DataFrame, lat: float, lon: float, r: float, metric: str) -> Data
     """The box around a circle first: it reaches the scan's statistics."""
     xmin, ymin, xmax, ymax = geo.radius_bbox(lat, lon, r, metric)
     eps = 1e-9
-    return poi.where(F.col("lat").between(ymin - eps, ymax + eps) & F.col("lon").between(xmin - eps, xmax + eps))
+    ranges = [(xmin, xmax)] if metric == "euclidian" else geo.longitudes(xmin, xmax)
+    lon = reduce(lambda a, b: a | b, (F.col("lon").between(lo - eps, hi + eps) for lo, hi in ranges))
+    return poi.where(F.col("lat").between(ymin - eps, ymax + eps) & lon)
 
 
 def in_circle(poi: DataFrame, keywords: Sequence[str], lat: float, lon: float, r: float, strict: bool = False, metric: str = "geodesic", limit: int | None = None) -> DataFrame:
@@ -69,7 +72,7 @@ def in_annulus(poi: DataFrame, keyword: str, lat: float, lon: float, lower: floa
     out = _near(with_keyword(poi, keyword), lat, lon, upper, "geodesic").withColumn("distance", distance_from(lat, lon))
     out = out.where((F.col("distance") > lower) & (F.col("distance") <= upper))
     if apart_from is not None:
-        out = out.where(~topology.intersects(F.col("ring"), apart_from))
+        out = out.where(~_related(poi, apart_from, "intersects"))
     if order:
         out = out.orderBy("distance", "osm_id")
     return out.limit(limit) if limit else out
@@ -80,5 +83,12 @@ def nearest(poi: DataFrame, keyword: str, lat: float, lon: float, k: int) -> Dat
 
 
 def related_to(poi: DataFrame, keyword: str, ring: Column, relation: str) -> DataFrame:
-    """Places with a keyword that stand in a relation to a geometry."""
-    return with_keyword(poi, keyword).where(topology.related(F.col("ring"), ring, relation))
+    """Places with a keyword that stand in a relation to a convex ring."""
+    return with_keyword(poi, keyword).where(_related(poi, ring, relation))
+
+
+def _related(poi: DataFrame, ring: Column, relation: str) -> Column:
+    if "rings" not in poi.columns:
+        return topology.related(F.col("ring"), ring, relation)
+    none = F.lit(None).cast("array<array<struct<x:bigint,y:bigint>>>")
+    return shapes.either(F.col("ring"), F.col("rings"), ring, none, relation)
