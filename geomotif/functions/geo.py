@@ -57,6 +57,14 @@ def horizontal_extremes(lat: float, lon: float, d: float) -> tuple[tuple[float,
     return (lat, lon - r), (lat, lon + r)
 
 
+def extremes(lat: Column, lon: Column, d: float, radius: float = RADIUS) -> Column:
+    """The points d metres south, north, west and east of a place, as a struct of numbers."""
+    v = vertical_reach(d, radius)
+    cos, sin = F.cos(F.radians(lat)), F.lit(math.sin(min(d / (2 * radius), math.pi / 2)))
+    h = F.when(cos <= sin, 180.0).otherwise(F.degrees(2 * F.asin(sin / cos)))
+    return F.struct((lat - v).alias("south"), (lat + v).alias("north"), (lon - h).alias("west"), (lon + h).alias("east"))
+
+
 def radius_bbox(lat: float, lon: float, d: float, metric: str = "geodesic") -> tuple[float, float, float, float]:
     """(xmin, ymin, xmax, ymax) of a box that holds every point within d of the centre. Across the antimeridian xmin is less
     than -180 or xmax greater than 180: see longitudes."""

@@ -17,6 +17,7 @@ from ..plans import planner
 from ..plans.pattern import MEETING, Edge, MultiPattern, Pattern
 from . import ematch
 from .ematch import Extent, c
+from .report import let_go
 
 
 def statistics(poi: DataFrame, keywords: list[str]) -> tuple[dict[str, int], Extent]:
@@ -77,8 +78,9 @@ def match(poi: DataFrame, pattern: Pattern | MultiPattern, order: str = "count",
     # one scan of the places for all vertices and exclusions: the pattern's keywords with what joins need, held on executors
     # (memory and disk) as long as the answer is
     uses = len(ids) + sum(map(len, barred.values()))
-    source = of_keywords(poi, words, any(e.relation for e in pattern.edges)) if staged is None else staged
-    hold = staged is None and uses > 2 and held
+    shaped_at_all = any(e.relation for e in pattern.edges)
+    source = of_keywords(poi, words, shaped_at_all) if staged is None else staged
+    hold = staged is None and held and (uses > 2 or shaped_at_all)
     if hold:
         source = source.persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -122,17 +124,10 @@ def match(poi: DataFrame, pattern: Pattern | MultiPattern, order: str = "count",
     out = acc.select(*(c(v, "osm_id").alias(v) for v in ids)).distinct()
     out = out.limit(limit) if limit else out
     if hold:  # a later use of the answer only reads the places again
-        weakref.finalize(out, _let_go, source)
+        weakref.finalize(out, let_go, source)
     return out
 
 
-def _let_go(df: DataFrame) -> None:
-    try:
-        df.unpersist()
-    except Exception:  # noqa: BLE001 - the session has ended, and its tables with it
-        pass
-
-
 def edge_matches(poi: DataFrame, e: Edge, pattern: Pattern, extent: Extent | None = None, metric: str = "geodesic", grid: bool = True, known: tuple[dict[str, int], Extent] | None = None) -> DataFrame:
     """The distinct pairs of places that satisfy one edge."""
     one = Pattern(tuple(v for v in pattern.vertices if v.id in e.ends), (e,))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from ..functions import topology
+from ..functions import shapes, topology
 
 RING = T.ArrayType(T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.LongType())]))
 
@@ -169,12 +169,19 @@ def convex_hull(rings: pd.Series) -> pd.Series:
     return rings.map(lambda r: None if r is None or not len(r) else [{"x": int(x), "y": int(y)} for x, y in hull(np.array([(v["x"], v["y"]) for v in r]))])
 
 
-def covering_regions(df: DataFrame, regions: DataFrame) -> DataFrame:
-    """(osm_id, region, area_rank): the regions that cover each place, the smallest box first. Regions are few and
-    are looked up by their boxes."""
-    r = regions.select(F.col("name").alias("region"), F.col("ring").alias("r_ring"), *(F.col(k).alias(f"r_{k}") for k in ("xmin", "ymin", "xmax", "ymax")))
+def covering_regions(df: DataFrame, regions: DataFrame, cells_a_side: int = 8) -> DataFrame:
+    """(osm_id, region, area_rank): the regions that cover each place, the smallest box first. A region enters the cells,
+    about its mean size over cells_a_side, that its box meets; a place the one of its box's first corner."""
+    size = regions.agg(F.avg(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")))).first()[0] or 1.0
+    side = max(1, int(size / cells_a_side))
+    at = lambda v: F.floor(v / side).cast("long")
+    whole = ["rings"] if "rings" in regions.columns and "rings" in df.columns else []
+    r = regions.select(F.col("name").alias("region"), *(F.col(k).alias(f"r_{k}") for k in ("xmin", "ymin", "xmax", "ymax", "ring", *whole)))
+    r = r.withColumn("cx", F.explode(F.sequence(at(F.col("r_xmin")), at(F.col("r_xmax"))))).withColumn("cy", F.explode(F.sequence(at(F.col("r_ymin")), at(F.col("r_ymax")))))
     inside = (F.col("xmin") >= F.col("r_xmin")) & (F.col("xmax") <= F.col("r_xmax")) & (F.col("ymin") >= F.col("r_ymin")) & (F.col("ymax") <= F.col("r_ymax"))
-    hit = df.join(r, inside & topology.covers(F.col("r_ring"), F.col("ring")))
+    near = df.withColumns({"px": at(F.col("xmin")), "py": at(F.col("ymin"))}).join(r, (F.col("px") == F.col("cx")) & (F.col("py") == F.col("cy")) & inside)
+    exact = shapes.either(F.col("r_ring"), F.col("r_rings"), F.col("ring"), F.col("rings"), "covers") if whole else topology.covers(F.col("r_ring"), F.col("ring"))
+    hit = near.where(exact)
     w = Window.partitionBy("osm_id").orderBy((F.col("r_xmax") - F.col("r_xmin")) * (F.col("r_ymax") - F.col("r_ymin")), "region")
     return hit.select("osm_id", "region", F.row_number().over(w).alias("area_rank"))
 

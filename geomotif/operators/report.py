@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+import weakref
+from collections.abc import Callable, Iterable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,11 +63,36 @@ def crosstab(log: DataFrame, rows: str, columns: str, value: str, names: Sequenc
 
 
 def append_log(log: DataFrame, path: str) -> None:
-    log.write.mode("append").option("header", False).csv(path)
+    log.write.mode("append").option("header", False).option("escape", '"').csv(path)
 
 
 def read_log(spark, path: str) -> DataFrame:
-    return spark.read.schema(LOG_SCHEMA).csv(path)
+    return spark.read.schema(LOG_SCHEMA).option("escape", '"').csv(path)
+
+
+def run_experiments(spark, path: str, sizes: Iterable[tuple[int, DataFrame]], patterns: Iterable[tuple[float, object]], solvers: dict[str, Callable], repetitions: int = 1) -> DataFrame:
+    """The log of every solver on every pattern and table: (size, places), (qualitative probability, pattern), name -> solver. A line is
+    appended after each run, so that a stopped experiment keeps what it has; memory is the driver's heap in use, in bytes."""
+    patterns = list(patterns)
+    for n, poi in sizes:
+        for k in range(repetitions):
+            for i, (share, pattern) in enumerate(patterns):
+                for name, solve in solvers.items():
+                    began = time.perf_counter()
+                    total = solve(poi, pattern).count()
+                    took = time.perf_counter() - began
+                    heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+                    used = heap.totalMemory() - heap.freeMemory()
+                    row = (k, i, pattern.to_json(), len(pattern.vertices), len(pattern.edges), pattern.exclusions, float(share), n, name, total, took, float(used))
+                    append_log(spark.createDataFrame([row], LOG_SCHEMA), path)
+    return read_log(spark, path)
+
+
+def memory_of(log: DataFrame) -> DataFrame:
+    """By solver: distinct table sizes, and the least, greatest and sum of memory."""
+    return log.groupBy("module").agg(
+        F.count_distinct("dataset_size").alias("sizes"), F.min("memory_usage").alias("least"), F.max("memory_usage").alias("most"), F.sum("memory_usage").alias("total")
+    )
 
 
 def pattern_keywords(log: DataFrame, column: str = "spatial_pattern") -> DataFrame:
@@ -78,12 +106,25 @@ def solutions_json(solutions: DataFrame, poi: DataFrame | None = None) -> DataFr
     ids = solutions.columns
     if poi is None:
         return solutions.select(F.to_json(F.create_map(*(x for v in ids for x in (F.lit(v), F.col(f"`{v}`"))))).alias("solution"))
-    about = poi.select("osm_id", F.struct(F.col("osm_id").alias("id"), F.struct("lon", "lat").alias("location"), description().alias("description")).alias("about"))
+    # the payload of the places that occur, each once; joined where it is needed, as few rows of many places are
+    used = solutions.select(F.explode(F.array_distinct(F.array(*(F.col(f"`{v}`") for v in ids)))).alias("osm_id")).distinct()
+    about = poi.join(used, "osm_id", "left_semi").select("osm_id", F.struct(F.col("osm_id").alias("id"), F.struct("lon", "lat").alias("location"), description().alias("description")).alias("about"))
+    about = about.persist(StorageLevel.MEMORY_AND_DISK)
     out = solutions
     for k, v in enumerate(ids):
         own = about.select(F.col("osm_id").alias(f"_k{k}"), F.col("about").alias(f"_a{k}"))
         out = out.join(own, F.col(f"`{v}`") == F.col(f"_k{k}"))
-    return out.select(F.to_json(F.create_map(*(x for k, v in enumerate(ids) for x in (F.lit(v), F.col(f"_a{k}"))))).alias("solution"))
+    out = out.select(F.to_json(F.create_map(*(x for k, v in enumerate(ids) for x in (F.lit(v), F.col(f"_a{k}"))))).alias("solution"))
+    weakref.finalize(out, let_go, about)
+    return out
+
+
+def let_go(df: DataFrame) -> None:
+    """Free what an answer held, if the session still runs."""
+    try:
+        df.unpersist()
+    except Exception:  # noqa: BLE001 - the session has ended, and its tables with it
+        pass
 
 
 def write_solutions(solutions: DataFrame, path: str, poi: DataFrame | None = None) -> None:

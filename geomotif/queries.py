@@ -14,6 +14,7 @@ from .operators.match import edge_matches, match, solve_by_edges, verify_late
 from .plans import sqlgen
 from .plans.pattern import Edge, MultiPattern, MultiVertex, Pattern, Vertex
 from .sources import poi as P
+from .sources.scratch import folder
 from .testing.derived import BOUNDS, layer_sql, LAYERS, layers, places, places_cte
 
 INF = math.inf
@@ -281,10 +282,21 @@ for _s in ("implicit", "explicit"):
     ORACLES[f"pattern_sql_{_s}"] = sqlgen.pattern_sql(PATH3, strategy=_s, ctes=[places_cte()])
 
 
-@query()
+def _told(v: str) -> str:
+    return f"{v}.lon AS lon_{v}, {v}.lat AS lat_{v}, coalesce({v}.name, '') || ' (' || array_to_string(list_sort({v}.keywords), ',') || ')' AS about_{v}"
+
+
+_FOUND = f"(SELECT * FROM ({sqlgen.pattern_sql(PATH3, ctes=[places_cte()])}))"
+
+
+@query(f"SELECT f.a, f.b, f.c, {_told('pa')}, {_told('pb')}, {_told('pc')} FROM {_FOUND} f JOIN pois pa ON pa.osm_id = f.a JOIN pois pb ON pb.osm_id = f.b JOIN pois pc ON pc.osm_id = f.c")
 def solutions_json(spark, d):
+    """Solutions with what is known of their places, read back from the JSON."""
     t = places(spark, d)
-    return report.solutions_json(match(t, PATH3), t)
+    one = "struct<id:bigint,location:struct<lon:double,lat:double>,description:string>"
+    s = report.solutions_json(match(t, PATH3), t).select(F.from_json("solution", f"a {one}, b {one}, c {one}").alias("s"))
+    told = [F.col(f"s.{v}.{x}").alias(f"{n}_p{v}") for v in "abc" for n, x in (("lon", "location.lon"), ("lat", "location.lat"), ("about", "description"))]
+    return s.select(*(F.col(f"s.{v}.id").alias(v) for v in "abc"), *told)
 
 
 @query(
@@ -375,13 +387,13 @@ def tag_normalise(spark, d):
     return t.select("p_partkey", prep.normalise_tag(F.concat("p_name", F.lit(" & "), "p_brand", F.lit("  x"))).alias("tag"))
 
 
-_TWO = " UNION ".join(f"SELECT osm_id, name, x, y FROM ({layer_sql(x, x[0])})" for x in (LAYERS[0], LAYERS[2], LAYERS[0]))
+_TWO = " UNION ".join(f"SELECT osm_id, name, x, y FROM ({layer_sql(x, x[0])})" for x in (*LAYERS, LAYERS[0]))
 
 
 @query(_TWO, cte=False)
 def layer_union(spark, d):
-    a, _, b, *_ = (x.select("osm_id", "name", "x", "y") for x in layers(spark, d))
-    return prep.union_layers(a, b, a)
+    every = [x.select("osm_id", "name", "x", "y") for x in layers(spark, d)]
+    return prep.union_layers(*every, every[0])
 
 
 @query("SELECT osm_id FROM pois WHERE (osm_id * 7919) % 100 < 40")
@@ -442,9 +454,173 @@ def wkt_geometry(spark, d):
 ORACLES["wkt_geometry"] = ORACLES["wkt_geometry"].replace("ymax, lon, lat FROM", "ymax, round(lon, 6) AS lon, round(lat, 6) AS lat FROM")
 
 
-@query()
+BOXED = "osm_id, name, xmin, ymin, xmax, ymax, lon, lat, array_to_string(list_sort(keywords), ',') AS keywords"
+BOX_COLS = ("osm_id", "name", "xmin", "ymin", "xmax", "ymax", "lon", "lat")
+
+
+def boxed(t: DataFrame) -> DataFrame:
+    return t.select(*BOX_COLS, F.array_join(F.array_sort("keywords"), ",").alias("keywords"))
+
+
+@query("SELECT osm_id, CASE WHEN xmin = xmax THEN 'Point' ELSE 'Polygon' END AS kind, lon, lat, name, array_to_string(list_sort(keywords), ',') AS keywords FROM pois")
 def geojson_features(spark, d):
-    return places(spark, d).select("osm_id", P.geojson_feature().alias("feature"))
+    f = F.from_json(P.geojson_feature(), "type string, geometry struct<type:string>, centroid struct<coordinates:array<double>>, properties struct<keywords:array<string>,name:string,osm_id:bigint>")
+    t = places(spark, d).select(f.alias("f"))
+    spot = F.col("f.centroid.coordinates")
+    return t.select(F.col("f.properties.osm_id").alias("osm_id"), F.col("f.geometry.type").alias("kind"), spot[0].alias("lon"), spot[1].alias("lat"), F.col("f.properties.name").alias("name"), F.array_join("f.properties.keywords", ",").alias("keywords"))
+
+
+@query(f"SELECT {BOXED} FROM pois WHERE len(keywords) > 0 OR name IS NOT NULL")
+def geojson_round_trip(spark, d):
+    """Places written as features and read back."""
+    at = folder(spark, "geojson")
+    P.write_geojson(places(spark, d), at)
+    return boxed(P.read_geojson(spark, at))
+
+
+@query(f"SELECT {BOXED} FROM pois")
+def csv_round_trip(spark, d):
+    """Places written as CSV and read back."""
+    at = folder(spark, "csv")
+    P.write_csv(places(spark, d).select("osm_id", "name", *P.TAGS, "ring", "lon", "lat"), at)
+    return boxed(P.read_csv(spark, at, schema="osm_id long, name string, amenity string, shop string, tourism string, landuse string, leisure string, building string, lon double, lat double, geometry string, centroid string"))
+
+
+@query("SELECT osm_id, 'BUILDING' AS keyword FROM pois WHERE array_contains(keywords, 'BUILDING') UNION ALL SELECT osm_id, 'PROMO' FROM pois WHERE array_contains(keywords, 'PROMO')")
+def index_on_disk(spark, d):
+    """The inverted table written, and the folders of two keywords read."""
+    at = folder(spark, "index")
+    P.write_index(places(spark, d), at, buckets=8)
+    return P.read_index(spark, at, ["BUILDING", "PROMO"], buckets=8).select("osm_id", "keyword")
+
+
+def index_match(spark, d):
+    """A pattern over the index on disk: what its keywords' folders hold is all that is read."""
+    at = folder(spark, "index")
+    P.write_index(places(spark, d), at, buckets=8)
+    return match(P.read_index(spark, at, [v.keyword for v in PATH3.vertices], buckets=8), PATH3)
+
+
+def pattern_file(spark, d):
+    """A pattern written to a file and read back, then matched."""
+    at = folder(spark, "pattern")
+    spark.createDataFrame([(PATH3.to_json(),)], "value string").coalesce(1).write.text(at)
+    return match(places(spark, d), Pattern.from_json(spark.read.text(at, wholetext=True).first()[0].strip()))
+
+
+for _f in (index_match, pattern_file):
+    QUERIES[_f.__name__] = _f
+    ORACLES[_f.__name__] = ORACLES["pattern_path3"]
+
+
+@query(f"SELECT least(count(*), 10) AS n FROM {_FOUND}")
+def limited_solutions(spark, d):
+    return match(places(spark, d), PATH3, limit=10).agg(F.count("*").alias("n"))
+
+
+@query("SELECT osm_id FROM pois ORDER BY osm_id LIMIT (SELECT (floor(0.3 * count(*)) + 1)::BIGINT FROM pois)")
+def prefix_fraction(spark, d):
+    return prep.first_fraction(places(spark, d), 0.3).select("osm_id")
+
+
+_SIN = math.sin(750 / (2 * geo.RADIUS))
+
+
+@query(f"SELECT osm_id, round(lat - degrees(750 / {geo.RADIUS!r}), 9) AS south, round(lat + degrees(750 / {geo.RADIUS!r}), 9) AS north, round(lon - degrees(2 * asin({_SIN!r} / cos(radians(lat)))), 9) AS west, round(lon + degrees(2 * asin({_SIN!r} / cos(radians(lat)))), 9) AS east FROM pois")
+def extremes(spark, d):
+    return places(spark, d).select("osm_id", geo.extremes(F.col("lat"), F.col("lon"), 750.0).alias("e")).select("osm_id", *(F.round(f"e.{c}", 9).alias(c) for c in ("south", "north", "west", "east")))
+
+
+@query(f"SELECT n.a, n.b FROM ({ORACLES['bbox_dmin']}) n JOIN ({ORACLES['bbox_dmax']}) x ON n.a = x.a AND n.b = x.b WHERE n.dmin <= 2500 AND x.dmax >= 500", cte=False)
+def matching_cells(spark, d):
+    cells = grid.cell_stats(places(spark, d), BOUNDS, 2)
+    return grid.matching_cells(cells, cells, 500.0, 2500.0).where("a < b")
+
+
+@query("SELECT osm_id, 2 * (xmax - xmin) * (ymax - ymin) AS double_area FROM pois WHERE xmin < xmax")
+def hull_repair(spark, d):
+    """Rings whose corners are in a crossed order, repaired."""
+    t = places(spark, d).where("xmin < xmax").withColumn("ring", F.array(*(F.get("ring", F.lit(i)) for i in (0, 2, 1, 3))))
+    return t.select("osm_id", P.let(prep.convex_hull("ring"), topology.double_area).alias("double_area"))
+
+
+COVER = "CASE " + " ".join(f"WHEN {sqlgen.relation('a', 'b', r)} THEN '{n}'" for r, n in (("covers", "contains"), ("coveredby", "within"), ("intersects", "intersects"))) + " ELSE 'disjoint' END"
+
+
+@query(f"SELECT a.osm_id AS a, b.osm_id AS b, {COVER} AS relation {NEAR}")
+def cover_label(spark, d):
+    a, b = ematch.c("a", "ring"), ematch.c("b", "ring")
+    return near_pairs(spark, d).select(ematch.c("a", "osm_id").alias("a"), ematch.c("b", "osm_id").alias("b"), topology.cover_label(a, b).alias("relation"))
+
+
+# ---- across the antimeridian -----------------------------------------------------------------------
+
+_MOVED = "moved AS (SELECT * REPLACE (CASE WHEN lon > -0.118 THEN lon - 179.882 ELSE lon + 180.118 END AS lon) FROM pois)"
+ACROSS = edge(100.0, 600.0, "<>")
+
+
+def moved(spark, d) -> DataFrame:
+    """The places about the antimeridian."""
+    return places(spark, d).withColumn("lon", F.when(F.col("lon") > -0.118, F.col("lon") - 179.882).otherwise(F.col("lon") + 180.118))
+
+
+pattern_query("antimeridian_pairs", ACROSS)
+QUERIES["antimeridian_pairs"] = lambda spark, d: match(moved(spark, d), ACROSS)
+ORACLES["antimeridian_pairs"] = sqlgen.pattern_sql(ACROSS, source="moved", ctes=[places_cte(), _MOVED])
+
+
+@query(f"SELECT osm_id FROM moved, (SELECT 51.51::DOUBLE AS lat, 179.999::DOUBLE AS lon) here WHERE array_contains(keywords, 'BUILDING') AND {sqlgen.distance('here', 'moved')} <= 2500")
+def antimeridian_circle(spark, d):
+    return search.in_circle(moved(spark, d), ["BUILDING"], 51.51, 179.999, 2500.0).select("osm_id")
+
+
+ORACLES["antimeridian_circle"] = ORACLES["antimeridian_circle"].replace("\nSELECT osm_id", f",\n{_MOVED}\nSELECT osm_id", 1)
+
+# ---- shapes that are no rectangles -----------------------------------------------------------------
+# Depots by their number: an L (a box without the corner from x1, y1 on, its outer sides included), a frame (a box without that middle), two parts (what
+# is left and right of x1..x2). SQL tells a rectangle's relation to them by boxes alone.
+
+_THIRDS = "xmin AS x0, xmax AS x3, ymin AS y0, ymax AS y3, xmin + (xmax - xmin) // 4 AS x1, CASE WHEN osm_id % 3 = 0 THEN xmax + 1 ELSE xmax - (xmax - xmin) // 4 END AS x2, ymin + (ymax - ymin) // 4 AS y1, CASE WHEN osm_id % 3 = 0 THEN ymax + 1 ELSE ymax - (ymax - ymin) // 4 END AS y2"
+_ODD = f"odd AS (SELECT osm_id, osm_id % 3 AS kind, {_THIRDS} FROM pois WHERE array_contains(keywords, 'depot'))"
+_CUT = "CASE WHEN kind = 2 THEN b.xmin >= x1 AND b.xmax <= x2 ELSE b.xmin >= x1 AND b.xmax <= x2 AND b.ymin >= y1 AND b.ymax <= y2 END"  # within the closed cut
+_IN = "b.xmin >= x0 AND b.xmax <= x3 AND b.ymin >= y0 AND b.ymax <= y3"
+_MEETS_CUT = "CASE WHEN kind = 2 THEN b.xmin < x2 AND b.xmax > x1 ELSE b.xmin < x2 AND b.xmax > x1 AND b.ymin < y2 AND b.ymax > y1 END"  # the open one
+_SHAPE = {
+    "covers": f"({_IN}) AND NOT ({_MEETS_CUT})",
+    # what of the rectangle is in the box lies within the open cut, or the two don't meet
+    "intersects": "b.xmin <= x3 AND b.xmax >= x0 AND b.ymin <= y3 AND b.ymax >= y0 AND NOT CASE kind WHEN 2 THEN greatest(b.xmin, x0) > x1 AND least(b.xmax, x3) < x2 "
+    "WHEN 0 THEN greatest(b.xmin, x0) > x1 AND greatest(b.ymin, y0) > y1 ELSE greatest(b.xmin, x0) > x1 AND least(b.xmax, x3) < x2 AND greatest(b.ymin, y0) > y1 AND least(b.ymax, y3) < y2 END",
+}
+
+
+def odd_depots(spark, d) -> DataFrame:
+    """The places, with depots that are no rectangles; read from text."""
+    t = places(spark, d)
+    k = F.col("osm_id") % 3
+    x0, y0, x3, y3 = (F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))
+    w, h = F.floor((x3 - x0) / 4).cast("long"), F.floor((y3 - y0) / 4).cast("long")
+    x1, y1 = x0 + w, y0 + h
+    x2, y2 = x3 - w, y3 - h
+
+    def text(*corners) -> F.Column:
+        pair = [F.concat_ws(" ", (x / 1e6).cast("decimal(12,6)"), (y / 1e6).cast("decimal(12,6)")) for x, y in (*corners, corners[0])]
+        return F.concat(F.lit("("), F.concat_ws(", ", *pair), F.lit(")"))
+
+    outer = text((x0, y0), (x3, y0), (x3, y3), (x0, y3))
+    ell = F.concat(F.lit("POLYGON ("), text((x0, y0), (x3, y0), (x3, y1), (x1, y1), (x1, y3), (x0, y3)), F.lit(")"))
+    frame = F.concat(F.lit("POLYGON ("), outer, F.lit(", "), text((x1, y1), (x2, y1), (x2, y2), (x1, y2)), F.lit(")"))
+    two = F.concat(F.lit("MULTIPOLYGON (("), text((x0, y0), (x1, y0), (x1, y3), (x0, y3)), F.lit("), ("), text((x2, y0), (x3, y0), (x3, y3), (x2, y3)), F.lit("))"))
+    depot = F.array_contains("keywords", "depot")
+    at = folder(spark, "shapes")  # parsed once
+    P.with_geometry(t.where(depot).withColumn("geometry", F.when(k == 0, ell).when(k == 1, frame).otherwise(two))).drop("geometry").write.parquet(at)
+    shaped = spark.read.parquet(at)
+    return shaped.unionByName(t.where(~F.coalesce(depot, F.lit(False))), allowMissingColumns=True)
+
+
+for _r, _p in (("covers", edge(relation="covers", a="depot", b="BUILDING")), ("intersects", edge(relation="intersects", a="depot", b="BUILDING")), ("within", edge(relation="within", a="BUILDING", b="depot")), ("contains_points", edge(relation="covers", a="depot", b="signup"))):
+    QUERIES[f"shapes_{_r}"] = lambda spark, d, p=_p: match(odd_depots(spark, d), p)
+    _swap = _r == "within"
+    ORACLES[f"shapes_{_r}"] = f"WITH {places_cte()},\n{_ODD}\nSELECT {'b.osm_id AS a, o.osm_id AS b' if _swap else 'o.osm_id AS a, b.osm_id AS b'} FROM odd o, pois b WHERE array_contains(b.keywords, '{'signup' if 'points' in _r else 'BUILDING'}') AND {_SHAPE['intersects' if _r == 'intersects' else 'covers']}"
 
 
 @query("SELECT osm_id, lon, lat FROM pois WHERE array_contains(keywords, 'PROMO') AND lon BETWEEN -0.15 AND -0.1 AND lat BETWEEN 51.48 AND 51.53")
@@ -479,13 +655,13 @@ def solver_p95(spark, d):
     return report.percentile(solver_log(spark, d)).withColumn("p", F.round("p", 6))
 
 
-_PIVOT = ", ".join(f"round(avg(elapsed_time) FILTER (dataset_size = {k}), 6) AS \"{k}\"" for k in (1, 2, 3, 4))
+_PIVOT = ", ".join(f"round(avg(elapsed_time) FILTER (dataset_size = {k}), 6) AS \"{k}\"" for k in range(1, 8))
 
 
 @query(f"SELECT module, {_PIVOT} FROM ({LOG}) GROUP BY module", cte=False)
 def solver_pivot(spark, d):
-    t = report.crosstab(solver_log(spark, d), "module", "dataset_size", "elapsed_time", [1, 2, 3, 4])
-    return t.select("module", *(F.round(f"`{k}`", 6).alias(str(k)) for k in (1, 2, 3, 4)))
+    t = report.crosstab(solver_log(spark, d), "module", "dataset_size", "elapsed_time", list(range(1, 8)))
+    return t.select("module", *(F.round(f"`{k}`", 6).alias(str(k)) for k in range(1, 8)))
 
 
 @query(f"SELECT module, dataset_size, round(avg(elapsed_time), 6) AS elapsed_time, round(avg(memory_usage), 3) AS memory_usage FROM ({LOG}) GROUP BY module, dataset_size", cte=False)
@@ -497,3 +673,29 @@ def solver_mean(spark, d):
 def pattern_keywords(spark, d):
     log = spark.read.parquet(f"{d}/region.parquet").select(F.lit(PATH3.to_json()).alias("spatial_pattern"))
     return report.pattern_keywords(log).groupBy("keyword").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"SELECT module, count(*) AS n, round(avg(elapsed_time), 6) AS mean, round(stddev_samp(elapsed_time), 6) AS std, min(elapsed_time) AS lowest, quantile_cont(elapsed_time, 0.25) AS q1, "
+    f"quantile_cont(elapsed_time, 0.5) AS q2, quantile_cont(elapsed_time, 0.75) AS q3, max(elapsed_time) AS highest FROM ({LOG}) WHERE dataset_size <= 2 GROUP BY module", cte=False
+)
+def solver_summary_of_some(spark, d):
+    t = report.describe(solver_log(spark, d).where("dataset_size <= 2"))
+    return t.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
+
+
+@query(f"SELECT module, count(DISTINCT dataset_size) AS sizes, min(memory_usage) AS least, max(memory_usage) AS most, round(sum(memory_usage), 2) AS total FROM ({LOG}) GROUP BY module", cte=False)
+def solver_memory(spark, d):
+    return report.memory_of(solver_log(spark, d)).withColumn("total", F.round("total", 2))
+
+
+TRIED = (ACROSS, PATH3)
+
+
+@query("\nUNION ALL\n".join(f"SELECT {i}::INT AS sp_index, module, count(*) AS total_solutions FROM ({sqlgen.pattern_sql(p, ctes=[places_cte()])}), (SELECT unnest(['grid', 'edges']) AS module) GROUP BY module" for i, p in enumerate(TRIED)), cte=False)
+def experiment_log(spark, d):
+    """Patterns by solvers, a line of the log for each run."""
+    t = places(spark, d)
+    solvers = {"grid": match, "edges": solve_by_edges}
+    log = report.run_experiments(spark, folder(spark, "log"), [(t.count(), t)], [(0.0, p) for p in TRIED], solvers)
+    return log.select("sp_index", "module", "total_solutions")
