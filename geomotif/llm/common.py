@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -132,6 +133,27 @@ def without(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
     return rows.where(~hit).unionByName(rows.where(hit).join(gone.distinct(), col, "left_anti").select(*rows.columns))
 
 
+# ---- memory of Python workers -------------------------------------------------------------------
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+
+
+def release() -> None:
+    """Gives the process's freed memory back to the system. Workers stay for the tasks to come, several to an executor, and
+    else keep what their largest batch took."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def lean(batches: Iterable) -> Iterator:
+    """The batches; freed memory is released after each."""
+    for batch in batches:
+        yield batch
+        del batch
+        release()
+
+
 # ---- bytes of Arrow text columns ---------------------------------------------------------------
 
 
@@ -148,7 +170,7 @@ def text_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def chunks(batch: pa.RecordBatch, col: str, max_bytes: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(batch: pa.RecordBatch, col: str, max_bytes: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, past last row, bytes, offsets) with at most max_bytes of text, or one row."""
     raw, off = text_bytes(batch.column(batch.schema.get_field_index(col)))
     i, n = 0, len(off) - 1
@@ -157,6 +179,8 @@ def chunks(batch: pa.RecordBatch, col: str, max_bytes: int = 1 << 19) -> Iterato
         j = min(max(j, i + 1), n)
         yield i, j, raw[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
+    del raw, off
+    release()
 
 
 # ---- word and shingle hashes -------------------------------------------------------------------
@@ -169,7 +193,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "p" not in _POWERS or len(_POWERS["p"]) < n:
-        size = max(n, 1 << 19) + 1
+        size = max(n, 1 << 18) + 1
         for key, base in (("p", _BASE), ("q", _BASE_INV)):
             a = np.full(size, base, np.uint64)
             a[0] = 1
@@ -260,6 +284,7 @@ def _forest(batches):
             if u != v:
                 root[max(u, v)] = min(u, v)
     ids = list(root)
+    release()
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([find(i) for i in ids], pa.int64())], ["id", "component"])
 
 

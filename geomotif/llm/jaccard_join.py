@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, bits_at, chunks, components, drop, ids_bitmap, mix, shingle_sets, spot, stage, unit_hash
+from .common import bitmap, bits_at, chunks, components, drop, ids_bitmap, lean, mix, release, shingle_sets, spot, stage, unit_hash
 
 PAIRS = "a long, b long"
 
@@ -134,7 +134,7 @@ def compare(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) of the pairs that are linked, from the whole sets."""
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             linked = []
             for p, q in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
@@ -151,7 +151,7 @@ def count_distance(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """(a, b, far) of the pairs: the symmetric difference of their class counts."""
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16) for c in (2, 3))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.abs(x - y).sum(axis=1, dtype=np.int64))], ["a", "b", "far"])
 
@@ -182,14 +182,17 @@ def crowded_pairs(rows: DataFrame, area: list[str], width: float, chunk_rows: in
             if same:
                 ok &= ri[r, None] < rj
             p, q = np.nonzero(ok)
-            for y in range(0, len(p), 100_000):  # by sums of eight classes first, then by all
-                s, t = p[y : y + 100_000] + x, q[y : y + 100_000]
+            for y in range(0, len(p), 20_000):  # by sums of eight classes first, then by all
+                s, t = p[y : y + 20_000] + x, q[y : y + 20_000]
                 most = (ni[s].astype(np.int64) + nj[t]) * width + 1e-6
                 near = np.abs(few[0][s] - few[1][t]).sum(axis=1) <= most
                 s, t, most = s[near], t[near], most[near]
                 near = np.abs(sk[0][s].astype(np.int16) - sk[1][t]).sum(axis=1) <= most
                 a.append(ri[s[near]])
                 b.append(rj[t[near]])
+        if len(f) > 1000:
+            del sk, few, i, j
+            release()
         a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -205,7 +208,7 @@ def to_pivots(rows: DataFrame, area: list[str], pivots: int, seed: int, width: f
     own = [*area, "rep", "label", "n", "reach", "away"]
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             b = batch.num_rows
             if not b:
                 continue
