@@ -362,7 +362,8 @@ def components_of(docs: DataFrame, k: int, num: int, den: int, rounds: int, crow
         sizes = every.groupBy(*area, "region").agg(F.count("*").alias("c"), F.count_if(F.col("region") == F.col("home")).alias("own"))
         sizes = sizes.groupBy(*area).agg(F.sum(F.col("c") * F.col("c")).alias("after"), F.sum("own").alias("m"))
         pays = F.col("after") <= 0.6 * F.col("m") * F.col("m")  # dividing must save two fifths of the pairs
-        guest = F.when(F.col("region") != F.col("home"), F.lit(1 << (depth + 2)).cast("long")).otherwise(F.lit(0).cast("long"))
+        bit = 1 << (depth + 2) if depth < 61 else 0  # without a bit a pair may be compared twice, which does no harm
+        guest = F.when(F.col("region") != F.col("home"), F.lit(bit).cast("long")).otherwise(F.lit(0).cast("long"))
         parts = every.join(sizes.where(pays).select(*area), area).select(
             *area[:-1], F.xxhash64("cell", "region").alias("cell"), "rep", "n", "reach", F.col("away").bitwiseOR(guest).alias("away")
         )
