@@ -20,7 +20,7 @@ U64 = np.uint64
 # ---- tables -----------------------------------------------------------------------------------
 
 
-def small_batches(spark: SparkSession, rows: int = 4000, size: int = 4 << 20) -> None:
+def small_batches(spark: SparkSession, rows: int = 4000, size: int = 1 << 20) -> None:
     """Rows hold whole texts: Arrow batches limited in bytes bound what executors hold outside the heap."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         now = int(spark.conf.get(key, str(1 << 30)).rstrip("b"))
