@@ -314,3 +314,19 @@ def test_answers_are_shuffled_for_distinctness_only_where_ids_repeat(spark):
     once, twice = table(spark, rows), table(spark, [*rows, *rows[:30]])
     assert "Aggregate" not in plan_of(match(once, p)) and "Aggregate" in plan_of(match(twice, p))
     assert sorted(map(tuple, match(once, p).collect())) == sorted(map(tuple, match(twice, p).collect())) == sorted(brute(rows, p))
+
+
+def test_nested_loops_ask_cheap_bounds_first_and_lose_no_pair(spark):
+    rng = random.Random(3)
+    spots = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(60)] + [(90.0, 7.0), (-90.0, 0.0), (0.0, 180.0), (0.0, -180.0), (89.99, 10.0), (89.99, -170.0)]
+    spots += [(51.5 + rng.uniform(0, 0.02), -0.1 + rng.uniform(0, 0.02)) for _ in range(60)]
+    t = spark.createDataFrame([(i, [w], lon, lat, 0, 0, 0, 0) for i, (lat, lon) in enumerate(spots) for w in "ab"], "osm_id long, keywords array<string>, lon double, lat double, xmin long, ymin long, xmax long, ymax long").cache()
+    d = {(i, j): geo.metres(*p, *q) for i, p in enumerate(spots) for j, q in enumerate(spots)}
+    for lower, upper in ((0, 0.001), (0, 700), (300, 1500), (0, 3e6), (1e-3, math.inf), (900, math.inf), (1.2e7, math.inf), (1e7, 1.9e7)):
+        p = Pattern((Vertex("x", "a"), Vertex("y", "b")), (Edge("0", "x", "y", lower, upper),))
+        found = match(t, p, grid=False)
+        assert answers(found, p) == {k for k, v in d.items() if lower <= v <= upper}
+        text = plan_of(found)
+        assert "Repartition" in text and "broadcast" in text
+    ask = lambda *bounds: ematch.reachable("x", "y", *bounds, ematch.Extent(51.6))
+    assert ask(0, 700) is not None and ask(900, math.inf) is not None and ask(0, math.inf) is None
