@@ -330,3 +330,15 @@ def test_nested_loops_ask_cheap_bounds_first_and_lose_no_pair(spark):
         assert "Repartition" in text and "broadcast" in text
     ask = lambda *bounds: ematch.reachable("x", "y", *bounds, ematch.Extent(51.6))
     assert ask(0, 700) is not None and ask(900, math.inf) is not None and ask(0, math.inf) is None
+
+
+def test_parts_of_a_pattern_are_solved_apart(spark):
+    rows = town(11, 40)
+    t = table(spark, rows)
+    p = Pattern(tuple(Vertex(k, w) for k, w in zip("uvwxy", "abcde", strict=True)), (Edge("0", "u", "v", 0, 1500), Edge("1", "w", "x", 0, 1500)))
+    for poi in (t, table(spark, [*rows, *rows[:7]])):
+        found = match(poi, p)
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(rows, p)
+        tops = [line for line in plan_of(found).splitlines() if "Join" in line]
+        assert all("Cross" in x or x.count("Inner") == 1 and "_cx" not in x for x in tops[:2])  # cells are joined below the products
