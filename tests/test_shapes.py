@@ -118,3 +118,46 @@ def test_features_keep_every_ring(spark, tmp_path):
     got = {r.osm_id: r for r in P.read_geojson(spark, f"{tmp_path}/g").collect()}
     want = {r.osm_id: r for r in t.collect()}
     assert all((got[i].rings, got[i].ring, got[i].xmin, got[i].xmax) == (want[i].rings, want[i].ring, want[i].xmin, want[i].xmax) for i in range(4))
+
+
+def test_polygons_and_boxes_are_related_natively_and_exactly(spark):
+    star = [[(0, 0), (18, 6), (40, 1), (30, 18), (39, 40), (19, 30), (2, 38), (9, 20)], [(14, 14), (13, 24), (25, 25), (22, 13)]]
+    bent = [[(0, 0), (40, 20), (0, 40), (20, 20)], [(40, 20), (60, 0), (60, 40)]]  # the parts touch in a point
+    rng = random.Random(4)
+    boxes = []
+    for _ in range(150):
+        x, y, w, h = rng.randrange(-4, 62), rng.randrange(-4, 42), rng.choice((0, 1, 3, 10, 20)), rng.choice((1, 2, 10, 20, 50))
+        boxes.append((x, y, x + w, y + (h if w else 0)))
+    boxes += [(0, 0, 40, 40), (10, 10, 30, 30), (0, 0, 60, 40), (-5, -5, 70, 70), (10, 0, 30, 10), (15, 15, 20, 20)]
+    rows = [(f"{n}{i}", [[{"x": x, "y": y} for x, y in r] for r in s], *b) for n, s in (("L", L), ("R", RING), ("T", TWO), ("S", star), ("B", bent)) for i, b in enumerate(boxes)]
+    t = spark.createDataFrame(rows, "id string, rings array<array<struct<x:bigint,y:bigint>>>, xmin long, ymin long, xmax long, ymax long")
+    other = {k: F.col(k) for k in ("xmin", "ymin", "xmax", "ymax")}
+    got = t.withColumn("sides", shapes.sides(F.col("rings"))).select(*(shapes.related_to_box(F.col("sides"), shapes.box(F.col("rings")), other, r).alias(r) for r in topology.MASKS)).collect()
+    for (i, rings, x0, y0, x1, y1), g in zip(rows, got, strict=True):
+        p = Shape([[(v["x"], v["y"]) for v in r] for r in rings])
+        q = Shape([[(x0, y0)] if x0 == x1 else [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]])
+        m = matrix(p, q)
+        assert {r for r in topology.MASKS if g[r]} == {r for r in topology.MASKS if holds(m, r, p.dim, q.dim)}, (i, x0, y0, x1, y1)
+
+
+def test_boxes_tell_the_relations_of_rectangles_and_points(spark):
+    spots = [(x, y, x + w, y + h) for x, y in ((0, 0), (2, 0), (2, 2), (4, 4), (1, 1)) for w, h in ((0, 0), (2, 2), (4, 4), (2, 4))]
+    ring = lambda b: [{"x": x, "y": y} for x, y in ([(b[0], b[1])] if b[0] == b[2] else [(b[2], b[1]), (b[2], b[3]), (b[0], b[3]), (b[0], b[1])])]
+    cols = ("xmin", "ymin", "xmax", "ymax")
+    t = spark.createDataFrame([(*a, ring(a), *b, ring(b)) for a in spots for b in spots], ", ".join(f"{s}{k} long" if k != "ring" else f"{s}ring array<struct<x:bigint,y:bigint>>" for s in "ab" for k in (*cols, "ring")))
+    a, b = ({k: F.col(s + k) for k in cols} for s in "ab")
+    assert t.where(~topology.flat(F.col("aring"), a)).count() == 0
+    assert t.where(topology.flat(F.array(*(F.get("aring", F.lit(i)) for i in (0, 2, 1, 3))), a) & (F.size("aring") == 4)).count() == 0
+    for r in topology.MASKS:
+        assert t.where(topology.boxes_related(a, b, r) != topology.related(F.col("aring"), F.col("bring"), r)).count() == 0, r
+
+
+def test_odd_shapes_and_boxes_need_no_python(spark):
+    from geomotif import queries
+    from geomotif.operators.match import match
+
+    t = queries.odd_depots(spark, "/root/testdata/sf0.001")
+    p = queries.edge(relation="covers", a="depot", b="BUILDING")
+    assert "ArrowEvalPython" not in match(t, p)._jdf.queryExecution().optimizedPlan().toString()
+    both = queries.edge(relation="intersects", a="depot", b="depot")
+    assert "ArrowEvalPython" in match(t, both)._jdf.queryExecution().optimizedPlan().toString()
