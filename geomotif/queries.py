@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import geo, topology
 from .operators import ematch, grid, prep, report, search
-from .operators.match import edge_matches, match, solve_by_edges, verify_late
+from .operators.match import edge_matches, match, solve_by_edges, statistics, verify_late
 from .plans import sqlgen
 from .plans.pattern import Edge, MultiPattern, MultiVertex, Pattern, Vertex
 from .sources import poi as P
@@ -271,8 +271,8 @@ def by_text(p: Pattern, strategy: str) -> Callable:
     def run(spark, d):
         t = places(spark, d)
         t.createOrReplaceTempView("geomotif_pois")
-        counts = {r["keyword"]: r["n"] for r in report.keyword_frequency(t).where(F.col("keyword").isin([v.keyword for v in p.vertices])).collect()}
-        return spark.sql(sqlgen.pattern_sql(p, "geomotif_pois", strategy, counts, spark=True))
+        counts, extent = statistics(t, [v.keyword for v in p.vertices])
+        return spark.sql(sqlgen.spark_sql(p, "geomotif_pois", strategy, counts, extent.max_abs_lat, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     return run
 
