@@ -342,3 +342,13 @@ def test_parts_of_a_pattern_are_solved_apart(spark):
         assert len(got) == len(set(got)) and set(got) == brute(rows, p)
         tops = [line for line in plan_of(found).splitlines() if "Join" in line]
         assert all("Cross" in x or x.count("Inner") == 1 and "_cx" not in x for x in tops[:2])  # cells are joined below the products
+
+
+def test_solutions_by_edges_are_distinct_without_a_shuffle_of_them(spark):
+    rows = town(12, 40)
+    p = Pattern(tuple(Vertex(k, w) for k, w in zip("xyz", "abc", strict=True)), (Edge("0", "x", "y", 0, 2500), Edge("1", "y", "z", 0, 2500), Edge("2", "z", "x", 100, 4000)))
+    for poi in (table(spark, rows), table(spark, [*rows, *rows[:9]])):
+        out = solve_by_edges(poi, p)
+        got = [tuple(r) for r in out.collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(rows, p)
+        assert not plan_of(out).startswith("Aggregate")
