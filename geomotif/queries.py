@@ -272,7 +272,7 @@ def by_text(p: Pattern, strategy: str) -> Callable:
         t = places(spark, d)
         t.createOrReplaceTempView("geomotif_pois")
         counts, extent = statistics(t, [v.keyword for v in p.vertices])
-        return spark.sql(sqlgen.spark_sql(p, "geomotif_pois", strategy, counts, extent.max_abs_lat, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        return spark.sql(sqlgen.spark_sql(p, "geomotif_pois", strategy, counts, extent.max_abs_lat, int(spark.conf.get("spark.sql.shuffle.partitions")), extent.min_abs_lat, extent.unique))
 
     return run
 

@@ -34,3 +34,17 @@ def test_text_for_spark_goes_on_with_unbounded_edges_and_parts(spark):
     for strategy in ("implicit", "explicit"):
         got = spark.sql(sqlgen.spark_sql(far, "sqlgen_pois", strategy, {}, 51.6)).select("x", "y", "z").collect()
         assert {tuple(r) for r in got} == brute(rows, far)
+
+
+def test_text_for_spark_shuffles_no_answers_where_ids_are_unique(spark):
+    rows = town(23, 50)
+    t = table(spark, rows)
+    t.createOrReplaceTempView("sqlgen_pois")
+    p = Pattern(tuple(Vertex(k, w) for k, w in zip("xyz", "abc", strict=True)), (Edge("0", "x", "y", 200, 2500, ">"), Edge("1", "y", "z", 0, 3000)))
+    counts, extent = statistics(t, ["a", "b", "c"])
+    assert extent.unique
+    for strategy in ("implicit", "explicit"):
+        out = spark.sql(sqlgen.spark_sql(p, "sqlgen_pois", strategy, counts, extent.max_abs_lat, min_abs_lat=extent.min_abs_lat, unique=True))
+        got = [tuple(r) for r in out.select("x", "y", "z").collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(rows, p) and got
+        assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
