@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from geomotif.functions import geo, topology
 from geomotif.operators import ematch, grid, prep, report, search
 from geomotif.operators.match import edge_matches, match, solve_by_edges, verify_late
+from geomotif.plans import planner
 from geomotif.plans.pattern import Edge, MultiPattern, MultiVertex, Pattern, Vertex
 from geomotif.sources import poi as P
 from geomotif.testing.patterns import STRUCTURES, random_pattern
@@ -374,3 +375,28 @@ def test_only_doubtful_pairs_are_asked_for_their_distance(spark):
     city = t.where("`a.lat` between 51.49 and 51.53 and `b.lat` between 51.49 and 51.53 and abs(`a.lon`) < 1 and abs(`b.lon`) < 1")
     near = ematch.Extent(51.53, min_abs_lat=51.49)
     assert city.where(ematch.distance_condition("a", "b", 300, 700) != ematch.distance_condition("a", "b", 300, 700, extent=near)).count() == 0
+
+
+def crowd(seed, n=60, words="abcd", at=-118_000):
+    """Points so near each other that most pairs are within a kilometre."""
+    rng = random.Random(seed)
+    return [(i, [rng.choice(words)], at + rng.randrange(0, 14) * 1000, 51_510_000 + rng.randrange(0, 9) * 1000, 0, 0) for i in range(n)]
+
+
+def joined(words, *edges):
+    return Pattern(tuple(Vertex(v, words[i]) for i, v in enumerate("pqrst"[: len(words)])), tuple(Edge(str(i), *e) for i, e in enumerate(edges)))
+
+
+TAIL = joined("abcd", ("p", "q", 0, 500), ("q", "r", 0, 600), ("r", "s", 0, 500), ("s", "q", 100, 700))
+
+
+def test_leaves_are_listed_and_multiplied_at_the_end(spark):
+    assert planner.listed(TAIL, ("p", "q", "r", "s"), {}) == {"p"}
+    assert planner.listed(joined("ab", ("p", "q", 0, 500)), ("p", "q"), {}) == set()
+    for seed, at in ((1, -118_000), (2, 179_994_000)):  # also across the antimeridian
+        rows = [(i, k, x if x < 180_000_000 else x - 360_000_000, *r) for i, k, x, *r in crowd(seed, 70, at=at)]
+        found = match(table(spark, rows), TAIL)
+        got = [tuple(r) for r in found.select("p", "q", "r", "s").collect()]
+        assert len(got) == len(set(got)) > 50 and set(got) == brute(rows, TAIL)
+        text = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "explode(p.all" in text and text.index("explode(p.all") < text.index("Join")  # nothing is joined to an answer's rows
