@@ -400,3 +400,25 @@ def test_leaves_are_listed_and_multiplied_at_the_end(spark):
         assert len(got) == len(set(got)) > 50 and set(got) == brute(rows, TAIL)
         text = found._jdf.queryExecution().optimizedPlan().toString()
         assert "explode(p.all" in text and text.index("explode(p.all") < text.index("Join")  # nothing is joined to an answer's rows
+
+
+CYCLE = joined("abcde"[:4] + "a", ("p", "q", 0, 600), ("q", "r", 0, 500), ("r", "s", 50, 700), ("s", "t", 0, 600), ("t", "p", 0, 900))
+
+
+def test_cycles_list_what_two_places_have_in_common(spark, monkeypatch):
+    from geomotif.operators import match as module
+
+    rows = crowd(3, 60)
+    t = table(spark, rows).cache()
+    square = joined("abcd", ("p", "q", 0, 600), ("q", "r", 0, 500), ("r", "s", 0, 700), ("s", "p", 100, 900))
+    for p, common in ((CYCLE, 2), (square, 2)):
+        apart = planner.listed(p, tuple(v.id for v in p.vertices), {})
+        assert len(apart) == common and not any(b in p.neighbours(a) for a in apart for b in apart)
+        want = brute(rows, p)
+        found = match(t, p)
+        assert answers(found, p) == want and found.count() == len(want) > 100
+        assert "array_intersect" in found._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(module, "LISTED", 0)  # lists that are too long to send
+    found = match(t, CYCLE)
+    assert answers(found, CYCLE) == brute(rows, CYCLE)
+    assert "array_intersect" not in found._jdf.queryExecution().optimizedPlan().toString()
