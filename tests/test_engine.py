@@ -422,3 +422,18 @@ def test_cycles_list_what_two_places_have_in_common(spark, monkeypatch):
     found = match(t, CYCLE)
     assert answers(found, CYCLE) == brute(rows, CYCLE)
     assert "array_intersect" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_orders_of_listed_patterns_agree(spark):
+    rows = [*crowd(4, 60), (60, ["a", "d"], -118_000, 51_510_000, 0, 0)]
+    t = table(spark, rows).cache()
+    path = joined("abcd", ("p", "q", 50, 400), ("q", "r", 150, 500, "<"), ("r", "s", 0, 900), ("s", "r", 100, 800))
+    want = brute(rows, path)
+    assert len(want) > 50
+    for order in planner.ORDERS:
+        found = match(t, path, order=order)
+        assert answers(found, path) == want and found.count() == len(want)
+        text = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "explode(p.all" in text and "explode(s.all" in text
+    twice = table(spark, [*rows, rows[0]])  # a keyword with two rows of an id: no lists
+    assert "explode(p.all" not in match(twice, path)._jdf.queryExecution().optimizedPlan().toString() and answers(match(twice, path), path) == want
