@@ -611,8 +611,8 @@ def odd_depots(spark, d) -> DataFrame:
     frame = F.concat(F.lit("POLYGON ("), outer, F.lit(", "), text((x1, y1), (x2, y1), (x2, y2), (x1, y2)), F.lit(")"))
     two = F.concat(F.lit("MULTIPOLYGON (("), text((x0, y0), (x1, y0), (x1, y3), (x0, y3)), F.lit("), ("), text((x2, y0), (x3, y0), (x3, y3), (x2, y3)), F.lit("))"))
     depot = F.array_contains("keywords", "depot")
-    at = folder(spark, "shapes")  # parsed once
-    P.with_geometry(t.where(depot).withColumn("geometry", F.when(k == 0, ell).when(k == 1, frame).otherwise(two))).drop("geometry").write.parquet(at)
+    at = folder(spark, "shapes")  # parsed once, in even tasks: a file may hold all of them
+    P.with_geometry(ematch.dealt(t.where(depot)).withColumn("geometry", F.when(k == 0, ell).when(k == 1, frame).otherwise(two))).drop("geometry").write.parquet(at)
     shaped = spark.read.parquet(at)
     return shaped.unionByName(t.where(~F.coalesce(depot, F.lit(False))), allowMissingColumns=True)
 

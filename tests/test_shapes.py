@@ -183,3 +183,36 @@ def test_rectangles_and_points_that_touch_meet_on_lines(spark):
     assert len(got) == len(set(got)) and set(got) == {(s[0], t[0]) for s in rows for t in rows if "a" in s[1] and "b" in t[1] and touch(s, t)} and len(got) > 100
     text = found._jdf.queryExecution().optimizedPlan().toString()
     assert "_cx" not in text and "sequence" not in text
+
+
+def test_tiles_tell_what_polygons_meet_or_leave_it_open(spark):
+    star = [[(0, 0), (18, 6), (40, 1), (30, 18), (39, 40), (19, 30), (2, 38), (9, 20)], [(14, 14), (13, 24), (25, 25), (22, 13)]]
+    rng = random.Random(8)
+    boxes = [(x, y, x + w, y + (h if w else 0)) for x, y, w, h in ((rng.randrange(-3, 42), rng.randrange(-3, 42), rng.choice((0, 1, 5, 12)), rng.choice((1, 4, 10))) for _ in range(250))]
+    rows = [(f"{n}{i}", [[{"x": x, "y": y} for x, y in r] for r in s], *b) for n, s in (("L", L), ("R", RING), ("T", TWO), ("S", star), ("small", square(0, 0, 3))) for i, b in enumerate(boxes)]
+    t = spark.createDataFrame(rows, "id string, rings array<array<struct<x:bigint,y:bigint>>>, xmin long, ymin long, xmax long, ymax long")
+    other = {k: F.col(k) for k in ("xmin", "ymin", "xmax", "ymax")}
+    t = t.withColumn("own", F.struct(*(v.alias(k) for k, v in shapes.box(F.col("rings")).items()))).withColumn("sides", shapes.sides(F.col("rings")))
+    own = {k: F.col("own")[k] for k in other}
+    t = t.withColumn("tiles", shapes.tiles(F.col("sides"), own))
+    meet = (own["xmin"] <= other["xmax"]) & (other["xmin"] <= own["xmax"]) & (own["ymin"] <= other["ymax"]) & (other["ymin"] <= own["ymax"])
+    got = t.where(meet).select("id", shapes.related_to_box(F.col("sides"), own, other, "intersects").alias("want"), shapes.meets_by_tiles(F.col("tiles"), own, other).alias("told")).collect()
+    assert all(r.told is None or r.told == r.want for r in got) and {r.told for r in got} == {True, False, None}
+    assert all(r.told is None for r in got if r.id.startswith("small"))
+    told = lambda n: [r.told is not None for r in got if r.id.startswith(n)]
+    assert all(told("L")) and all(told("R")) and len(told("S")) > 100  # of the star, whose tiles all hold a side, nothing is told
+
+
+def test_patterns_ask_tiles_before_sides(spark):
+    from geomotif import queries
+    from geomotif.operators.match import match
+
+    t = queries.odd_depots(spark, "/root/testdata/sf0.01")
+    for p in (queries.edge(relation="intersects", a="depot", b="BUILDING"), queries.edge(relation="intersects", a="BUILDING", b="depot"), queries.edge(0.0, 6000.0, relation="intersects", a="depot", b="BUILDING")):
+        found = match(t, p)
+        text = found._jdf.queryExecution().optimizedPlan().toString()
+        assert ".tiles" in text and "ArrowEvalPython" not in text
+        whole = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        if p.edges[0].vi == "a" and p.vertices[0].keyword == "depot" and p.edges[0].upper == float("inf"):
+            first = {tuple(r) for r in whole.collect()}
+        assert {tuple(r) for r in whole.collect()} == first and first
