@@ -9,7 +9,6 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -86,14 +85,19 @@ def unit_hash(*cols) -> F.Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
 
 
+def bit_rows(numbers: DataFrame) -> DataFrame:
+    """(b, m): the numbers of the first column, from 0 on, as bits; a row has 4096 bytes for the 32768 numbers from 32768 b on."""
+    h = F.col(numbers.columns[0]) + 1  # the aggregates count from 1 on
+    at = numbers.select(h.alias("h")).groupBy((F.expr("bitmap_bucket_number(h)") - 1).alias("b"))
+    return at.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("m"))
+
+
 def bitmap(numbers: DataFrame, size: int) -> np.ndarray:
     """Packed bits of the numbers 0 .. size - 1 in the first column, put together by native aggregates: what
     reaches the driver is size / 8 bytes at most."""
-    h = F.col(numbers.columns[0]) + 1  # the aggregates count from 1 on
-    at = numbers.select(h.alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("m"))
     out, width = np.zeros(-(-size // 32768) * 4096, np.uint8), 4096
-    for r in at.toLocalIterator():
-        out[(r["b"] - 1) * width : r["b"] * width] = np.frombuffer(bytes(r["m"]), np.uint8)
+    for r in bit_rows(numbers).toLocalIterator():
+        out[r["b"] * width : (r["b"] + 1) * width] = np.frombuffer(bytes(r["m"]), np.uint8)
     return out[: -(-size // 8)]
 
 
@@ -109,28 +113,33 @@ def spot(col, size: int) -> F.Column:
     return F.xxhash64(F.lit("spot"), col).bitwiseAND(size - 1)
 
 
+def bits_for(ids: DataFrame) -> int:
+    """Bits of a bitmap of the ids in the first column, a power of two: sixteen an id up to MOST_BITS. It lets all ids pass,
+    and of others about one in sixteen; with so many ids that the greatest size fills up, more."""
+    n = ids.agg(F.approx_count_distinct(ids.columns[0])).first()[0]
+    return min(MOST_BITS, 1 << max(18, (16 * n - 1).bit_length()))
+
+
 def ids_bitmap(ids: DataFrame) -> tuple[np.ndarray, int]:
-    """(bitmap, its bits) of the ids in the first column, with sixteen bits an id up to MOST_BITS. It lets all ids pass, and of
-    others about one in sixteen; with so many ids that the greatest size fills up, more."""
-    col = ids.columns[0]
-    n = ids.agg(F.approx_count_distinct(col)).first()[0]
-    size = min(MOST_BITS, 1 << max(18, (16 * n - 1).bit_length()))
-    return bitmap(ids.select(spot(F.col(col), size)), size), size
+    """(bitmap, its bits) of the ids in the first column."""
+    size = bits_for(ids)
+    return bitmap(ids.select(spot(F.col(ids.columns[0]), size)), size), size
 
 
 def without(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
     """The rows whose col is none of the ids (one column), a null included. Wide rows are not shuffled: a bitmap of the
-    ids, 16 MB at most, lets all pass that are surely not among them, and only the others are joined."""
+    ids, 16 MB at most, lets all pass that are surely not among them, and only the others are joined. The bitmap is looked
+    up by a broadcast join, natively: no text goes through a Python worker for it."""
     gone = ids.select(F.col(ids.columns[0]).alias(col)).where(F.col(col).isNotNull())
-    bits, size = ids_bitmap(gone)
-    held = rows.sparkSession.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def may_go(h: pd.Series) -> pd.Series:
-        return pd.Series(bits_at(held.value, h.to_numpy(np.int64)))
-
-    hit = F.col(col).isNotNull() & may_go(spot(F.col(col), size))
-    return rows.where(~hit).unionByName(rows.where(hit).join(gone.distinct(), col, "left_anti").select(*rows.columns))
+    h, b, m = fresh(rows, "h", "b", "m")
+    size = bits_for(gone)
+    bits = stage(bit_rows(gone.select(spot(F.col(col), size))), "bits").select(F.col("b").alias(b), F.col("m").alias(m))
+    marked = rows.withColumn(h, spot(F.col(col), size)).join(F.broadcast(bits), F.shiftright(h, 15) == F.col(b), "left")
+    byte = F.conv(F.hex(F.substring(m, F.shiftright(h, 3).bitwiseAND(4095).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    set_bit = F.getbit(byte, F.col(h).bitwiseAND(7).cast("int")) == 1
+    hit = F.col(col).isNotNull() & F.coalesce(set_bit, F.lit(False))
+    stay = marked.where(~hit).select(*rows.columns)
+    return stay.unionByName(marked.where(hit).select(*rows.columns).join(gone.distinct(), col, "left_anti").select(*rows.columns))
 
 
 # ---- memory of Python workers -------------------------------------------------------------------

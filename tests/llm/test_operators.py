@@ -3,6 +3,7 @@ and very long texts, ties, repeated rows, empty tables, and extra columns whose
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -868,3 +869,17 @@ def test_rows_without_ids(spark):
 
     got = sorted(without(t, gone, "doc_id").collect(), key=str)
     assert got == sorted((r for r in t.collect() if r.doc_id not in (3, 44)), key=str)
+
+
+def test_rows_are_left_out_without_python(spark, capsys):
+    """A second Python worker a task is memory that executors don't have."""
+    from geomotif.llm.common import without
+
+    rows = spark.createDataFrame([(i if i % 7 else None, f"text {i}") for i in range(3000)], "b long, m string")
+    gone = spark.range(0, 6000, 3).toDF("x")
+    left = without(rows, gone, "b")
+    want = [(i if i % 7 else None, f"text {i}") for i in range(3000) if not i % 7 or i % 3]
+    assert sorted(map(tuple, left.collect()), key=str) == sorted(want, key=str)
+    assert without(rows, gone.where("x < 0"), "b").count() == 3000
+    left.explain()
+    assert not re.search("Python|Arrow", capsys.readouterr().out)
