@@ -5,6 +5,7 @@ Pixels are uint8 arrays (height, width, 4) in the order red, green, blue, alpha.
 
 from __future__ import annotations
 
+import re
 import struct
 from functools import lru_cache
 from typing import NamedTuple
@@ -100,6 +101,9 @@ def table_of(lengths: np.ndarray, bits: int | None = None) -> tuple[np.ndarray,
     return np.repeat(n << 16 | order, span)[_reversed(bits)], bits
 
 
+END = float("inf")  # behind the last of a queue
+
+
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
     """Lengths of a prefix code, at most limit, for the counts; one used symbol has length 1."""
     used = np.flatnonzero(counts)
@@ -111,21 +115,28 @@ def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
     c, floor, n = counts[order].tolist(), 1, len(order)
     while True:
         # two queues: the symbols by their counts, and the inner nodes, which come into being in order of theirs
-        w = [max(x, floor) for x in c]
+        leaf, node = [x if x > floor else floor for x in c], [END] * n
+        leaf += (END, END)
         up = [0] * (2 * n - 1)
-        i, j = 0, n
-        for k in range(n, 2 * n - 1):
-            total = 0
-            for _ in (0, 1):
-                if i < n and (j >= k or w[i] <= w[j]):
-                    total += w[i]
-                    up[i] = k
-                    i += 1
-                else:
-                    total += w[j]
-                    up[j] = k
-                    j += 1
-            w.append(total)
+        i, j = 0, 0
+        for k in range(n - 1):
+            if leaf[i] <= node[j]:
+                total = leaf[i]
+                up[i] = k + n
+                i += 1
+            else:
+                total = node[j]
+                up[j + n] = k + n
+                j += 1
+            if leaf[i] <= node[j]:
+                total += leaf[i]
+                up[i] = k + n
+                i += 1
+            else:
+                total += node[j]
+                up[j + n] = k + n
+                j += 1
+            node[k] = total
         depth = [0] * (2 * n - 1)
         for k in range(2 * n - 3, -1, -1):
             depth[k] = depth[up[k]] + 1
@@ -149,20 +160,18 @@ def codes_of(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+_SAME = re.compile(rb"\0{1,138}|[^\0]+")
+
+
 def _runs(vals: list[int]) -> list[tuple[int, int, int]]:
     """(symbol, extra, its bits) of the code lengths: runs of zeros are short."""
-    runs, i, last = [], 0, len(vals)
-    while i < last:
-        if vals[i]:
-            runs.append((vals[i], 0, 0))
-            i += 1
-            continue
-        j, end = i + 1, min(last, i + 138)
-        while j < end and not vals[j]:
-            j += 1
-        n = j - i
-        runs += [(18, n - 11, 7)] if n > 10 else [(17, n - 3, 3)] if n > 2 else [(0, 0, 0)] * n
-        i = j
+    runs = []
+    for part in _SAME.findall(bytes(vals)):
+        n = len(part)
+        if part[0]:
+            runs += [(v, 0, 0) for v in part]
+        else:
+            runs += [(18, n - 11, 7)] if n > 10 else [(17, n - 3, 3)] if n > 2 else [(0, 0, 0)] * n
     return runs
 
 
@@ -727,6 +736,9 @@ def _copies(v: np.ndarray) -> list[tuple[int, int, int]]:
         return []
     x = v.astype(np.uint64)
     key = ((x[:-3] * np.uint64(0x9E3779B97F4A7C15) ^ x[1:-2]) * np.uint64(0xD6E8FEB86659FD93) ^ x[2:-1]) * np.uint64(0x9E3779B97F4A7C15) ^ x[3:]
+    ordered = np.sort(key)
+    if not (ordered[1:] == ordered[:-1]).any():  # as in most short texts, and told faster than where they are
+        return []
     order = np.argsort(key, kind="stable")
     same = key[order[1:]] == key[order[:-1]]
     last = np.full(n - 3, -1)
@@ -754,6 +766,8 @@ def _copies(v: np.ndarray) -> list[tuple[int, int, int]]:
 
 def _prefixes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """_prefix() of many values."""
+    if not len(value):
+        return value, value, value
     v = value - 1
     top = np.floor(np.log2(np.maximum(v, 1))).astype(np.int64)
     n = np.where(v < 4, 0, top - 1)
@@ -768,7 +782,7 @@ def _pack(head: Sink, codes: np.ndarray, sizes: np.ndarray) -> bytes:
     at = end - sizes
     word = at >> 5
     v = codes.astype(np.uint64) << (at & 31).astype(np.uint64)
-    first = np.flatnonzero(np.diff(word, prepend=-1))
+    first = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
     sums = np.add.reduceat(v, first)
     out = np.zeros((int(end[-1]) >> 5) + 2, np.uint64)
     out[word[first]] = sums & np.uint64(0xFFFFFFFF)
@@ -799,13 +813,15 @@ def write_fast(sink: Sink, argb: np.ndarray) -> bytes:
     start, size, far = (np.array(x, np.int64) for x in (zip(*copies, strict=True) if copies else ((), (), ())))
     len_code, len_more, len_bits = _prefixes(size)
     far_code, far_more, far_bits = _prefixes(np.where(far == 1, 2, np.where(far == w, 1, far + 120)))
-    green = np.full(n, -1)
-    green[lit] = v[lit] >> 8 & 255
-    green[hit] = 280 + slot[hit]
-    green[start] = 256 + len_code
-    token = np.flatnonzero(green >= 0)  # pixels at which a token begins
-    green = green[token]
     literal = v[lit]
+    if cache or copies:
+        green = np.full(n, -1)
+        green[lit] = literal >> 8 & 255
+        green[hit] = 280 + slot[hit]
+        green[start] = 256 + len_code
+        green = green[green >= 0]  # where a token begins
+    else:
+        green = (literal >> 8 & 255).astype(np.int64)
     # red and blue have one code, and green too where it has literals alone: bits of letters, whatever their colour
     own = np.bincount(green, minlength=280 + (1 << cache if cache else 0))
     other = np.bincount(literal >> 16 & 255, minlength=256) + np.bincount(literal & 255, minlength=256)
