@@ -127,3 +127,14 @@ def test_damaged_streams_are_told():
         assert got.shape == (10, 64, 4)
     with pytest.raises(ValueError):
         webp.decode_many([good[:-40]] * 30)
+
+
+def test_pixels_without_repeated_windows_are_not_argsorted(monkeypatch):
+    def dear(*a, **k):
+        raise AssertionError("argsort")
+
+    v = np.arange(1000, dtype=np.uint32)
+    twice = np.concatenate([v[:50], v[:50]])
+    assert webp._copies(twice) == [(50, 50, 50)]
+    monkeypatch.setattr(webp.np, "argsort", dear)
+    assert webp._copies(v) == []
