@@ -437,3 +437,24 @@ def test_orders_of_listed_patterns_agree(spark):
         assert "explode(p.all" in text and "explode(s.all" in text
     twice = table(spark, [*rows, rows[0]])  # a keyword with two rows of an id: no lists
     assert "explode(p.all" not in match(twice, path)._jdf.queryExecution().optimizedPlan().toString() and answers(match(twice, path), path) == want
+
+
+def test_edges_are_joined_by_lists_of_the_places_they_leave(spark, monkeypatch):
+    from geomotif.operators import match as module
+
+    rows = crowd(5, 60)
+    t = table(spark, rows).cache()
+    path = joined("abca", ("p", "q", 50, 400), ("q", "r", 150, 500, "<"), ("r", "s", 0, 900), ("s", "r", 100, 800))
+    for p in (TAIL, CYCLE, path):
+        want = brute(rows, p)
+        for alternated in (True, False):
+            out = solve_by_edges(t, p, alternated)
+            got = [tuple(r) for r in out.select(*(v.id for v in p.vertices)).collect()]
+            assert len(got) == len(set(got)) > 50 and set(got) == want
+            # pairs and partial answers are neither held nor shuffled: lists are multiplied above all joins
+            text = out._jdf.queryExecution().optimizedPlan().toString()
+            assert ".all" in text and text.index("explode(") < text.index("Join")
+    monkeypatch.setattr(module.ematch, "SENT", 10)  # too many places to send: edges' matches are held and joined
+    assert answers(solve_by_edges(t, TAIL), TAIL) == brute(rows, TAIL)
+    none = joined("abcz", ("p", "q", 0, 500), ("q", "r", 0, 600), ("r", "s", 0, 500))
+    assert solve_by_edges(t, none).count() == 0
