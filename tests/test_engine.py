@@ -458,3 +458,16 @@ def test_edges_are_joined_by_lists_of_the_places_they_leave(spark, monkeypatch):
     assert answers(solve_by_edges(t, TAIL), TAIL) == brute(rows, TAIL)
     none = joined("abcz", ("p", "q", 0, 500), ("q", "r", 0, 600), ("r", "s", 0, 500))
     assert solve_by_edges(t, none).count() == 0
+
+
+def test_products_of_parts_go_by_blocks(spark, monkeypatch):
+    rows = town(14, 40)
+    p = Pattern(tuple(Vertex(k, w) for k, w in zip("uvwxy", "abcde", strict=True)), (Edge("0", "u", "v", 0, 1500), Edge("1", "w", "x", 0, 1500)))
+    monkeypatch.setattr(ematch, "BLOCK", 4)
+    for poi in (table(spark, rows), table(spark, [*rows, *rows[:7]])):
+        found = match(poi, p)
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(set(got)) > 100 and set(got) == brute(rows, p)
+        text = found._jdf.queryExecution().optimizedPlan().toString()
+        assert all(f"explode(_block{k}" in text for k in range(3)) and text.index("explode(") < text.index("Join")
+    assert match(table(spark, rows), Pattern(p.vertices, (Edge("0", "u", "v", 0.25, 0.5), p.edges[1]))).count() == 0
